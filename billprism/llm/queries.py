@@ -25,6 +25,12 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_components
+
+    return ngram_components(read(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -48,7 +54,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op6_source_mix, op8_best_fit_packing, op9_language_id)}
+    return {f.__name__: f for f in (op1_exact_dedup, op6_source_mix, op7_ngram_jaccard, op8_best_fit_packing, op9_language_id)}
 
 
 def oracle_sql() -> dict:
