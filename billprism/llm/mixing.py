@@ -61,8 +61,8 @@ def sainte_lague(votes: list[float], seats: int, most: list[int]) -> list[int]:
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row per document: row (all its columns), size, source_size, target, taken, part_from, part_words.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, block_words: int = BLOCK_WORDS, keep: list[str] | None = None) -> DataFrame:
+    """A row per document: row (its columns, or those named in ``keep``), size, source_size, target, taken, part_from, part_words.
 
     ``taken`` counts words, repeats included, and is ``copies * size + part_words``; the part begins at word
     ``part_from``. No document gives more than three times its size. Null or blank texts have size 0 and give nothing; null is a
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     sized = docs.select(
-        F.struct("*").alias("row"),
+        F.struct(*(docs.columns if keep is None else keep)).alias("row"),
         F.col(source_col).alias("_source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.col(id_col), F.lit(seed)).alias("_order"),

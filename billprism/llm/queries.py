@@ -19,10 +19,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substr_dedup import substring_dedup
+
+    return substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(read(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mix(read(spark, sf_dir, "documents"), keep=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +60,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op6_source_mix, op7_ngram_jaccard, op8_best_fit_packing, op9_language_id)}
+    return {f.__name__: f for f in (op1_exact_dedup, op5_suffix_dedup, op6_source_mix, op7_ngram_jaccard, op8_best_fit_packing, op9_language_id)}
 
 
 def oracle_sql() -> dict:
