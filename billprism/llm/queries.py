@@ -19,6 +19,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_secrets
+
+    return scan_secrets(read(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substr_dedup import substring_dedup
 
@@ -60,8 +66,10 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op5_suffix_dedup, op6_source_mix, op7_ngram_jaccard, op8_best_fit_packing, op9_language_id)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_secret_scan, op5_suffix_dedup, op6_source_mix, op7_ngram_jaccard, op8_best_fit_packing, op9_language_id)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": OP1_SQL}
+    from . import secrets
+
+    return {"op1_exact_dedup": OP1_SQL, "op3_secret_scan": secrets.oracle_sql()}
