@@ -19,6 +19,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(read(spark, sf_dir, "embeddings"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets
 
@@ -66,7 +72,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_secret_scan, op5_suffix_dedup, op6_source_mix, op7_ngram_jaccard, op8_best_fit_packing, op9_language_id)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_nearest_neighbours, op3_secret_scan, op5_suffix_dedup, op6_source_mix, op7_ngram_jaccard, op8_best_fit_packing, op9_language_id)}
 
 
 def oracle_sql() -> dict:
