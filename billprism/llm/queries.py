@@ -63,6 +63,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", held_out().alias("held_out")), known).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    docs = read(spark, sf_dir, "documents")
+    found = quality(docs, read(spark, sf_dir, "labels"), ~held_out())
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 OP1_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
@@ -72,7 +80,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_nearest_neighbours, op3_secret_scan, op5_suffix_dedup, op6_source_mix, op7_ngram_jaccard, op8_best_fit_packing, op9_language_id)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_nearest_neighbours, op3_secret_scan, op5_suffix_dedup, op6_source_mix, op7_ngram_jaccard, op8_best_fit_packing, op9_language_id, op10_quality)}
 
 
 def oracle_sql() -> dict:
