@@ -3,8 +3,9 @@
 A document is its set of distinct 5-word shingles. Two documents link where intersection / union is 0.8 or more.
 
 1. Each task counts its shingles in a table of fixed size. Ordered by these counts, rarest first, two linked documents share one of
-   the first n - ceil(0.8 n) + 1 shingles, so documents that share none of these need no comparison.
-2. What shares such a shingle, directly or over others, is a family. Documents of equal sets are one member of it.
+   the first n - ceil(0.8 n) + 1 shingles. The first one they share has i others before it in one of them, of n shingles, and leaves an
+   overlap of n - i at most, so the other one has 9 / 4 (n - i) - n shingles at most. Other documents need no comparison.
+2. What shares such a shingle at such sizes, directly or over others, is a family. Documents of equal sets are one member of it.
 3. In a family a signature tree holds for each node the token bitmaps of all below it, combined by OR (with the largest count of
    each bit), and the range of their sizes. A dual traversal leaves out node pairs whose largest possible overlap is too small
    for 0.8, and pairs that are already in one component; what remains is compared exactly.
@@ -26,7 +27,9 @@ from .graph import components
 
 SHINGLE = 5
 #: Slots of the table of shingle counts, and members of a family that one task compares.
-SLOT_BITS, BLOCK = 18, 2000
+SLOT_BITS, BLOCK = 22, 2000
+#: Slots of the filter that keeps texts from a shuffle for the few documents that are compared again.
+KEY_SLOTS = 1 << 18
 #: Bits of a signature, children of a tree node.
 BITS, FANOUT = 512, 8
 
@@ -75,7 +78,7 @@ def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in spans_of(offs):
             h, _ = shingle_hashes(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             total += np.bincount((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
-    slot = np.flatnonzero(total)
+    slot = np.flatnonzero(total > 1)  # a task's single ones are of no account for the order
     yield pa.record_batch({"slot": pa.array(slot.astype(np.int32)), "n": pa.array(total[slot])})
 
 
@@ -83,13 +86,23 @@ def slot_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Shingles of the whole table by slot; the table has 2 ** SLOT_BITS entries whatever the input."""
     found = docs.select(text_or_empty(text_col).alias("t")).mapInArrow(_count_slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     t = found.toArrow()
-    out = np.zeros(1 << SLOT_BITS, np.int64)
-    out[t["slot"].to_numpy()] = t["n"].to_numpy()
+    out = np.zeros(1 << SLOT_BITS, np.int32)
+    out[t["slot"].to_numpy()] = np.minimum(t["n"].to_numpy(), np.iinfo(np.int32).max)
     return out
 
 
-#: Rows of the shared shuffle: n >= 0 a document (tok, other: its set's hash), -1 a prefix shingle, -2 an edge to ``other``.
+#: Rows of the shared shuffle: n >= 0 a document (tok, other: its set's hash); -1 a prefix shingle, or several of a cluster, with their
+#: least size and greatest partner's size in ``other``; -2 an edge to ``other``.
 _FLOW = "tok long, doc long, other long, n long"
+_LOW = np.int64((1 << 31) - 1)
+
+
+def _clusters(tok: np.ndarray, low: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Rows sorted by (tok, low): whether each begins a cluster, as no earlier row of its shingle reaches its size."""
+    new = np.concatenate([[True], tok[1:] != tok[:-1]])
+    upto = np.maximum.accumulate((np.cumsum(new) << 32) + reach)
+    new[1:] |= low[1:] > (upto[:-1] & 0xFFFFFFFF)
+    return new
 
 
 def _prefixes(counts):
@@ -97,7 +110,7 @@ def _prefixes(counts):
         order = counts.value
         for b in batches:
             keys = b.column(0).to_numpy()
-            toks, docs, info = [], [], []
+            toks, docs, lows, reaches, info = [], [], [], [], []
             for r, s in _sets(b.column(1)):
                 n = len(s)
                 if n:
@@ -105,6 +118,8 @@ def _prefixes(counts):
                     rare = np.argsort(order[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], kind="stable")[:p]
                     toks.append(s[rare])
                     docs.append(np.full(p, keys[r]))
+                    lows.append(np.full(p, n))
+                    reaches.append(9 * (n - np.arange(p)) // 4 - n)
                     h1, h2 = mix64(s).sum(dtype=np.uint64), mix64(s ^ _BASE).sum(dtype=np.uint64)
                 else:
                     h1, h2 = mix64(np.array([keys[r]]).astype(np.uint64))[0], np.uint64(0)
@@ -112,12 +127,13 @@ def _prefixes(counts):
             yield _flow(*(np.array(c, np.int64) for c in zip(*info, strict=True))) if info else _flow(*[np.zeros(0, np.int64)] * 4)
             if not toks:
                 continue
-            tok, doc = np.concatenate(toks).view(np.int64), np.concatenate(docs)
-            at = np.lexsort((doc, tok))
-            tok, doc = tok[at], doc[at]
-            new = np.concatenate([[True], tok[1:] != tok[:-1]])
-            lead = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            yield _flow(tok[new], doc[new], np.zeros(int(new.sum()), np.int64), np.full(int(new.sum()), -1))
+            tok, doc, low, reach = np.concatenate(toks).view(np.int64), np.concatenate(docs), np.concatenate(lows), np.concatenate(reaches)
+            at = np.lexsort((doc, low, tok))
+            tok, doc, low, reach = tok[at], doc[at], low[at], reach[at]
+            new = _clusters(tok, low, reach)
+            begin = np.flatnonzero(new)
+            lead = doc[begin][np.cumsum(new) - 1]
+            yield _flow(tok[new], doc[new], low[new] << 32 | np.maximum.reduceat(reach, begin), np.full(len(begin), -1))
             yield from _edges(doc[~new], lead[~new])
 
     return run
@@ -135,20 +151,24 @@ def _edges(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (tok, doc): each document's edge to the first of its shingle; other rows pass."""
-    last_tok = last_doc = None
+    """Rows sorted by (tok, other): each document's edge to the first of its cluster; other rows pass."""
+    held = None  # tok, doc, low and reach of the cluster that the last batch ended in
     for b in batches:
         tok, doc, other, n = (c.to_numpy() for c in b.columns)
         if (n != -1).any():
             keep = n != -1
             yield _flow(tok[keep], doc[keep], other[keep], n[keep])
-        tok, doc = tok[n == -1], doc[n == -1]
+        tok, doc, other = tok[n == -1], doc[n == -1], other[n == -1]
         if not len(tok):
             continue
-        new = np.concatenate([[tok[0] != last_tok], tok[1:] != tok[:-1]])
-        firsts = doc[new] if new[0] else np.concatenate([[last_doc], doc[new]])
-        lead = firsts[np.cumsum(new) - (1 if new[0] else 0)]
-        last_tok, last_doc = tok[-1], lead[-1]
+        low, reach = other >> 32, other & _LOW
+        if held:
+            tok, doc, low, reach = (np.concatenate([[h], x]) for h, x in zip(held, (tok, doc, low, reach), strict=True))
+        new = _clusters(tok, low, reach)
+        begin = np.flatnonzero(new)
+        lead = doc[begin][np.cumsum(new) - 1]
+        same = tok == tok[-1]
+        held = (tok[-1], lead[-1], low[-1], reach[same].max())
         yield from _edges(doc, lead)
 
 
@@ -281,7 +301,9 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(blocks: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
     """blocks: (block string, doc, comp); the links found inside the blocks."""
-    rows = blocks.join(texts, "doc").select("block", "doc", "comp", "t")
+    slot = F.pmod(F.xxhash64("doc"), F.lit(KEY_SLOTS))
+    some = texts.join(F.broadcast(blocks.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")  # KEY_SLOTS rows at most
+    rows = blocks.join(some, "doc").select("block", "doc", "comp", "t")
     return stash(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_join_blocks, "u long, v long"), tag)
 
 
@@ -296,7 +318,7 @@ def classes(keyed: DataFrame, text_col: str = "text", key_col: str = "__key", bl
     texts = keyed.select(F.col(key_col).cast("long").alias("doc"), text_or_empty(text_col).alias("t"))
     counts = spark.sparkContext.broadcast(slot_counts(texts, "t"))
     flow = texts.mapInArrow(_prefixes(counts), _FLOW)
-    flow = stash(flow.repartition("tok").sortWithinPartitions("tok", "doc").mapInArrow(_meet, _FLOW), "meet")
+    flow = stash(flow.repartition("tok").sortWithinPartitions("tok", "other").mapInArrow(_meet, _FLOW), "meet")
     info = flow.filter("n >= 0")
     rep = info.groupBy("tok", "other", "n").agg(F.min("doc").alias("rep"))
     copies = stash(info.join(rep, ["tok", "other", "n"]).select("doc", "rep", "n"), "copies")
