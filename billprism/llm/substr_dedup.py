@@ -7,10 +7,12 @@ bytes are exactly the repeated windows. Two things make the passes small:
 * The first digit is a 64-byte gram of the window: the one of least hash (equal windows have it at the same place). It stands for all
   windows around it, so the first pass moves one row for about 70 bytes.
 * The second digit is the whole surroundings of that gram, 136 bytes before to 200 after it. Where these are equal, every
-  window in them is repeated and none has to be moved. The third digit, the window itself, is left for windows whose gram occurs in
-  different surroundings: at the ends of passages and around edits.
+  window in them is repeated and none has to be moved.
+* Where a gram occurs in different surroundings, at the ends of passages and around edits, its windows go on in blocks of 24 neighbours:
+  the third digit is the core that all of a block have in common, the fourth the whole of the block. The fifth and last, the
+  window itself, is left for blocks that share the core only.
 
-Grams choose candidates only; equality is that of 128-bit hashes of surroundings and windows.
+Equality of surroundings, blocks and windows is that of two 64-bit hashes; grams and cores choose candidates.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, mix64, spans_of, stash, text_buffers, text_or_empty
+from .common import byte_table, mix64, spans_of, stash, text_buffers, text_or_empty, unstash
 from .ngram_join import keyed
 
 WINDOW, GRAM = 200, 64
@@ -32,6 +34,12 @@ REACH = WINDOW - GRAM + 1
 BEFORE, AFTER = REACH - 1, WINDOW
 #: Bytes that one numpy pass hashes, and surroundings of one gram that a batch sends before its other ones wait for the third digit.
 PASS_BYTES, SENT_MOST = 1 << 20, 64
+#: Offsets of a window's start before its gram, in blocks; a block's number takes three bits.
+BLOCK = 24
+_FIRST = np.arange(0, REACH, BLOCK)
+_LAST = np.minimum(_FIRST + BLOCK - 1, REACH - 1)
+#: Slots of the filter that keeps other texts from a shuffle.
+KEY_SLOTS = 1 << 18
 
 _LANES = (byte_table(11), byte_table(13))
 _ODD = np.random.default_rng(17).integers(0, 1 << 63, (2, 8), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,15 +89,34 @@ class _Pass:
         self.offs, self.h = offs, [_gram_hashes(raw, lane) for lane in (0, 1)]
         self.n = len(self.h[0])
 
-    def anchors(self) -> tuple[np.ndarray, ...]:
-        """Text, position, gram and surroundings (two hashes) of each anchor."""
+    def row_of(self) -> tuple[np.ndarray, np.ndarray]:
         row = np.repeat(np.arange(len(self.offs) - 1), np.diff(self.offs))[: self.n]
-        at = np.arange(self.n)
-        p = _anchors(self.h[0], at + GRAM <= self.offs[1:][row])
+        return row, np.arange(self.n) + GRAM <= self.offs[1:][row]
+
+    def anchors(self) -> tuple[np.ndarray, ...]:
+        """Text, position, gram and surroundings of each anchor."""
+        row, inside = self.row_of()
+        p = _anchors(self.h[0], inside)
         row, begin, end = row[p], self.offs[:-1][row[p]], self.offs[1:][row[p]]
-        left, right = np.minimum(p - begin, BEFORE), np.minimum(end - p, AFTER)
-        seed = mix64((left * 1024 + right).astype(np.uint64))
-        return row, p - begin, self.h[0][p], *(_join_hash(self.h[k], p - left, left + right, k, seed) for k in (0, 1))
+        return row, p - begin, self.h[0][p], self.around(p, np.minimum(p - begin, BEFORE), np.minimum(end - p, AFTER))
+
+    def around(self, p: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return _join_hash(self.h[1], p - left, left + right, 1, mix64((left * 1024 + right).astype(np.uint64)))
+
+    def own_windows(self, p: np.ndarray, begin: np.ndarray, end: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """anchors x offsets: whether the window that starts so far before the anchor is in its text and has it as its least gram."""
+        _, inside = self.row_of()
+        least = _slide(np.where(inside, self.h[0], np.iinfo(np.uint64).max), REACH, True)
+        s = p[:, None] - offsets
+        valid = (s >= begin[:, None]) & (s + WINDOW <= end[:, None])
+        return valid & (least[np.where(valid, s, 0)] == self.h[0][p][:, None])
+
+    def blocks(self, p: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each block that holds a window of its anchor: the anchor's number, the block's, its core and its whole."""
+        which, block = np.nonzero(np.logical_or.reduceat(self.own_windows(p, begin, end, np.arange(REACH)), _FIRST, axis=1))
+        p, begin, end, first, last = p[which], begin[which], end[which], _FIRST[block], _LAST[block]
+        core = _join_hash(self.h[0], p - first, WINDOW - last + first, 0, mix64(block.astype(np.uint64)))
+        return which, block, core, self.around(p, np.minimum(last, p - begin), np.minimum(WINDOW - first, end - p))
 
     def windows(self, starts: np.ndarray) -> list[np.ndarray]:
         length = np.full(len(starts), WINDOW)
@@ -109,9 +136,9 @@ def _batch(names: str, *cols) -> pa.RecordBatch:
     return pa.record_batch(dict(zip(names.split(), (pa.array(np.ascontiguousarray(c)) for c in cols), strict=True)))
 
 
-#: state: 0 an anchor to place (n occurrences of its surroundings seen), 1 its surroundings are repeated, 2 its windows must be
-#: looked at, 3 both: it stands for its surroundings among others of its gram.
-_FLOW, _NAMES = "g long, c long, d long, doc long, pos int, n int, state int", "g c d doc pos n state"
+#: state: 0 an anchor or block to place (n occurrences of c seen), 1 its c is repeated, 2 it must be looked at further, 3 both: it stands
+#: for its c among others of its g.
+_FLOW, _NAMES = "g long, c long, doc long, pos long, n int, state int", "g c doc pos n state"
 
 
 def _runs(*cols: np.ndarray) -> np.ndarray:
@@ -121,54 +148,59 @@ def _runs(*cols: np.ndarray) -> np.ndarray:
     return np.cumsum(new) - 1
 
 
+def _send(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, c, doc, pos) of a batch: one for each g and c is placed among all, the others are known to be repeated."""
+    g, c, doc, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+    at = np.lexsort((pos, doc, c, g))
+    g, c, doc, pos = g[at], c[at], doc[at], pos[at]
+    run = _runs(g, c)
+    first = np.concatenate([[True], run[1:] != run[:-1]])
+    many = np.bincount(run)[run]
+    group = _runs(g)
+    per = np.bincount(group, weights=first).astype(np.int64)
+    nth = np.cumsum(first) - (np.cumsum(per) - per)[group]
+    send = first & ((per[group] <= SENT_MOST) | (nth <= 2))
+    wait = first & ~send
+    n = np.minimum(many, 2).astype(np.int32)
+    zero = np.zeros(len(g), np.int32)
+    aside = lambda d: mix64(d.astype(np.uint64)).view(np.int64)
+    yield _batch(_NAMES, *(x[send] for x in (g, c, doc, pos, n, zero)))
+    if wait.any():
+        yield _batch(_NAMES, *(x[wait] for x in (aside(doc), zero.astype(np.int64), doc, pos, n, np.where(n > 1, 3, 2).astype(np.int32))))
+    if (~first).any():
+        yield _batch(_NAMES, *(x[~first] for x in (aside(doc), zero.astype(np.int64), doc, pos, n, zero + 1)))
+
+
 def _first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys, found = b.column(0).to_numpy(), []
         for rows, p in _passes(b.column(1)):
-            row, pos, g, c, d = p.anchors()
-            found.append((g.view(np.int64), c.view(np.int64), d.view(np.int64), keys[rows[row]], pos.astype(np.int32)))
-        if not found:
-            continue
-        g, c, d, doc, pos = (np.concatenate(x) for x in zip(*found, strict=True))
-        at = np.lexsort((pos, doc, d, c, g))
-        g, c, d, doc, pos = g[at], c[at], d[at], doc[at], pos[at]
-        run = _runs(g, c, d)
-        first = np.concatenate([[True], run[1:] != run[:-1]])
-        many = np.bincount(run)[run]
-        gram = _runs(g)
-        kinds = np.bincount(gram, weights=first).astype(np.int64)[gram]
-        nth = np.cumsum(first) - np.concatenate([[0], np.cumsum(np.bincount(gram, weights=first))])[gram].astype(np.int64)
-        send = first & ((kinds <= SENT_MOST) | (nth <= 2))
-        wait = first & ~send
-        n = np.minimum(many, 2).astype(np.int32)
-        zero = np.zeros(len(g), np.int32)
-        yield _batch(_NAMES, *(x[send] for x in (g, c, d, doc, pos, n, zero)))
-        if wait.any():
-            yield _batch(_NAMES, *(x[wait] for x in (mix64(doc.astype(np.uint64)).view(np.int64), c, d, doc, pos, n, np.where(n > 1, 3, 2).astype(np.int32))))
-        if (~first).any():
-            yield _batch(_NAMES, *(x[~first] for x in (mix64(doc.astype(np.uint64)).view(np.int64), c, d, doc, pos, n, zero + 1)))
+            row, pos, g, c = p.anchors()
+            found.append((g.view(np.int64), c.view(np.int64), keys[rows[row]], pos))
+        if found:
+            yield from _send(found)
 
 
-def _place(g, c, d, doc, pos, n) -> pa.RecordBatch:
-    """All anchors of some grams, sorted by gram and surroundings: those whose windows are or may be repeated."""
-    run, gram = _runs(g, c, d), _runs(g)
+def _place(g, c, doc, pos, n) -> pa.RecordBatch:
+    """All rows of some g, sorted by g and c: those that are repeated or may be in part."""
+    run, group = _runs(g, c), _runs(g)
     first = np.concatenate([[True], run[1:] != run[:-1]])
     twice = np.bincount(run, weights=n)[run] > 1
-    mixed = np.bincount(gram, weights=first)[gram] > 1
+    mixed = np.bincount(group, weights=first)[group] > 1
     state = np.where(twice, np.where(mixed & first, 3, 1), np.where(mixed, 2, 0)).astype(np.int32)
     keep = state > 0
     return _batch("doc pos state", doc[keep], pos[keep], state[keep])
 
 
 def _second_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by g, c, d -> doc, pos, state."""
+    """Rows sorted by g, c -> doc, pos, state."""
     held: list[list[np.ndarray]] = []
     for b in batches:
         cols = [x.to_numpy(zero_copy_only=False) for x in b.columns]
-        known = cols[6] > 0
+        known = cols[5] > 0
         if known.any():
-            yield _batch("doc pos state", *(cols[i][known] for i in (3, 4, 6)))
-        cols = [x[~known] for x in cols[:6]]
+            yield _batch("doc pos state", *(cols[i][known] for i in (2, 3, 5)))
+        cols = [x[~known] for x in cols[:5]]
         if not len(cols[0]):
             continue
         cut = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -181,26 +213,49 @@ def _second_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _place(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _listed(b: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, end to end, and n + 1 offsets; null is empty."""
+    col = b.column(column)
+    return col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def _with_positions(b: pa.RecordBatch) -> Iterator[tuple[_Pass, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (doc, t, at) -> a pass, and of its listed values: value, doc, begin and end of the text in the pass."""
+    keys, (flat, upto) = b.column(0).to_numpy(), _listed(b, 2)
+    for rows, p in _passes(b.column(1)):
+        n = upto[rows + 1] - upto[rows]
+        pick = np.repeat(upto[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        if len(pick):
+            yield p, flat[pick], np.repeat(keys[rows], n), np.repeat(p.offs[:-1], n), np.repeat(p.offs[1:], n)
+
+
 def _third_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, t, at: positions of its anchors in state 2 or 3) -> w, x, doc, pos, n; n 0: known to be repeated."""
+    """Rows (doc, t, at: positions of anchors) -> their blocks, numbered 8 * position + block."""
     for b in batches:
-        keys, lists, found = b.column(0).to_numpy(), b.column(2), []
-        flat, upto = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-        upto = upto - upto[0]
-        for rows, p in _passes(b.column(1)):
-            starts, docs, at = [], [], []
-            for k, r in enumerate(rows.tolist()):
-                pos, size = flat[upto[r] : upto[r + 1]].astype(np.int64), int(p.offs[k + 1] - p.offs[k])
-                edge = np.zeros(size + 1, np.int32)
-                np.add.at(edge, np.maximum(0, pos - BEFORE), 1)
-                np.add.at(edge, np.minimum(pos, size - WINDOW) + 1, -1)
-                s = np.flatnonzero(np.cumsum(edge[:-1]))
-                starts.append(s + p.offs[k])
-                at.append(s)
-                docs.append(np.full(len(s), keys[r]))
-            if starts:
-                w, x = p.windows(np.concatenate(starts))
-                found.append((w.view(np.int64), x.view(np.int64), np.concatenate(docs), np.concatenate(at).astype(np.int32)))
+        found = []
+        for p, pos, doc, begin, end in _with_positions(b):
+            which, block, core, whole = p.blocks(pos + begin, begin, end)
+            found.append((core.view(np.int64), whole.view(np.int64), doc[which], pos[which] * 8 + block))
+        if found:
+            yield from _send(found)
+
+
+def _last_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, t, at: block numbers) -> w, x, doc, pos, n of their windows; n 0: known to be repeated."""
+    for b in batches:
+        found = []
+        for p, number, doc, begin, end in _with_positions(b):
+            pos, block = (number >> 3) + begin, number & 7
+            offsets = _FIRST[block][:, None] + np.arange(BLOCK)
+            s = pos[:, None] - offsets
+            _, inside = p.row_of()
+            least = _slide(np.where(inside, p.h[0], np.iinfo(np.uint64).max), REACH, True)
+            valid = (offsets <= _LAST[block][:, None]) & (s >= begin[:, None]) & (s + WINDOW <= end[:, None])
+            valid &= least[np.where(valid, s, 0)] == p.h[0][pos][:, None]
+            start, one = np.unique(s[valid], return_index=True)
+            row = np.nonzero(valid)[0][one]
+            w, x = p.windows(start)
+            found.append((w.view(np.int64), x.view(np.int64), doc[row], (start - begin[row]).astype(np.int32)))
         if not found:
             continue
         w, x, doc, pos = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -248,21 +303,16 @@ def _cut_out(with_text: bool):
         for b in batches:
             raw, offs = text_buffers(b.column(1))
             out: list[list] = [[], [], [], [], []]
-            lists = []
-            for i in (2, 3):
-                col = b.column(i)
-                lists.append((col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)))
+            lists = [_listed(b, i) for i in (2, 3, 4)]
             for r in range(b.num_rows):
                 text, size = raw[offs[r] : offs[r + 1]], int(offs[r + 1] - offs[r])
-                (near, u), (own, v) = lists
-                near, own = near[u[r] : u[r + 1]].astype(np.int64), own[v[r] : v[r + 1]].astype(np.int64)
+                near, blocks, own = (x[u[r] : u[r + 1]].astype(np.int64) for x, u in lists)
                 removed = spans = 0
-                if len(near) or len(own):
+                if len(near) or len(blocks) or len(own):
+                    pos, k = blocks >> 3, blocks & 7
                     edge = np.zeros(size + 1, np.int32)
-                    np.add.at(edge, np.maximum(0, near - BEFORE), 1)
-                    np.add.at(edge, np.minimum(size, near + AFTER), -1)
-                    np.add.at(edge, own, 1)
-                    np.add.at(edge, own + WINDOW, -1)
+                    np.add.at(edge, np.maximum(0, np.concatenate([near - BEFORE, pos - _LAST[k], own])), 1)
+                    np.add.at(edge, np.minimum(size, np.concatenate([near + AFTER, pos - _FIRST[k] + WINDOW, own + WINDOW])), -1)
                     gone = np.cumsum(edge[:-1]) > 0
                     removed = int(gone.sum())
                     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
@@ -275,6 +325,20 @@ def _cut_out(with_text: bool):
     return run
 
 
+def _slot():
+    return F.pmod(F.xxhash64("doc"), F.lit(KEY_SLOTS))
+
+
+def _some(texts: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
+    """texts whose slot one of rows has (or has not), without moving them; the broadcast side has KEY_SLOTS rows at most."""
+    return texts.join(F.broadcast(rows.select(_slot().alias("_slot")).distinct()), _slot() == F.col("_slot"), how)
+
+
+def _further(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    look = placed.filter("state >= 2")
+    return _some(texts, look).join(look.groupBy("doc").agg(F.collect_list("pos").alias("at")), "doc").select("doc", "t", "at")
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds kept, the remaining text.
 
@@ -284,15 +348,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = keyed(docs, id_col)
     texts = own.select(F.col("__key").alias("doc"), text_or_empty(text_col).alias("t"))
-    flow = texts.mapInArrow(_first_digits, _FLOW)
-    placed = stash(flow.repartition("g").sortWithinPartitions("g", "c", "d").mapInArrow(_second_digits, "doc long, pos int, state int"), "placed")
-    look = placed.filter("state >= 2").groupBy("doc").agg(F.collect_list("pos").alias("at"))
-    third = texts.join(look, "doc").select("doc", "t", "at").mapInArrow(_third_digits, "w long, x long, doc long, pos int, n int")
-    equal = stash(third.repartition("w").sortWithinPartitions("w", "x").mapInArrow(_equal_windows, "doc long, pos int"), "equal")
-    near = placed.filter("state in (1, 3)").groupBy("doc").agg(F.collect_list("pos").alias("near"))
-    some = equal.groupBy("doc").agg(F.collect_list("pos").alias("own"))
-    marks = near.join(some, "doc", "full_outer")
-    out = texts.join(marks, "doc", "left").select("doc", "t", F.coalesce("near", F.array().cast("array<int>")).alias("near"), F.coalesce("own", F.array().cast("array<int>")).alias("own")).mapInArrow(_cut_out(with_text), _RESULT)
+    found = "doc long, pos long, state int"
+    place = lambda flow: flow.repartition("g").sortWithinPartitions("g", "c").mapInArrow(_second_digits, found)
+    anchors = stash(place(texts.mapInArrow(_first_digits, _FLOW)), "anchors")
+    blocks = stash(place(_further(texts, anchors).mapInArrow(_third_digits, _FLOW)), "blocks")
+    last = _further(texts, blocks).mapInArrow(_last_digits, "w long, x long, doc long, pos int, n int")
+    windows = stash(last.repartition("w").sortWithinPartitions("w", "x").mapInArrow(_equal_windows, "doc long, pos int"), "windows")
+    known = "state in (1, 3)"
+    marks = anchors.filter(known).select("doc", F.lit(0).alias("k"), "pos").unionByName(blocks.filter(known).select("doc", F.lit(1).alias("k"), "pos"))
+    marks = stash(marks.unionByName(windows.select("doc", F.lit(2).alias("k"), F.col("pos").cast("long").alias("pos"))), "marks")
+    unstash(anchors, blocks, windows)
+    lists = [F.collect_list(F.when(F.col("k") == k, F.col("pos"))).alias(n) for k, n in enumerate(("near", "inner", "own"))]
+    none = F.array().cast("array<long>")
+    hit = _some(texts, marks).join(marks.groupBy("doc").agg(*lists), "doc", "left").select("doc", "t", *(F.coalesce(n, none).alias(n) for n in ("near", "inner", "own")))
+    rest = _some(texts, marks, "left_anti").select("doc", "t", none.alias("near"), none.alias("inner"), none.alias("own"))
+    out = hit.unionByName(rest).mapInArrow(_cut_out(with_text), _RESULT)
     kind = docs.schema[id_col].dataType
     if hasattr(own, "_stash_path"):
         out = out.join(own.select(F.col("__key").alias("key"), F.col(id_col).alias("doc_id")), "key")
