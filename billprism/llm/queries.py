@@ -31,6 +31,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substr_dedup import substring_dedup
 
@@ -80,7 +86,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_nearest_neighbours, op3_secret_scan, op5_suffix_dedup, op6_source_mix, op7_ngram_jaccard, op8_best_fit_packing, op9_language_id, op10_quality)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_nearest_neighbours, op3_secret_scan, op4_license_scan, op5_suffix_dedup, op6_source_mix, op7_ngram_jaccard, op8_best_fit_packing, op9_language_id, op10_quality)}
 
 
 def oracle_sql() -> dict:
