@@ -1,17 +1,382 @@
-"""Registered queries of the invoice engine."""
+"""Registered queries of the invoice engine over the star-schema tables, each with its DuckDB equivalent.
+
+An order is an invoice: its lines are the order's line items (net amount: price less discount in whole cents, rate: tax), its header
+totals are the lines' sums, off by one cent where the order key divides by 97, so that rules fire on a known part.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
+from .functions import xp
+from .operators import axes, listing, rules
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        _QUERIES[name or f.__name__] = f
+        if sql:
+            _SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- invoices out of orders
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, line_no, net (cents), rate (per cent), category, item."""
+    price, off = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(4,2)")
+    rate = F.round(F.col("l_tax").cast("decimal(4,2)") * 100).cast("int")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_no"), xp.cents(price * (1 - off)).alias("net"), rate.alias("rate"), F.when(rate == 0, "Z").otherwise("S").alias("category"), F.col("l_partkey").alias("item"))
+
+
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, line_sum, tax_sum (cents of the lines), n_lines, and the header's line_total, tax_exclusive, tax_total, tax_inclusive."""
+    per = lines(spark, sf_dir).groupBy("doc_id").agg(F.sum("net").alias("line_sum"), F.sum(F.floor((F.col("net") * F.col("rate") + 50) / 100)).cast("long").alias("tax_sum"), F.count("*").alias("n_lines"))
+    wrong = lambda k: F.when(F.col("doc_id") % k == 0, 1).otherwise(0)
+    return per.select(
+        "*",
+        (F.col("line_sum") + wrong(97)).alias("line_total"),
+        (F.col("line_sum") + wrong(89)).alias("tax_exclusive"),
+        F.col("tax_sum").alias("tax_total"),
+        (F.col("line_sum") + F.col("tax_sum") + wrong(83)).alias("tax_inclusive"),
+    )
+
+
+LINES = """l AS (SELECT l_orderkey AS doc_id, l_linenumber AS line_no,
+ CAST(floor(l_extendedprice::DECIMAL(12,2) * (1 - l_discount::DECIMAL(4,2)) * 100 + 0.5) AS BIGINT) AS net,
+ CAST(round(l_tax::DECIMAL(4,2) * 100) AS INTEGER) AS rate, CASE WHEN round(l_tax::DECIMAL(4,2) * 100) = 0 THEN 'Z' ELSE 'S' END AS category, l_partkey AS item FROM lineitem)"""
+HEADERS = (
+    LINES
+    + """, p AS (SELECT doc_id, CAST(sum(net) AS BIGINT) AS line_sum, CAST(sum((net * rate + 50) // 100) AS BIGINT) AS tax_sum, count(*) AS n_lines FROM l GROUP BY doc_id),
+h AS (SELECT *, line_sum + CASE WHEN doc_id % 97 = 0 THEN 1 ELSE 0 END AS line_total, line_sum + CASE WHEN doc_id % 89 = 0 THEN 1 ELSE 0 END AS tax_exclusive,
+ tax_sum AS tax_total, line_sum + tax_sum + CASE WHEN doc_id % 83 = 0 THEN 1 ELSE 0 END AS tax_inclusive FROM p)"""
+)
+
+
+@query(f"WITH {HEADERS} SELECT doc_id, 'BR-CO-10' AS rule_id, line_sum, line_total FROM h WHERE line_sum <> line_total")
+def br_co_10_line_sum(spark, sf_dir):
+    return headers(spark, sf_dir).filter("line_sum <> line_total").select("doc_id", F.lit("BR-CO-10").alias("rule_id"), "line_sum", "line_total")
+
+
+@query(f"WITH {HEADERS} SELECT doc_id, 'BR-CO-13' AS rule_id, line_total, tax_exclusive FROM h WHERE line_total <> tax_exclusive")
+def br_co_13_tax_exclusive(spark, sf_dir):
+    return headers(spark, sf_dir).filter("line_total <> tax_exclusive").select("doc_id", F.lit("BR-CO-13").alias("rule_id"), "line_total", "tax_exclusive")
+
+
+@query(f"WITH {HEADERS} SELECT doc_id, 'BR-CO-15' AS rule_id, tax_exclusive, tax_total, tax_inclusive FROM h WHERE tax_exclusive + tax_total <> tax_inclusive")
+def br_co_15_tax_inclusive(spark, sf_dir):
+    return headers(spark, sf_dir).filter("tax_exclusive + tax_total <> tax_inclusive").select("doc_id", F.lit("BR-CO-15").alias("rule_id"), "tax_exclusive", "tax_total", "tax_inclusive")
+
+
+@query(f"WITH {LINES} SELECT doc_id, category, rate, CAST(sum(net) AS BIGINT) AS taxable, CAST((sum(net) * rate + 50) // 100 AS BIGINT) AS tax FROM l GROUP BY doc_id, category, rate")
+def br_s_08_vat_breakdown(spark, sf_dir):
+    per = lines(spark, sf_dir).groupBy("doc_id", "category", "rate").agg(F.sum("net").alias("taxable"))
+    return per.select("*", F.floor((F.col("taxable") * F.col("rate") + 50) / 100).cast("long").alias("tax"))
+
+
+@query(f"""WITH {LINES}, b AS (SELECT doc_id, category, rate, CAST(sum(net) AS BIGINT) AS taxable, CAST(sum((net * rate + 50) // 100) AS BIGINT) AS tax FROM l GROUP BY doc_id, category, rate)
+SELECT doc_id, category, rate, taxable, tax FROM b WHERE abs(tax * 100 - taxable * rate) > 100""")
+def br_co_17_tax_tolerance(spark, sf_dir):
+    per = lines(spark, sf_dir).groupBy("doc_id", "category", "rate").agg(F.sum("net").alias("taxable"), F.sum(F.floor((F.col("net") * F.col("rate") + 50) / 100)).cast("long").alias("tax"))
+    return per.filter(F.abs(F.col("tax") * 100 - F.col("taxable") * F.col("rate")) > 100)
+
+
+@query("SELECT o_orderkey AS doc_id, 'BR-16' AS rule_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def br_16_has_line(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    return orders.join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")), "doc_id", "left_anti").withColumn("rule_id", F.lit("BR-16"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def card_duplicate_line_id(spark, sf_dir):
+    return listing.cardinality(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], 1)
+
+
+@query("SELECT event_id, lexical FROM (SELECT event_id, CAST(CAST(value AS DECIMAL(18,4)) AS VARCHAR) AS v4, rtrim(CAST(CAST(value AS DECIMAL(18,4)) AS VARCHAR), '0') AS lexical FROM events) WHERE length(split_part(lexical, '.', 2)) > 2")
+def br_dec_max_two_decimals(spark, sf_dir):
+    lexical = F.rtrim(F.lit("0"), F.col("value").cast("decimal(18,4)").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", lexical.alias("lexical")).filter(~xp.two_decimals("lexical"))
+
+
+COUNTRIES = ("ALGERIA", "BRAZIL", "CANADA", "CHINA", "EGYPT", "FRANCE", "GERMANY", "INDIA", "JAPAN", "KENYA")
+EVENTS = ("click", "view")
+
+
+@query(f"SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name NOT IN {COUNTRIES}")
+def codelist_country(spark, sf_dir):
+    named = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    return listing.not_in_list(named, "n_name", list(COUNTRIES))
+
+
+@query(f"SELECT event_id, event_type FROM events WHERE event_type NOT IN {EVENTS}")
+def codelist_event_type(spark, sf_dir):
+    return listing.not_in_list(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", list(EVENTS))
+
+
+@query("SELECT DISTINCT o_orderkey AS doc_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'CR-001' ELSE 'CR-005' END AS rule_id FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')")
+def forbidden_paths(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("path"))
+    return listing.forbidden(rows, "path", ["doc_id"], {"CR-001": "1-URGENT", "CR-005": "5-LOW"})
+
+
+@query("""SELECT l_orderkey, l_linenumber, min(CASE WHEN l_tax = 0 THEN 1 WHEN l_discount > 0.05 THEN 2 WHEN l_quantity > 25 THEN 3 ELSE 4 END) AS rule_ord FROM lineitem GROUP BY 1, 2""")
+def first_match_owner(spark, sf_dir):
+    tests = [F.col("l_tax") == 0, F.col("l_discount") > 0.05, F.col("l_quantity") > 25, F.lit(True)]
+    matched = F.array_compact(F.array(*(F.when(t, i) for i, t in enumerate(tests, 1))))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.explode(matched).alias("rule_ord"))
+    return rules.first_match(rows, ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT l_orderkey AS doc_id, count(*) = count(DISTINCT l_partkey) AS all_differ FROM lineitem GROUP BY 1")
+def preceding_sibling_unique(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg((F.count("*") == F.count_distinct("l_partkey")).alias("all_differ"))
+
+
+# ---------------------------------------------------------------- navigation
+
+
+def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each region: nations are its elements, customers theirs, account balances attributes of customers."""
+    region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    wide = 10**12
+    n_pre = (F.col("n_nationkey") + 1).cast("long") * wide
+    c_pre = n_pre + F.col("c_custkey") * 10 + 10
+    node = lambda df, pre, last, parent, kind, local: df.select(F.col("n_regionkey").cast("long").alias("doc_id"), pre.cast("long").alias("pre"), last.cast("long").alias("last_pre"), parent.cast("long").alias("parent_pre"), F.lit(kind).alias("kind"), F.lit(local).alias("local"))
+    own = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    roots = region.withColumnRenamed("r_regionkey", "n_regionkey")
+    return (
+        node(roots, F.lit(0), F.lit(wide * 1000), F.lit(None), "element", "region")
+        .unionByName(node(nation, n_pre, n_pre + wide - 1, F.lit(0), "element", "nation"))
+        .unionByName(node(own, c_pre, c_pre + 1, n_pre, "element", "customer"))
+        .unionByName(node(own.filter("c_acctbal < 0"), c_pre + 1, c_pre + 1, c_pre, "attribute", "debt"))
+    )
+
+
+TREE = """n AS (SELECT n_regionkey AS doc_id, n_nationkey AS k, (n_nationkey + 1)::BIGINT * 1000000000000 AS pre FROM nation),
+c AS (SELECT n_regionkey AS doc_id, (n_nationkey + 1)::BIGINT * 1000000000000 + c_custkey * 10 + 10 AS pre, (n_nationkey + 1)::BIGINT * 1000000000000 AS parent, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey),
+t AS (SELECT r_regionkey::BIGINT AS doc_id, 0::BIGINT AS pre, 1000000000000000::BIGINT AS last_pre, NULL::BIGINT AS parent_pre, 'element' AS kind, 'region' AS local FROM region
+ UNION ALL SELECT doc_id, pre, pre + 999999999999, 0, 'element', 'nation' FROM n
+ UNION ALL SELECT doc_id, pre, pre + 1, parent, 'element', 'customer' FROM c
+ UNION ALL SELECT doc_id, pre + 1, pre + 1, pre, 'attribute', 'debt' FROM c WHERE c_acctbal < 0)"""
+_PLAIN = "m.kind <> 'attribute'"
+_AXES = {
+    "self": "m.pre = n.pre", "child": f"m.parent_pre = n.pre AND {_PLAIN}", "attribute": "m.parent_pre = n.pre AND m.kind = 'attribute'", "parent": "m.pre = n.parent_pre",
+    "descendant": f"m.pre > n.pre AND m.pre <= n.last_pre AND {_PLAIN}", "descendant-or-self": f"m.pre >= n.pre AND m.pre <= n.last_pre AND {_PLAIN}",
+    "ancestor": f"m.pre < n.pre AND m.last_pre >= n.last_pre AND {_PLAIN}", "ancestor-or-self": f"m.pre <= n.pre AND m.last_pre >= n.last_pre AND {_PLAIN}",
+    "following-sibling": f"m.parent_pre = n.parent_pre AND m.pre > n.pre AND {_PLAIN}", "preceding-sibling": f"m.parent_pre = n.parent_pre AND m.pre < n.pre AND {_PLAIN}",
+    "following": f"m.pre > n.last_pre AND {_PLAIN}", "preceding": f"m.last_pre < n.pre AND {_PLAIN}",
+}
+_CONTEXT = {"attribute": "customer", "following-sibling": "customer", "parent": "customer", "ancestor": "customer", "ancestor-or-self": "customer"}
+
+
+def _axis(axis: str):
+    context = _CONTEXT.get(axis, "nation")
+
+    def run(spark, sf_dir):
+        nodes = geography(spark, sf_dir)
+        if axis == "following-sibling":  # the customers of a nation: count, do not pair, in one sorted pass
+            own = Window.partitionBy("doc_id", "parent_pre").orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, -1)
+            out = nodes.filter("local = 'customer'").withColumns({"n": F.count("*").over(own), "first_pre": F.min("pre").over(own)})
+            return out.filter("n > 0").select("doc_id", "pre", "n", "first_pre")
+        pairs = axes.step(nodes.filter(F.col("local") == context), nodes, axis)
+        return pairs.groupBy("n.doc_id", "n.pre").agg(F.count("*").alias("n"), F.min("m.pre").alias("first_pre"))
+
+    name = f"axis_{axis.replace('-', '_')}"
+    query(f"WITH {TREE} SELECT n.doc_id, n.pre, count(*) AS n, min(m.pre) AS first_pre FROM t n JOIN t m ON n.doc_id = m.doc_id AND {_AXES[axis]} WHERE n.local = '{context}' GROUP BY 1, 2", name)(run)
 
 
-def queries() -> dict:
-    return {}
+for _name in _AXES:
+    _axis(_name)
 
 
-def oracle_sql() -> dict:
-    return {}
+@query(f"WITH {TREE} SELECT doc_id, parent_pre, pre FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_pre ORDER BY pre) AS k FROM t WHERE local = 'customer') WHERE k = 1")
+def path_position_per_parent(spark, sf_dir):
+    own = Window.partitionBy("doc_id", "parent_pre").orderBy("pre")
+    return geography(spark, sf_dir).filter("local = 'customer'").withColumn("k", F.row_number().over(own)).filter("k = 1").select("doc_id", "parent_pre", "pre")
+
+
+def _node_sets(spark, sf_dir):
+    of = lambda c, k: table(spark, sf_dir, "orders").filter(c).select((F.col("o_orderkey") % 100).alias("doc_id"), F.col("o_orderkey").alias("pre"))
+    return of("o_totalprice > 100000", 0), of("o_orderstatus = 'O'", 1)
+
+
+_SETS = "a AS (SELECT o_orderkey % 100 AS doc_id, o_orderkey AS pre FROM orders WHERE o_totalprice > 100000), b AS (SELECT o_orderkey % 100 AS doc_id, o_orderkey AS pre FROM orders WHERE o_orderstatus = 'O')"
+
+
+@query(f"WITH {_SETS} SELECT * FROM a UNION SELECT * FROM b")
+def setop_union(spark, sf_dir):
+    return axes.union(*_node_sets(spark, sf_dir))
+
+
+@query(f"WITH {_SETS} SELECT * FROM a INTERSECT SELECT * FROM b")
+def setop_intersect(spark, sf_dir):
+    return axes.intersect(*_node_sets(spark, sf_dir))
+
+
+@query(f"WITH {_SETS} SELECT * FROM a EXCEPT SELECT * FROM b")
+def setop_except(spark, sf_dir):
+    return axes.except_(*_node_sets(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- functions
+
+
+def _fn(name: str, source: str, key: str, columns: dict, sql: dict) -> None:
+    def run(spark, sf_dir):
+        return table(spark, sf_dir, source).select(key, *(c.alias(n) for n, c in ((n, f()) for n, f in columns.items())))
+
+    query(f"SELECT {key}, {', '.join(f'{x} AS {n}' for n, x in sql.items())} FROM {source}", f"fn_{name}")(run)
+
+
+_fn("normalize_space", "documents", "doc_id", {"x": lambda: F.sha2(xp.nspace("text"), 256), "filled": lambda: xp.nonempty("text")}, {"x": r"sha256(trim(regexp_replace(coalesce(text, ''), '[ \t\n\r]+', ' ', 'g')))", "filled": r"trim(regexp_replace(coalesce(text, ''), '[ \t\n\r]+', ' ', 'g')) <> ''"})
+_fn("substring_after", "part", "p_partkey", {"after": lambda: xp.substring_after("p_name", " "), "before": lambda: xp.substring_before("p_name", " "), "none": lambda: xp.substring_after("p_name", "#")}, {"after": "CASE WHEN instr(p_name, ' ') > 0 THEN substr(p_name, instr(p_name, ' ') + 1) ELSE '' END", "before": "CASE WHEN instr(p_name, ' ') > 1 THEN substr(p_name, 1, instr(p_name, ' ') - 1) ELSE '' END", "none": "CASE WHEN instr(p_name, '#') > 0 THEN substr(p_name, instr(p_name, '#') + 1) ELSE '' END"})
+_fn("substring", "part", "p_partkey", {"a": lambda: xp.substring("p_name", 1.5, 2.6), "b": lambda: xp.substring("p_name", 0, 3), "c": lambda: xp.substring("p_name", 4)}, {"a": "substr(p_name, 2, 3)", "b": "substr(p_name, 1, 2)", "c": "substr(p_name, 4)"})
+_fn("translate", "part", "p_partkey", {"x": lambda: xp.translate("p_brand", "BRand#", "brAND")}, {"x": "translate(p_brand, 'BRand#', 'brAND')"})
+_fn("tokenize", "part", "p_partkey", {"n": lambda: F.size(xp.tokenize("p_type", "[ ]")), "last": lambda: F.element_at(xp.tokenize("p_type", "[ ]"), -1)}, {"n": "len(string_split_regex(p_type, '[ ]'))::INTEGER", "last": "string_split_regex(p_type, '[ ]')[-1]"})
+_fn("matches", "events", "event_id", {"m": lambda: xp.matches("props", "[0-9]+$"), "i": lambda: xp.matches("event_type", "^CL", "i")}, {"m": r"regexp_matches(props, '[0-9]+$')", "i": "regexp_matches(event_type, '(?i)^CL')"})
+_fn("replace", "part", "p_partkey", {"x": lambda: xp.replace("p_brand", "([A-Za-z]+)#([0-9])", "$2-$1")}, {"x": r"regexp_replace(p_brand, '([A-Za-z]+)#([0-9])', '\2-\1', 'g')"})
+_fn("string_length", "documents", "doc_id", {"n": lambda: F.length(xp.text("text")), "up": lambda: F.sha2(F.upper(xp.text("lang")), 256)}, {"n": "length(coalesce(text, ''))::INTEGER", "up": "sha256(upper(coalesce(lang, '')))"})
+_fn("round_half_up", "customer", "c_custkey", {"whole": lambda: xp.round_half_up(F.col("c_acctbal").cast("decimal(12,2)")).cast("long"), "cents": lambda: xp.cents(F.col("c_acctbal").cast("decimal(12,2)") / 8)}, {"whole": "CAST(floor(c_acctbal::DECIMAL(12,2) + 0.5) AS BIGINT)", "cents": "CAST((CAST(round(c_acctbal * 100) AS BIGINT) + 4 - ((CAST(round(c_acctbal * 100) AS BIGINT) + 4) % 8 + 8) % 8) // 8 AS BIGINT)"})
+_fn("round_half_even", "customer", "c_custkey", {"x": lambda: F.bround(F.col("c_acctbal").cast("decimal(12,2)"), 0).cast("long")}, {"x": "CAST(round_even(c_acctbal::DECIMAL(12,2), 0) AS BIGINT)"})
+_fn("compare", "nation", "n_nationkey", {"c": lambda: xp.compare("n_name", F.lit("GERMANY")), "up": lambda: F.upper("n_name")}, {"c": "CASE WHEN n_name < 'GERMANY' THEN -1 WHEN n_name > 'GERMANY' THEN 1 ELSE 0 END", "up": "upper(n_name)"})
+_fn("date_compare", "orders", "o_orderkey", {"early": lambda: xp.true(xp.date(F.date_format("o_orderdate", "yyyy-MM-dd")) < F.lit("1995-06-17").cast("date")), "year": lambda: F.year("o_orderdate"), "loose": lambda: xp.castable(F.date_format("o_orderdate", "yyyy-M-d"), "date")}, {"early": "o_orderdate::DATE < DATE '1995-06-17'", "year": "CAST(year(o_orderdate) AS INTEGER)", "loose": "month(o_orderdate) > 9 AND day(o_orderdate) > 9"})
+_fn("castable", "part", "p_partkey", {"d": lambda: xp.castable(F.substring("p_brand", -2, 2), "decimal"), "e": lambda: xp.castable(F.concat(F.col("p_size").cast("string"), F.lit("e3")), "decimal"), "n": lambda: F.isnan(xp.number("p_name"))}, {"d": "regexp_full_match(right(p_brand, 2), '[0-9]+')", "e": "false", "n": "true"})
+_fn("codepoints", "nation", "n_nationkey", {"total": lambda: F.aggregate(xp.codepoints("n_name"), F.lit(0), lambda s, x: s + x), "back": lambda: xp.from_codepoints(F.reverse(xp.codepoints("n_name")))}, {"total": "list_sum(list_transform(string_split(n_name, ''), lambda c: ord(c)))::INTEGER", "back": "reverse(n_name)"})
+
+
+@query("SELECT l_orderkey, list_aggregate(list_sort(list(DISTINCT l_returnflag)), 'string_agg', '|') AS flags, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY 1")
+def fn_string_join(spark, sf_dir):
+    per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("f"))
+    return per.select("l_orderkey", xp.string_join(F.array_sort("f"), "|").alias("flags"), F.size("f").cast("long").alias("n"))
+
+
+@query("SELECT p_brand, count(DISTINCT p_size) AS n, min(p_size) AS least, max(p_size) AS most FROM part GROUP BY 1")
+def fn_distinct_values(spark, sf_dir):
+    forms = F.array(F.col("p_size").cast("string"), F.concat(F.col("p_size").cast("string"), F.lit(".0")))
+    one = table(spark, sf_dir, "part").select("p_brand", "p_size", F.size(xp.distinct_values(forms)).alias("k")).filter("k = 1")
+    return one.groupBy("p_brand").agg(F.count_distinct("p_size").alias("n"), F.min("p_size").alias("least"), F.max("p_size").alias("most"))
+
+
+@query("""SELECT l_orderkey, bool_or(l_quantity > 40) AS big, bool_and(l_discount <= 0.08) AS modest, count(*) AS n, CAST(sum(l_quantity::DECIMAL(12,2)) * 100 AS BIGINT) AS qty FROM lineitem GROUP BY 1""")
+def quantified_and_aggregates(spark, sf_dir):
+    per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_quantity", "l_discount")).alias("x"), F.sum(F.col("l_quantity").cast("decimal(12,2)")).alias("q"))
+    return per.select("l_orderkey", xp.some(F.col("x"), lambda v: v["l_quantity"] > 40).alias("big"), xp.every(F.col("x"), lambda v: v["l_discount"] <= 0.08).alias("modest"), F.size("x").cast("long").alias("n"), (F.col("q") * 100).cast("long").alias("qty"))
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS position, count(*) OVER (PARTITION BY l_orderkey) AS last FROM lineitem) SELECT * FROM a WHERE position = last OR position = 1""")
+def position_and_last(spark, sf_dir):
+    own = Window.partitionBy("l_orderkey")
+    rows = table(spark, sf_dir, "lineitem").withColumns({"position": F.row_number().over(own.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")).cast("long"), "last": F.count("*").over(own)})
+    return rows.filter("position = last or position = 1").select("l_orderkey", "l_linenumber", "position", "last")
+
+
+@query("""SELECT DISTINCT s.s_suppkey, true AS general FROM supplier s JOIN customer c ON s.s_nationkey = c.c_nationkey WHERE c.c_acctbal > 9900""")
+def general_comparison_exists(spark, sf_dir):
+    rich = table(spark, sf_dir, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("s_nationkey"))
+    return table(spark, sf_dir, "supplier").join(rich, "s_nationkey", "left_semi").select("s_suppkey", F.lit(True).alias("general"))
+
+
+# ---------------------------------------------------------------- domain and document level
+
+
+def _fold_sql(digits: str) -> str:
+    return f"list_reduce(list_transform(string_split({digits}, ''), lambda d: d::INTEGER), lambda r, d: (r * 10 + d) % 97, 0)"
+
+
+@query(f"""WITH a AS (SELECT c_custkey, lpad(c_nationkey::VARCHAR, 2, '0') AS coarse, lpad(c_custkey::VARCHAR, 8, '0') AS fine, c_custkey % 98 AS given FROM customer),
+b AS (SELECT *, lpad((98 - {_fold_sql("coarse || fine || '00'")})::VARCHAR, 2, '0') AS check_digits FROM a)
+SELECT c_custkey, check_digits, {_fold_sql("coarse || fine || lpad(given::VARCHAR, 2, '0')")} = 1 AS ok FROM b""")
+def leitweg_check(spark, sf_dir):
+    coarse, fine = F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")
+    given = F.concat_ws("-", coarse, fine, F.lpad((F.col("c_custkey") % 98).cast("string"), 2, "0"))
+    return table(spark, sf_dir, "customer").select("c_custkey", xp.leitweg_check_digits(coarse, fine).alias("check_digits"), xp.leitweg_ok(given).alias("ok"))
+
+
+@query(f"""SELECT c_custkey, {_fold_sql("lpad(c_custkey::VARCHAR, 18, '0') || '1314' || lpad((c_custkey % 97)::VARCHAR, 2, '0')")} = 1 AS ok FROM customer""")
+def iban_mod97(spark, sf_dir):
+    iban = F.concat(F.lit("DE"), F.lpad((F.col("c_custkey") % 97).cast("string"), 2, "0"), F.lit(" "), F.lpad(F.col("c_custkey").cast("string"), 18, "0"))
+    return table(spark, sf_dir, "customer").select("c_custkey", xp.iban_ok(iban).alias("ok"))
+
+
+_FLAGS = {"R1": "fatal", "R2": "warning", "R3": "information"}
+
+
+def _findings(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("R"), (F.col("o_orderkey") % 4).cast("string")).alias("rule_id"))
+    flag = F.when(F.col("rule_id") == "R1", "fatal").when(F.col("rule_id") == "R2", "warn").when(F.col("rule_id") == "R3", "info")
+    return rows.filter("rule_id <> 'R0' or doc_id % 3 = 0").withColumn("flag", flag)
+
+
+_FOUND = """f AS (SELECT o_orderkey AS doc_id, 'R' || (o_orderkey % 4) AS rule_id FROM orders WHERE o_orderkey % 4 <> 0 OR o_orderkey % 3 = 0),
+s AS (SELECT *, CASE rule_id WHEN 'R3' THEN 'warning' WHEN 'R2' THEN 'warning' ELSE 'error' END AS severity FROM f)"""
+
+
+@query(f"WITH {_FOUND} SELECT doc_id, rule_id, severity FROM s")
+def severity_override(spark, sf_dir):
+    return rules.severities(_findings(spark, sf_dir), rules.overrides_from(spark, {"R3": "warning"})).select("doc_id", "rule_id", "severity")
+
+
+@query(f"""WITH {_FOUND} SELECT o_orderkey AS doc_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS infos,
+count(*) FILTER (WHERE severity = 'error') = 0 AS valid FROM orders LEFT JOIN s ON o_orderkey = doc_id GROUP BY 1""")
+def doc_validity(spark, sf_dir):
+    found = rules.severities(_findings(spark, sf_dir), rules.overrides_from(spark, {"R3": "warning"}))
+    return rules.verdicts(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")), found)
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN 'xrechnung' WHEN 1 THEN 'en16931' WHEN 2 THEN 'facturx-basic' WHEN 3 THEN 'peppol' ELSE 'unknown' END AS profile FROM orders""")
+def detect_profile(spark, sf_dir):
+    from .plans.detect import profile_of
+
+    ids = F.array(*(F.lit(x) for x in ("urn:cen.eu:en16931:2017#compliant#urn:xeinkauf.de:kosit:xrechnung_3.0", "urn:cen.eu:en16931:2017", "urn:cen.eu:en16931:2017#compliant#urn:factur-x.eu:1p0:basic", "urn:cen.eu:en16931:2017#compliant#urn:fdc:peppol.eu:2017:poacc:billing:3.0", "urn:example:other")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), profile_of(F.element_at(ids, (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("profile"))
+
+
+@query("SELECT l_orderkey AS doc_id, arg_min(l_partkey, l_linenumber * 1000000000000::HUGEINT + l_partkey) AS first_item, count(*) AS n_lines FROM lineitem GROUP BY 1")
+def summary_first_value(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("first_item"), F.count("*").alias("n_lines"))
+
+
+@query(f"WITH {HEADERS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'BR-CO-10' AS rule_id, line_sum, line_total FROM h WHERE line_sum <> line_total")
+def shred_rule_e2e(spark, sf_dir):
+    """XML is written from the orders, shredded into nodes again, and BR-CO-10 evaluated on the nodes."""
+    from .plans.invoices import line_sum_findings
+    from .sources.shred import shred
+
+    docs = invoices_xml(spark, sf_dir)
+    return line_sum_findings(shred(docs))
+
+
+def invoices_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, xml): each order with lines as a small UBL invoice."""
+    money = lambda c: F.format_string("%s%d.%02d", F.when(F.col(c) < 0, "-").otherwise(""), F.floor(F.abs(c) / 100), F.abs(c) % 100)
+    head = headers(spark, sf_dir)
+    line = F.format_string('<cac:InvoiceLine><cbc:ID>%d</cbc:ID><cbc:LineExtensionAmount currencyID="EUR">%s</cbc:LineExtensionAmount></cac:InvoiceLine>', "line_no", money("net"))
+    body = lines(spark, sf_dir).select("doc_id", line.alias("x")).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("x")), "").alias("body"))
+    ns = 'xmlns="urn:oasis:names:specification:ubl:schema:xsd:Invoice-2" xmlns:cac="urn:oasis:names:specification:ubl:schema:xsd:CommonAggregateComponents-2" xmlns:cbc="urn:oasis:names:specification:ubl:schema:xsd:CommonBasicComponents-2"'
+    whole = F.format_string(f'<Invoice {ns}><cbc:ID>%d</cbc:ID><cac:LegalMonetaryTotal><cbc:LineExtensionAmount currencyID="EUR">%s</cbc:LineExtensionAmount></cac:LegalMonetaryTotal>%s</Invoice>', "doc_id", money("line_total"), "body")
+    return head.join(body, "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), whole.alias("xml"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shred_rule_e2e(spark, sf_dir)
