@@ -8,7 +8,11 @@ array (at most one per token), so places need no joins.
 
 from __future__ import annotations
 
+import itertools
 import os
+import sys
+import types
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +26,7 @@ from .common import stash, text_or_empty
 
 SEQUENCE, END_ID = 4096, 1
 #: A bin with at most so many free tokens is final; merge fan-in; items one task packs; words one task remembers.
-SLACK, FAN_IN, ITEMS_MOST, CACHE_MOST = 8, 8, 200_000, 400_000
+SLACK, FAN_IN, ITEMS_MOST, CACHE_MOST = 8, 8, 200_000, 600_000
 SPACES = " \t\n\r\x0b\x0c"
 #: Separators for str.split() that the tokenizer takes for characters.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
@@ -37,7 +41,8 @@ def tokenizer_path() -> str:
 class WordEncoder:
     """Token ids of whole texts through a bounded memory of the ids of their space-separated parts.
 
-    Valid for tokenizers whose tokens never span white space, as word_bpe's pre-tokenizer ensures.
+    Valid for byte-level BPE tokenizers whose tokens never span white space and that lower-case, as word_bpe does. A part of letters, alone or
+    with one full stop or comma behind it, goes to the BPE model at once; any other part goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -45,37 +50,63 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bpe = self.tokenizer.model
+        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"}
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.cores: dict[str, list[int]] = {}
         self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def core(self, word: str) -> list[int] | None:
+        """The ids of a part of letters only; None if it needs the whole tokenizer."""
+        ids = self.cores.get(word)
+        if ids is None:
+            if not word.isascii():
+                if not word.isalpha() or "\u03a3" in word or "\u0130" in word or not unicodedata.is_normalized("NFC", word):
+                    return None
+                name = word.lower().encode().decode("latin-1").translate(_BYTE_NAMES)
+            elif word.isalpha():
+                name = word.lower()
+            else:
+                return None
+            ids = self.cores[word] = [t.id for t in self.bpe.tokenize(name)]
+        return ids
+
     def learn(self, words: list[str]) -> None:
-        if len(self.at) + len(words) > CACHE_MOST:
-            self.clear()
-        found = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        found, hard = [], []
+        for i, w in enumerate(words):
+            mark = self.marks.get(w[-1])
+            ids = self.core(w[:-1] if mark and len(w) > 1 else w)
+            if ids is None:
+                hard.append(i)
+            elif mark and len(w) > 1:
+                ids = ids + mark
+            found.append(ids)
+        for i, e in zip(hard, self.tokenizer.encode_batch([words[i] for i in hard], add_special_tokens=False), strict=True):
+            found[i] = e.ids
         lens = np.fromiter(map(len, found), np.int64, len(found))
         begin = len(self.flat)
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32, int(lens.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lens.sum()))])
         self.start = np.concatenate([self.start, begin + np.cumsum(lens) - lens])
         self.length = np.concatenate([self.length, lens])
-        self.at |= zip(words, range(len(self.at), len(self.at) + len(words)), strict=True)
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, end to end, and the number of each text's ids."""
-        parts = [t.split() if not any(c in t for c in ODD_SPACES) and t.isascii() else [w for w in t.translate(_TO_SPACE).split(" ") if w] for t in texts]
+        parts = [t.split() if not any(c in t for c in ODD_SPACES) else [w for w in t.translate(_TO_SPACE).split(" ") if w] for t in texts]
         words = [w for p in parts for w in p]
-        new = set(words)
-        if len(new) > CACHE_MOST:  # one text with very many different words
+        distinct = set(words)
+        if len(distinct) > CACHE_MOST:  # one text with very many different words
             found = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
             return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
-        new = new - self.at.keys()
+        new = distinct - self.at.keys()
         if len(self.at) + len(new) > CACHE_MOST:
             self.clear()
-            new = set(words)
+            new = distinct
         if new:
-            self.learn(sorted(new))
+            self.learn(list(new))
         which = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         lens = self.length[which]
         ends = np.cumsum(lens)
@@ -86,6 +117,22 @@ class WordEncoder:
         return ids, np.diff(text_ends, prepend=0)
 
 
+def _byte_names() -> dict[int, str]:
+    """Characters that stand for bytes in byte-level BPE: printable Latin-1 itself, the other bytes U+0100 on, in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    """The worker process's encoder, kept over tasks with what it has learned."""
+    held = sys.modules.setdefault("_billprism_worker", types.ModuleType("_billprism_worker")).__dict__
+    if held.get("path") != path:
+        held |= {"path": path, "encoder": WordEncoder(path)}
+    return held["encoder"]
+
+
+_BYTE_NAMES = _byte_names()
 _TO_SPACE = {ord(c): " " for c in SPACES}
 
 
@@ -153,7 +200,7 @@ def pack_round(size: int, id_type: pa.DataType):
 
 def tokenise_and_pack(path: str, size: int, end_id: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, n = WordEncoder(path), [], 0
+        encoder, held, n = encoder_for(path), [], 0
         for batch in batches:
             texts = batch.column(1)
             step = max(1, int(batch.num_rows * (4 << 20) / max(1, batch.column(1).nbytes)))
