@@ -367,6 +367,15 @@ def shred_rule_e2e(spark, sf_dir):
     return line_sum_findings(shred(docs))
 
 
+@query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_microbatch(spark, sf_dir):
+    """The windowed count of a stream, over the table as one batch; the same plan runs on readStream."""
+    from .streaming.validation import event_counts
+
+    out = event_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
 def invoices_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, xml): each order with lines as a small UBL invoice."""
     money = lambda c: F.format_string("%s%d.%02d", F.when(F.col(c) < 0, "-").otherwise(""), F.floor(F.abs(c) / 100), F.abs(c) % 100)

@@ -84,18 +84,6 @@ def _trim(c) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def first(path: str, value: str = "sval", keep: Column | None = None) -> Column:
-    """An aggregate: the value of the first node in document order at a path, trimmed; '' counts as none."""
-    pattern = clark(path)
-    if "/*/" in pattern[:3] or "/*/" in pattern:
-        pattern = pattern.replace("/*/", "/", 1)
-        at = F.col("below_root") == pattern
-    else:
-        at = F.col("path_key") == pattern
-    test = at if keep is None else at & keep
-    return F.nullif(_trim(F.min_by(F.when(test, F.col(value)), F.when(test, F.col("pre")))), F.lit(""))
-
-
 def detect(nodes: DataFrame) -> DataFrame:
     """doc_id, status (null, ``xml``, ``zugferd-1`` or ``not-an-invoice``), syntax, spec_id, profile_id, profile_label, en16931."""
     ubl = clark("/cbc:CustomizationID")
@@ -155,7 +143,7 @@ def summarize(nodes: DataFrame) -> DataFrame:
     One pass and one shuffle on the document: each field is the first node in document order at its place.
     """
     attribute = nodes.filter("kind = 'attribute' and local in ('currencyID', 'schemeID')").groupBy("doc_id", "parent_pre").agg(F.max(F.when(F.col("local") == "currencyID", F.col("value"))).alias("currency_id"), F.max(F.when(F.col("local") == "schemeID", F.col("value"))).alias("scheme_id"))
-    elements = nodes.filter("kind = 'element'").withColumn("below_root", F.substring(F.regexp_replace("path_key", r"^/(\{[^}]*\})?[^/]*", ""), 2, 1 << 30))
+    elements = nodes.filter("kind = 'element'").withColumn("below_root", F.regexp_replace("path_key", r"^/(\{[^}]*\})?[^/]*", ""))
     wanted = {*UBL.values(), *CII.values()}
     tax = {"ubl": "/*/cac:TaxTotal/cbc:TaxAmount", "cii": _SUM + "ram:TaxTotalAmount"}
     vat = {who: _AG + f"ram:{p}TradeParty/ram:SpecifiedTaxRegistration/ram:ID" for who, p in (("seller", "Seller"), ("buyer", "Buyer"))}
