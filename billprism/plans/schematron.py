@@ -22,6 +22,7 @@ class Assertion:
     test: str
     report: bool
     message: list[tuple[str, str]]  # ("text", words), ("name", path) or ("value", expression)
+    place: int  # among its rule's assertions
 
 
 @dataclass
@@ -96,7 +97,7 @@ class Ruleset:
                     if c.ns == SCH and c.local == "let":
                         rule.lets.append((b["name"], b["value"]))
                     elif c.ns == SCH and c.local in ("assert", "report"):
-                        rule.asserts.append(Assertion(b.get("id", ""), flag_of(b.get("flag") or b.get("role")), b["test"], c.local == "report", _message(c)))
+                        rule.asserts.append(Assertion(b.get("id", ""), flag_of(b.get("flag") or b.get("role")), b["test"], c.local == "report", _message(c), len(rule.asserts)))
                 rules.append(rule)
         self.patterns.append(rules)
 
@@ -111,7 +112,7 @@ class Ruleset:
 
     def catalog(self) -> list[tuple]:
         """(rule_set, pattern_ord, rule_ord, assert_ord, id, flag, context, test)"""
-        return [(self.id, p, r, k, x.id, x.flag, rule.context, x.test) for p, rules in enumerate(self.patterns) for r, rule in enumerate(rules) for k, x in enumerate(rule.asserts)]
+        return [(self.id, p, r, x.place, x.id, x.flag, rule.context, x.test) for p, rules in enumerate(self.patterns) for r, rule in enumerate(rules) for x in rule.asserts]
 
 
 def flag_of(flag: str | None) -> str:
@@ -219,14 +220,14 @@ class Runner:
                         focus.variables[name] = self.eval(expr, focus)
                     except XPathError:
                         focus.variables[name] = []
-                for k, a in enumerate(rule.asserts):
+                for a in rule.asserts:
                     error = None
                     try:
                         fired = boolean(self.eval(a.test, focus)) == a.report
                     except (XPathError, RecursionError) as e:
                         fired, error = True, str(e)
                     if fired:
-                        yield p, pre, k, a.id, a.flag, self.render(a.message, focus), location(n) or "/", n.line, error
+                        yield p, pre, a.place, a.id, a.flag, self.render(a.message, focus), location(n) or "/", n.line, error
 
     def render(self, message: list[tuple[str, str]], focus: Focus) -> str:
         out = []

@@ -159,3 +159,32 @@ def test_stream(spark, tmp_path):
     q = start(stream_files(spark, str(tmp_path / "in"), 2), [Ruleset.from_text(RULES, "en16931-ubl")], str(tmp_path / "out"), str(tmp_path / "state"), available_now=True)
     q.awaitTermination(120)
     assert sorted(r["valid"] for r in spark.read.parquet(str(tmp_path / "out/results")).collect()) == [False, True, True]
+
+
+STRUCTURE = """<schema xmlns="http://purl.oclc.org/dsdl/schematron"><ns prefix="cac" uri="urn:oasis:names:specification:ubl:schema:xsd:CommonAggregateComponents-2"/><ns prefix="cbc" uri="urn:oasis:names:specification:ubl:schema:xsd:CommonBasicComponents-2"/>
+<ns prefix="ubl" uri="urn:oasis:names:specification:ubl:schema:xsd:Invoice-2"/>
+<pattern><rule context="/ubl:Invoice"><assert id="F1" flag="warning" test="not(cac:TaxTotal/cbc:TaxAmount)">no tax</assert><assert id="R1" test="cbc:DueDate">due</assert><assert id="R2" test="exists(cbc:ID)">id</assert>
+<assert id="C1" test="count(cac:InvoiceLine) &lt;= 1">one line</assert><assert id="C2" test="count(cac:InvoiceLine) >= 2">two lines</assert><assert id="X1" test="cbc:ID = 'B'">own</assert></rule>
+<rule context="cac:InvoiceLine"><assert id="F2" test="not(cbc:LineExtensionAmount/@currencyID)">no currency</assert><assert id="V1" test="not(cbc:ID)">has <value-of select="cbc:ID"/></assert></rule>
+<rule context="cac:InvoiceLine"><assert id="N1" test="cbc:Nothing">never owns</assert></rule>
+<rule context="cbc:TaxAmount[@currencyID = 'USD']"><assert id="P1" test="not(@currencyID)">usd</assert></rule><rule context="cac:TaxTotal/cbc:TaxAmount"><assert id="P2" test="not(@currencyID)">any</assert></rule></pattern></schema>"""
+
+
+def test_structural_plan_equals_per_document_evaluation(spark):
+    from billprism.plans.schematron import check
+    from billprism.plans.structural import findings, split
+
+    rules = Ruleset.from_text(STRUCTURE, "s")
+    shapes, rest = split(rules)
+    assert {s.rule_id for s in shapes} == {"F1", "R1", "R2", "C1", "C2", "F2"}
+    docs = spark.createDataFrame([("1", ubl()), ("2", ubl(lines=("1.00",))), ("3", ubl(lines=())), ("4", "<a")], "doc_id string, xml string")
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "pattern_ord", "node_pre", "rule_id", "flag", "message", "location", "line").collect()))
+    both = key(findings(shred(docs), shapes)) + key(check(docs, [rest]))
+    assert sorted(both) == key(check(docs, [rules]))
+
+
+def test_validation_is_the_same_with_and_without_joins(spark):
+    rules = [Ruleset.from_text(STRUCTURE, "en16931-ubl"), Ruleset.from_text(RULES, "own-ubl")]
+    docs = documents.from_rows(spark.createDataFrame([(0, "a", ubl()), (1, "b", ubl(lines=("1.00",), total="1.00")), (2, "c", "<a")], "input_idx long, name string, content string"))
+    plain, joined = (sorted(map(str, validate(docs, rules, Options(["en16931-ubl", "own"], structural=s, keep_nodes=s)).findings.collect())) for s in (False, True))
+    assert plain == joined and any("own-ubl" in x for x in plain) and any("R1" in x for x in plain)
