@@ -115,7 +115,7 @@ def card_duplicate_line_id(spark, sf_dir):
 
 @query("SELECT event_id, lexical FROM (SELECT event_id, rtrim(CAST(CAST(CAST(value AS DECIMAL(16,2)) * 0.25 AS DECIMAL(18,4)) AS VARCHAR), '0') AS lexical FROM events) WHERE length(split_part(lexical, '.', 2)) > 2")
 def br_dec_max_two_decimals(spark, sf_dir):
-    lexical = F.rtrim(F.lit("0"), (F.col("value").cast("decimal(16,2)") * F.lit("0.25").cast("decimal(3,2)")).cast("decimal(18,4)").cast("string"))
+    lexical = F.rtrim((F.col("value").cast("decimal(16,2)") * F.lit("0.25").cast("decimal(3,2)")).cast("decimal(18,4)").cast("string"), F.lit("0"))
     return table(spark, sf_dir, "events").select("event_id", lexical.alias("lexical")).filter(~xp.two_decimals("lexical"))
 
 
@@ -376,6 +376,64 @@ def stream_microbatch(spark, sf_dir):
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
+RULES = """<schema xmlns="http://purl.oclc.org/dsdl/schematron"><ns prefix="ubl" uri="urn:oasis:names:specification:ubl:schema:xsd:Invoice-2"/>
+<ns prefix="cac" uri="urn:oasis:names:specification:ubl:schema:xsd:CommonAggregateComponents-2"/><ns prefix="cbc" uri="urn:oasis:names:specification:ubl:schema:xsd:CommonBasicComponents-2"/>
+<pattern><rule context="/ubl:Invoice"><assert id="LINES" flag="warning" test="count(cac:InvoiceLine) &lt;= 4">at most four lines</assert><assert id="DUE" test="cbc:DueDate">a due date</assert></rule>
+<rule context="cac:LegalMonetaryTotal"><let name="sum" value="sum(../cac:InvoiceLine/cbc:LineExtensionAmount/xs:decimal(.))"/><assert id="SUM" test="xs:decimal(cbc:LineExtensionAmount) = $sum">sum</assert></rule></pattern></schema>"""
+_FIRED = f"""WITH {HEADERS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'LINES' AS rule_id, '/Invoice' AS location FROM h WHERE n_lines > 4
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'DUE', '/Invoice' FROM h"""
+
+
+@query(f"{_FIRED} UNION ALL SELECT CAST(doc_id AS VARCHAR), 'SUM', '/Invoice/cac:LegalMonetaryTotal' FROM h WHERE line_sum <> line_total")
+def schematron_rules_e2e(spark, sf_dir):
+    """A rule set over the orders' XML: structural assertions as joins over all documents, the others document by document."""
+    from .plans import structural
+    from .plans.schematron import Ruleset, check
+    from .sources.shred import shred
+
+    docs = invoices_xml(spark, sf_dir)
+    shapes, rest = structural.split(Ruleset.from_text(RULES, "orders"))
+    columns = ["doc_id", "rule_id", "location"]
+    return structural.findings(shred(docs), shapes).select(columns).unionByName(check(docs, [rest]).select(columns))
+
+
+@query(_FIRED)
+def structural_rules_e2e(spark, sf_dir):
+    """Forbidden, required and counted nodes as broadcast joins on the node relation."""
+    from .plans import structural
+    from .plans.schematron import Ruleset
+    from .sources.shred import shred
+
+    shapes, _ = structural.split(Ruleset.from_text(RULES, "orders"))
+    return structural.findings(shred(invoices_xml(spark, sf_dir)), shapes).select("doc_id", "rule_id", "location")
+
+
+@query(f"""WITH {HEADERS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(doc_id AS VARCHAR) AS number, printf('%d.%02d', line_total // 100, line_total % 100) AS line_total, CAST(n_lines AS INTEGER) AS line_count, 'ubl-invoice' AS syntax, 'unknown' AS profile_id FROM h""")
+def summary_and_detection_e2e(spark, sf_dir):
+    from .plans.detect import detect, summarize
+    from .sources.shred import shred
+
+    nodes = shred(invoices_xml(spark, sf_dir))
+    return summarize(nodes).select("doc_id", "number", "line_total", "line_count").join(detect(nodes).select("doc_id", "syntax", "profile_id"), "doc_id")
+
+
+_U, _A, _B = ("urn:oasis:names:specification:ubl:schema:xsd:" + x for x in ("Invoice-2", "CommonAggregateComponents-2", "CommonBasicComponents-2"))
+_XS = 'xmlns:xs="http://www.w3.org/2001/XMLSchema" elementFormDefault="qualified"'
+SCHEMAS = {
+    "main.xsd": f'<xs:schema {_XS} targetNamespace="{_U}" xmlns:a="{_A}" xmlns:b="{_B}"><xs:import namespace="{_A}" schemaLocation="a.xsd"/><xs:import namespace="{_B}" schemaLocation="b.xsd"/><xs:element name="Invoice"><xs:complexType><xs:sequence><xs:element ref="b:ID"/><xs:element ref="a:LegalMonetaryTotal"/><xs:element ref="a:InvoiceLine" maxOccurs="5"/></xs:sequence></xs:complexType></xs:element></xs:schema>',
+    "a.xsd": f'<xs:schema {_XS} targetNamespace="{_A}" xmlns:b="{_B}"><xs:import namespace="{_B}" schemaLocation="b.xsd"/><xs:element name="LegalMonetaryTotal"><xs:complexType><xs:sequence><xs:element ref="b:LineExtensionAmount"/></xs:sequence></xs:complexType></xs:element><xs:element name="InvoiceLine"><xs:complexType><xs:sequence><xs:element ref="b:ID"/><xs:element ref="b:LineExtensionAmount"/></xs:sequence></xs:complexType></xs:element></xs:schema>',
+    "b.xsd": f'<xs:schema {_XS} targetNamespace="{_B}"><xs:element name="ID" type="xs:token"/><xs:element name="LineExtensionAmount"><xs:complexType><xs:simpleContent><xs:extension base="xs:decimal"><xs:attribute name="currencyID" use="required"/></xs:extension></xs:simpleContent></xs:complexType></xs:element></xs:schema>',
+}
+
+
+@query(f"WITH {HEADERS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'too-many' AS kind, '/Invoice/cac:InvoiceLine[6]' AS location FROM h WHERE n_lines > 5")
+def schema_check_e2e(spark, sf_dir):
+    """XML Schema over the orders' XML."""
+    from .plans.schema import Schema, check
+
+    return check(invoices_xml(spark, sf_dir), Schema.from_texts(SCHEMAS, "main.xsd")).select("doc_id", "kind", "location")
+
+
 def invoices_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, xml): each order with lines as a small UBL invoice."""
     money = lambda c: F.format_string("%s%d.%02d", F.when(F.col(c) < 0, "-").otherwise(""), F.floor(F.abs(c) / 100), F.abs(c) % 100)
