@@ -188,3 +188,21 @@ def test_validation_is_the_same_with_and_without_joins(spark):
     docs = documents.from_rows(spark.createDataFrame([(0, "a", ubl()), (1, "b", ubl(lines=("1.00",), total="1.00")), (2, "c", "<a")], "input_idx long, name string, content string"))
     plain, joined = (sorted(map(str, validate(docs, rules, Options(["en16931-ubl", "own"], structural=s, keep_nodes=s)).findings.collect())) for s in (False, True))
     assert plain == joined and any("own-ubl" in x for x in plain) and any("R1" in x for x in plain)
+
+
+def test_paths_and_catalog(spark):
+    from billprism.plans import paths
+
+    ns = {"cac": "urn:oasis:names:specification:ubl:schema:xsd:CommonAggregateComponents-2", "cbc": "urn:oasis:names:specification:ubl:schema:xsd:CommonBasicComponents-2", "u": "urn:oasis:names:specification:ubl:schema:xsd:Invoice-2"}
+    docs = spark.createDataFrame([("1", ubl()), ("2", ubl(lines=("1.00",))), ("3", "<a")], "doc_id string, xml string")
+    nodes = shred(docs).cache()
+    for expr in ("//cac:InvoiceLine/cbc:ID", "/u:Invoice/cbc:ID", "//cbc:LineExtensionAmount/@currencyID", "//cac:InvoiceLine[2]", "//cac:TaxTotal/cbc:TaxAmount[1]"):
+        assert paths.is_plain(expr)
+        want = sorted((r["doc_id"], r["location"], r["value"]) for r in paths.select_path(docs, expr, ns).collect())
+        assert want and sorted((r["doc_id"], r["location"], r["sval"]) for r in paths.on_nodes(nodes, expr, ns).collect()) == want
+    rows = paths.select_path(docs, "sum(//cac:InvoiceLine/xs:decimal(cbc:LineExtensionAmount))", ns).collect()
+    assert sorted((r["doc_id"], r["value"]) for r in rows) == [("1", "30"), ("2", "1")]
+    assert {r["error"] for r in paths.select_path(docs, "1 idiv 0").collect()} == {"FOAR0001"}
+    catalog = paths.rule_catalog(spark, [Ruleset.from_text(STRUCTURE, "s"), Ruleset.from_text(RULES, "r")])
+    info = {r["rule_set"]: r.asDict() for r in paths.rule_set_info(catalog).collect()}
+    assert info["s"] == {"rule_set": "s", "assertions": 11, "fatal": 10, "warning": 1, "information": 0, "joins": 6} and info["r"]["information"] == 1
