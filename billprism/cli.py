@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     commands = parser.add_subparsers(dest="command", required=True)
     v = commands.add_parser("validate")
     v.add_argument("files", nargs="+")
-    v.add_argument("--rules", action="append", default=[], help="a Schematron file; its name is the rule set's id")
+    v.add_argument("--rules", action="append", default=[], help="a Schematron file; its name is the rule set's id; without one the built-in core rules are checked")
     v.add_argument("--rule-set", action="append", help="ids or families to run instead of those of the profile")
     v.add_argument("--json", action="store_true")
     v.add_argument("--no-leitweg", action="store_true")
@@ -61,7 +61,7 @@ def _validate(args) -> int:
 
     spark = _session()
     try:
-        found = validate(from_list(spark, args.files), _rulesets(args.rules), Options(args.rule_set, not args.no_leitweg, "strict" if args.strict_extended else "lenient"))
+        found = validate(from_list(spark, args.files), _rulesets(args.rules) or None, Options(args.rule_set, not args.no_leitweg, "strict" if args.strict_extended else "lenient"))
     except RulesetError as error:
         print(f"SUM-RULESET: {error}", file=sys.stderr)
         return USAGE

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
-from invoices import RULES, pdf, ubl
+from invoices import NS, RULES, pdf, ubl
 
 from billprism.api import Options, RulesetError, report, validate
 from billprism.functions import xp
@@ -206,3 +206,23 @@ def test_paths_and_catalog(spark):
     catalog = paths.rule_catalog(spark, [Ruleset.from_text(STRUCTURE, "s"), Ruleset.from_text(RULES, "r")])
     info = {r["rule_set"]: r.asDict() for r in paths.rule_set_info(catalog).collect()}
     assert info["s"] == {"rule_set": "s", "assertions": 11, "fatal": 10, "warning": 1, "information": 0, "joins": 6} and info["r"]["information"] == 1
+
+
+def test_core_rules(spark):
+    from billprism.plans.core_rules import RULES as CORE
+
+    assert len({x[0] for x in CORE}) == len(CORE) > 130
+    party = "<cac:Party><cac:PostalAddress><cac:Country><cbc:IdentificationCode>DE</cbc:IdentificationCode></cac:Country></cac:PostalAddress><cac:PartyTaxScheme><cbc:CompanyID>DE1</cbc:CompanyID><cac:TaxScheme><cbc:ID>VAT</cbc:ID></cac:TaxScheme></cac:PartyTaxScheme><cac:PartyLegalEntity><cbc:RegistrationName>N</cbc:RegistrationName></cac:PartyLegalEntity></cac:Party>"
+    rate = lambda tag: f"<cac:{tag}><cbc:ID>S</cbc:ID><cbc:Percent>19</cbc:Percent><cac:TaxScheme><cbc:ID>VAT</cbc:ID></cac:TaxScheme></cac:{tag}>"
+    xml = f"""<Invoice {NS}><cbc:CustomizationID>urn:cen.eu:en16931:2017</cbc:CustomizationID><cbc:ID>1</cbc:ID><cbc:IssueDate>2024-01-02</cbc:IssueDate><cbc:DueDate>2024-02-02</cbc:DueDate><cbc:InvoiceTypeCode>380</cbc:InvoiceTypeCode><cbc:DocumentCurrencyCode>EUR</cbc:DocumentCurrencyCode>
+    <cac:AccountingSupplierParty>{party}</cac:AccountingSupplierParty><cac:AccountingCustomerParty>{party}</cac:AccountingCustomerParty>
+    <cac:TaxTotal><cbc:TaxAmount currencyID="EUR">19.00</cbc:TaxAmount><cac:TaxSubtotal><cbc:TaxableAmount>100.00</cbc:TaxableAmount><cbc:TaxAmount>19.00</cbc:TaxAmount>{rate("TaxCategory")}</cac:TaxSubtotal></cac:TaxTotal>
+    <cac:LegalMonetaryTotal><cbc:LineExtensionAmount>100.00</cbc:LineExtensionAmount><cbc:TaxExclusiveAmount>100.00</cbc:TaxExclusiveAmount><cbc:TaxInclusiveAmount>119.00</cbc:TaxInclusiveAmount><cbc:PayableAmount>119.00</cbc:PayableAmount></cac:LegalMonetaryTotal>
+    <cac:InvoiceLine><cbc:ID>1</cbc:ID><cbc:InvoicedQuantity unitCode="C62">1</cbc:InvoicedQuantity><cbc:LineExtensionAmount>100.00</cbc:LineExtensionAmount><cac:Item><cbc:Name>x</cbc:Name>{rate("ClassifiedTaxCategory")}</cac:Item><cac:Price><cbc:PriceAmount>100.00</cbc:PriceAmount></cac:Price></cac:InvoiceLine></Invoice>"""
+    cases = {
+        "good": (xml, set()), "due": (xml.replace("PayableAmount>119.00", "PayableAmount>120.00"), {"BR-CO-16"}), "country": (xml.replace("<cbc:IdentificationCode>DE</cbc:IdentificationCode>", "", 1), {"BR-09"}), "decimals": (xml.replace("TaxableAmount>100.00", "TaxableAmount>100.001"), {"BR-DEC-19"}),
+        "rate": (xml.replace("<cbc:Percent>19</cbc:Percent><cac:TaxScheme><cbc:ID>VAT</cbc:ID></cac:TaxScheme></cac:ClassifiedTaxCategory>", "<cbc:Percent>0</cbc:Percent><cac:TaxScheme><cbc:ID>VAT</cbc:ID></cac:TaxScheme></cac:ClassifiedTaxCategory>"), {"BR-S-05"}), "sum": (xml.replace("LineExtensionAmount>100.00", "LineExtensionAmount>99.00", 1), {"BR-CO-10", "BR-CO-13"}),
+    }
+    docs = documents.from_rows(spark.createDataFrame([(i, n, x) for i, (n, (x, _)) in enumerate(cases.items())], "input_idx long, name string, content string"))
+    got = {r["name"]: set(ids(r.asDict(True))) for r in validate(docs).results.collect()}
+    assert got == {n: want for n, (_, want) in cases.items()}
