@@ -123,8 +123,8 @@ CATEGORIES = (("S", "S", False), ("Z", "Z", True), ("E", "E", True), ("AE", "AE"
 
 
 def _category(code: str, name: str, zero: bool) -> list[tuple[str, str, str, str]]:
-    vat = f"cac:TaxCategory[cbc:ID = '{code}'][cac:TaxScheme/cbc:ID = 'VAT']"
-    item = f"cac:Item/cac:ClassifiedTaxCategory[cbc:ID = '{code}'][cac:TaxScheme/cbc:ID = 'VAT']"
+    vat = f"cac:TaxCategory[normalize-space(cbc:ID) = '{code}'][cac:TaxScheme/normalize-space(cbc:ID) = 'VAT']"
+    item = f"cac:Item/cac:ClassifiedTaxCategory[normalize-space(cbc:ID) = '{code}'][cac:TaxScheme/normalize-space(cbc:ID) = 'VAT']"
     used = f"(cac:AllowanceCharge/{vat} or {_LINES}/{item})"
     broken = f"cac:TaxTotal/cac:TaxSubtotal/{vat}"
     seller = f"({_SELLER}/cac:PartyTaxScheme/cbc:CompanyID or cac:TaxRepresentativeParty/cac:PartyTaxScheme[cac:TaxScheme/cbc:ID = 'VAT']/cbc:CompanyID)"
