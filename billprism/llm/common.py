@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,6 +28,7 @@ def scratch(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="billprism-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -59,6 +62,7 @@ def text_or_empty(col: str = "text"):
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and n + 1 offsets into them; null is empty."""
+    pa.default_memory_pool().release_unused()  # of earlier batches, as an executor's memory is shared with its JVM
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:

@@ -15,6 +15,7 @@ A document is its set of distinct 5-word shingles. Two documents link where inte
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from .graph import components
 SHINGLE = 5
 #: Slots of the table of shingle counts, and members of a family that one task compares.
 SLOT_BITS, BLOCK = 22, 2000
+#: Slots that travel together; bytes of text and prefix shingles that one numpy pass holds.
+SLOT_BLOCK, PASS_BYTES, PREFIX_MOST = 4096, 2 << 20, 200_000
 #: Slots of the filter that keeps texts from a shuffle for the few documents that are compared again.
 KEY_SLOTS = 1 << 18
 #: Bits of a signature, children of a tree node.
@@ -65,30 +68,43 @@ def shingle_hashes(raw: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """Each row's number and sorted set of shingles."""
     raw, offs = text_buffers(column)
-    for i, j in spans_of(offs):
+    for i, j in spans_of(offs, PASS_BYTES):
         hashes, at = shingle_hashes(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
         for r in range(i, j):
             yield r, np.unique(hashes[at[r - i] : at[r - i + 1]])
 
 
 def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SLOT_BITS, np.int64)
+    """A task's counts, up to 255 each, in compressed blocks of SLOT_BLOCK slots."""
+    total = np.zeros(1 << SLOT_BITS, np.uint32)
     for b in batches:
         raw, offs = text_buffers(b.column(0))
-        for i, j in spans_of(offs):
+        for i, j in spans_of(offs, PASS_BYTES):
             h, _ = shingle_hashes(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            total += np.bincount((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
-    slot = np.flatnonzero(total > 1)  # a task's single ones are of no account for the order
-    yield pa.record_batch({"slot": pa.array(slot.astype(np.int32)), "n": pa.array(total[slot])})
+            np.add.at(total, h >> np.uint64(64 - SLOT_BITS), 1)
+    if total.any():
+        blocks = np.minimum(total, 255).astype(np.uint8).reshape(-1, SLOT_BLOCK)
+        yield pa.record_batch({"block": pa.array(np.arange(len(blocks), dtype=np.int32)), "n": pa.array([zlib.compress(x.tobytes(), 1) for x in blocks], pa.binary())})
+
+
+def _add_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            total.setdefault(k, np.zeros(SLOT_BLOCK, np.int64))
+            total[k] += np.frombuffer(zlib.decompress(n), np.uint8)
+    if total:
+        yield pa.record_batch({"block": pa.array(list(total), pa.int32()), "n": pa.array([np.minimum(x, 1 << 30).astype(np.int32).tobytes() for x in total.values()], pa.binary())})
 
 
 def slot_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Shingles of the whole table by slot; the table has 2 ** SLOT_BITS entries whatever the input."""
-    found = docs.select(text_or_empty(text_col).alias("t")).mapInArrow(_count_slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    t = found.toArrow()
-    out = np.zeros(1 << SLOT_BITS, np.int32)
-    out[t["slot"].to_numpy()] = np.minimum(t["n"].to_numpy(), np.iinfo(np.int32).max)
-    return out
+    kind = "block int, n binary"
+    t = docs.select(text_or_empty(text_col).alias("t")).mapInArrow(_count_slots, kind).repartition("block").mapInArrow(_add_slots, kind).toArrow()
+    out = np.zeros((1 << SLOT_BITS) // SLOT_BLOCK * SLOT_BLOCK, np.int32).reshape(-1, SLOT_BLOCK)
+    for k, n in zip(t["block"].to_pylist(), t["n"].to_pylist(), strict=True):
+        out[k] = np.frombuffer(n, np.int32)
+    return out.ravel()
 
 
 #: Rows of the shared shuffle: n >= 0 a document (tok, other: its set's hash); -1 a prefix shingle, or several of a cluster, with their
@@ -109,32 +125,36 @@ def _prefixes(counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
         for b in batches:
-            keys = b.column(0).to_numpy()
-            toks, docs, lows, reaches, info = [], [], [], [], []
+            keys, held, info, n_held = b.column(0).to_numpy(), [], [], 0
             for r, s in _sets(b.column(1)):
                 n = len(s)
                 if n:
                     p = n - -(-4 * n // 5) + 1
                     rare = np.argsort(order[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], kind="stable")[:p]
-                    toks.append(s[rare])
-                    docs.append(np.full(p, keys[r]))
-                    lows.append(np.full(p, n))
-                    reaches.append(9 * (n - np.arange(p)) // 4 - n)
+                    held.append((s[rare], np.full(p, keys[r]), np.full(p, n), 9 * (n - np.arange(p)) // 4 - n))
+                    n_held += p
                     h1, h2 = mix64(s).sum(dtype=np.uint64), mix64(s ^ _BASE).sum(dtype=np.uint64)
                 else:
                     h1, h2 = mix64(np.array([keys[r]]).astype(np.uint64))[0], np.uint64(0)
                 info.append((int(np.int64(h1)), int(keys[r]), int(np.int64(h2)), n))
-            yield _flow(*(np.array(c, np.int64) for c in zip(*info, strict=True))) if info else _flow(*[np.zeros(0, np.int64)] * 4)
-            if not toks:
-                continue
-            tok, doc, low, reach = np.concatenate(toks).view(np.int64), np.concatenate(docs), np.concatenate(lows), np.concatenate(reaches)
-            at = np.lexsort((doc, low, tok))
-            tok, doc, low, reach = tok[at], doc[at], low[at], reach[at]
-            new = _clusters(tok, low, reach)
-            begin = np.flatnonzero(new)
-            lead = doc[begin][np.cumsum(new) - 1]
-            yield _flow(tok[new], doc[new], low[new] << 32 | np.maximum.reduceat(reach, begin), np.full(len(begin), -1))
-            yield from _edges(doc[~new], lead[~new])
+                if n_held >= PREFIX_MOST:
+                    yield from merged(held)
+                    held, n_held = [], 0
+            if held:
+                yield from merged(held)
+            if info:
+                yield _flow(*(np.array(c, np.int64) for c in zip(*info, strict=True)))
+
+    def merged(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        tok, doc, low, reach = (np.concatenate(x) for x in zip(*held, strict=True))
+        tok = tok.view(np.int64)
+        at = np.lexsort((doc, low, tok))
+        tok, doc, low, reach = tok[at], doc[at], low[at], reach[at]
+        new = _clusters(tok, low, reach)
+        begin = np.flatnonzero(new)
+        lead = doc[begin][np.cumsum(new) - 1]
+        yield _flow(tok[new], doc[new], low[new] << 32 | np.maximum.reduceat(reach, begin), np.full(len(begin), -1))
+        yield from _edges(doc[~new], lead[~new])
 
     return run
 
