@@ -21,6 +21,7 @@ _PATH = re.compile(rf"(?:{_NAME}/)*@?{_NAME}")
 _CONTEXT = re.compile(rf"(//|/)((?:{_NAME}/)*{_NAME})")
 _FORBID = re.compile(rf"not\(\s*({_PATH.pattern})\s*\)")
 _REQUIRE = re.compile(rf"(?:exists\(\s*({_PATH.pattern})\s*\)|\(?\s*({_PATH.pattern})\s*\)?)")
+_STEP_NAME = rf"@?{_NAME}"
 _COUNT = re.compile(rf"count\(\s*({_PATH.pattern})\s*\)\s*(<=|<|=|>=|>)\s*(\d+)")
 
 
@@ -66,19 +67,50 @@ def _bounds(a: Assertion) -> tuple[str, int, int] | None:
     return None
 
 
+def _bare(path: str) -> str:
+    """A path without its predicates."""
+    out, depth, quote = [], 0, ""
+    for ch in path:
+        if quote:
+            quote = "" if ch == quote else quote
+        elif depth and ch in "'\"":
+            quote = ch
+        elif ch == "[":
+            depth += 1
+        elif ch == "]":
+            depth -= 1
+            continue
+        if not depth:
+            out.append(ch)
+    return "".join(out).strip()
+
+
+_ENDING = re.compile(r"\*\[\s*ends-with\(\s*(?:local-)?name\(\)\s*,\s*'([\w.-]+)'\s*\)(?:(?!\bor\b).)*\]$", re.S)
+
+
 def _last(context: str, ns: dict[str, str]) -> set[str] | None:
-    """The names of nodes that a context may select; None if that is not plain from it."""
+    """The names of nodes that a context may select, ``*x`` for any name that ends in x; None if that is not plain from it."""
     out = set()
     for b in branches(context):
-        b = re.sub(r"\[[^\[\]]*\]$", "", b.strip())
-        m = _CONTEXT.fullmatch(b)
-        steps = m and _steps(m[2], ns)
+        last = _bare(b).rsplit("/", 1)[-1]
+        ending = _ENDING.search(b)
+        if last == "*" and ending:
+            out.add("*" + ending[1])
+            continue
+        steps = _steps(last, ns) if re.fullmatch(_STEP_NAME, last) else None
         if not steps:
             return None
         out.add(steps[-1])
     return out
 
 
+def _clash(names: set[str], taken: set[str]) -> bool:
+    """Whether a name of one set may be one of the other."""
+    end = lambda x: x[1:] if x[0] == "*" else x
+    may = lambda a, b: a == b or (a[0] == "*" and end(b).endswith(end(a))) or (b[0] == "*" and end(a).endswith(end(b)))
+    return any(may(a, b) for a in names for b in taken)
+
+
 def split(rules: Ruleset) -> tuple[list[Shape], Ruleset]:
     """The structural assertions, and a rule set of the others with all rules in place, so that ownership is unchanged.
 
@@ -92,7 +124,7 @@ def split(rules: Ruleset) -> tuple[list[Shape], Ruleset]:
         for rule in pattern:
             names = _last(rule.context, rules.namespaces)
             plain = [_CONTEXT.fullmatch(b) for b in branches(rule.context)]
-            own = taken is not None and names is not None and not names & taken and all(plain)
+            own = taken is not None and names is not None and not _clash(names, taken) and all(plain)
             steps = [(_steps(m[2], rules.namespaces), m[1] == "/") for m in plain] if own else []
             # a node that two branches of one context select is one context
             own = own and len({s[-1] for s, _ in steps}) == len(steps)
