@@ -119,11 +119,14 @@ def postings(docs: DataFrame, trigrams: list[str], key: str = "__key", text: str
 
 
 def candidates(index: DataFrame, rules=RULES, key: str = "__key") -> DataFrame:
-    """(key, rules: bits of the rules whose query the text meets), by intersecting postings; texts that meet none are absent."""
+    """(key, rules: bits of the rules whose query the text meets), by intersecting postings; texts that meet none are absent.
+
+    The broadcast plan has a row for each trigram of each alternative of the rules.
+    """
     rows = [(r, c, a, t, len(alt)) for r, rule in enumerate(rules) for c, clause in enumerate(trigram_query(rule.regex)) for a, alt in enumerate(clause) for t in sorted(alt)]
     need = {r: len(trigram_query(rule.regex)) for r, rule in enumerate(rules)}
     plan = index.sparkSession.createDataFrame(rows, "rule int, clause int, alt int, trigram string, n int")
-    met = index.join(plan, "trigram").groupBy(key, "rule", "clause", "alt", "n").agg(F.count("*").alias("k")).filter("k = n")
+    met = index.join(F.broadcast(plan), "trigram").groupBy(key, "rule", "clause", "alt", "n").agg(F.count("*").alias("k")).filter("k = n")
     met = met.groupBy(key, "rule").agg(F.count_distinct("clause").alias("k"))
     whole = F.array(*(F.lit(need[r]) for r in range(len(rules))))
     return met.filter(F.col("k") == F.element_at(whole, F.col("rule") + 1)).groupBy(key).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("rule"))).alias("rules"))
