@@ -8,6 +8,7 @@ trigrams stand in the paragraph. Scanning uses DataFrame functions only; the n-g
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import numpy as np
@@ -46,11 +47,13 @@ TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 GRAMS = (1, 2, 3)
 #: Share of a template's trigrams that a paragraph holds to confirm it, and passes and weight decay of the fit.
 CONFIRM, PASSES, DECAY = 0.6, 400, 1e-3
+#: Trigrams that make two overlapping runs readings of the same words (LGPL headers hold most of the GPL's).
+SISTER = 3
+#: Words of the longest template; a notice may be wrapped over lines that hold so many between its first and last.
+WIDE = max(len(re.findall(TOKEN, t.lower())) for texts in TEMPLATES.values() for t in texts)
 
 
 def grams(text: str) -> list[tuple[str, ...]]:
-    import re
-
     words = re.findall(TOKEN, text.lower())
     return [tuple(words[i : i + n]) for n in GRAMS for i in range(len(words) - n + 1)]
 
@@ -96,44 +99,84 @@ def model() -> tuple[list[str], dict[tuple[str, ...], np.ndarray], np.ndarray, f
     return families, {g: w[i] for g, i in vocabulary.items()}, b, temperature, least
 
 
+def _let(value, body):
+    """body of value, which is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _runs(low, cue):
+    """The runs of lines to score: structs of first and last line, words, and whether a line has a cue.
+
+    A run begins at any line and goes on while the lines between its first and last hold fewer than WIDE words and each has one, so a notice wrapped
+    over lines has a run of just its lines. Of the first and last of several lines only the WIDE words next to the others count.
+    """
+
+    def of_line(rows, i):
+        ahead = F.aggregate(
+            F.slice(rows, i + 1, F.lit(WIDE)), F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open")),
+            lambda s, r: _let(s["open"] & (s["used"] < WIDE) & (F.size(r["w"]) > 0), lambda go: F.struct((s["used"] + F.when(go, F.size(r["w"])).otherwise(0)).alias("used"), (s["n"] + go.cast("int")).alias("n"), go.alias("open"))),
+        )["n"]
+
+        def run(d):
+            first, last = F.element_at(rows, i)["w"], F.element_at(rows, i + d)["w"]
+            within = F.flatten(F.transform(F.slice(rows, i + 1, F.greatest(d - 1, F.lit(0))), lambda r: r["w"]))
+            several = F.concat(F.slice(first, F.greatest(F.size(first) - WIDE + 1, F.lit(1)), F.lit(WIDE)), within, F.slice(last, F.lit(1), F.lit(WIDE)))
+            return F.struct((i - 1).alias("line"), (i - 1 + d).alias("last"), F.when(d == 0, first).otherwise(several).alias("w"), F.exists(F.slice(rows, i, d + 1), lambda r: r["cue"]).alias("cue"))
+
+        return F.filter(F.transform(F.sequence(F.lit(0), ahead), run), lambda r: r["cue"])
+
+    def of_text(rows):
+        starts = F.filter(F.sequence(F.lit(1), F.size(rows)), lambda i: (F.size(F.element_at(rows, i)["w"]) > 0) & F.exists(F.slice(rows, i, F.lit(WIDE + 1)), lambda r: r["cue"]))
+        return F.flatten(F.transform(starts, lambda i: of_line(rows, i)))
+
+    return _let(F.transform(F.split(low, r"\n"), lambda p: F.struct(F.regexp_extract_all(p, F.lit(f"({TOKEN})"), F.lit(1)).alias("w"), cue(p).alias("cue"))), of_text)
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_notices, families (sorted, comma-joined), top_family, top_score, n_unconfirmed.
 
-    Paragraphs are lines. Null and empty texts have no notice: families is empty, top_family ``unknown``, top_score 0. Ties go to the family
-    that comes first by name. Rows of repeated or null ids are scanned for themselves; an empty table gives no rows.
+    Paragraphs are single lines and runs of lines (see _runs). Of a family's confirmed runs those count that hold no narrower one; of two that
+    overlap, are of different families and rest on SISTER trigrams in common, the one with the smaller share of its template does not; n_notices is the
+    most that do not overlap within a family. n_unconfirmed counts lines with a cue and a prediction that are in no notice. Null and empty texts have no notice: families is
+    empty, top_family ``unknown``, top_score 0. Ties go to the family that comes first by name. Rows of repeated or null ids are scanned for
+    themselves; an empty table gives no rows.
     """
     spark = docs.sparkSession
     families, weights, bias, temperature, least = model()
     own = keyed(docs, id_col)
     low = F.lower(F.col(text_col))
     cue = lambda c: F.greatest(*(F.contains(c, F.lit(x)) for x in CUES))
-    lines = own.select("__key", low.alias("_low")).filter(cue(F.col("_low"))).select("__key", F.posexplode(F.split("_low", r"\n")).alias("line", "p")).filter(cue(F.col("p")))
-    words = lines.select("__key", "line", F.regexp_extract_all("p", F.lit(f"({TOKEN})"), F.lit(1)).alias("w"))
+    words = own.select("__key", low.alias("_low")).filter(cue(F.col("_low"))).select("__key", F.explode(_runs(F.col("_low"), cue)).alias("r")).select("__key", "r.line", "r.last", "r.w")
     of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
-    each = words.select("__key", "line", F.explode(F.array_distinct(F.concat(*(F.when(F.size("w") >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in GRAMS)))).alias("gram"))
-    table = spark.createDataFrame([(" ".join(g), [float(v) for v in w]) for g, w in weights.items()], "gram string, w array<double>")
+    each = words.select("__key", "line", "last", F.explode(F.array_distinct(F.concat(*(F.when(F.size("w") >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in GRAMS)))).alias("gram"))
+    templates = [(family, {g for g in grams(text) if len(g) == 3}) for family, texts in TEMPLATES.items() for text in texts]
+    held = lambda g: [t for t, (_, own_grams) in enumerate(templates) if g in own_grams]
+    table = spark.createDataFrame([(" ".join(g), [float(v) for v in w], i, held(g)) for i, (g, w) in enumerate(weights.items())], "gram string, w array<double>, g int, t array<int>")
     sums = [F.sum(F.element_at("w", k + 1)).alias(f"z{k}") for k in range(len(families))]
-    scored = each.join(F.broadcast(table), "gram").groupBy("__key", "line").agg(*sums)
+    scored = each.join(F.broadcast(table), "gram").groupBy("__key", "line", "last").agg(*sums, F.collect_list(F.when(F.size("t") > 0, F.struct("g", "t"))).alias("hits"))
     z = F.array(*((F.col(f"z{k}") + float(bias[k])) / temperature for k in range(len(families))))
-    scored = scored.select("__key", "line", z.alias("z"))
+    scored = scored.select("__key", "line", "last", "hits", z.alias("z"))
     total = F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.array_max("z")))
     scored = scored.withColumn("b", F.array_max(F.transform(F.slice("z", F.lit(2), F.lit(len(families) - 1)), lambda v, i: F.struct(v.alias("z"), (-i).alias("order")))))
     p = F.exp(F.col("b.z") - F.array_max("z")) / total
-    best = scored.select("__key", "line", p.alias("p"), F.element_at(F.array(*(F.lit(f) for f in families[1:])), 1 - F.col("b.order")).alias("family")).filter(F.col("p") >= least)
-    rows, sizes = [], []
-    for family, texts in TEMPLATES.items():
-        for t, text in enumerate(texts):
-            own_grams = sorted({" ".join(g) for g in grams(text) if len(g) == 3})
-            rows += [(g, family, t) for g in own_grams]
-            sizes.append((family, t, len(own_grams)))
-    template = spark.createDataFrame(rows, "gram string, family string, t int").join(F.broadcast(spark.createDataFrame(sizes, "family string, t int, n int")), ["family", "t"])
-    held = each.join(F.broadcast(template), "gram").groupBy("__key", "line", "family", "t", "n").agg(F.count("*").alias("k"))
-    held = held.groupBy("__key", "line", "family").agg(F.max(F.col("k") / F.col("n")).alias("share"))
-    found = best.join(held, ["__key", "line", "family"], "left").withColumn("ok", F.coalesce(F.col("share") >= CONFIRM, F.lit(False)))
-    rank = Window.partitionBy("__key").orderBy(F.desc("ok"), F.desc("p"), "family", "line")
-    per = found.withColumn("r", F.row_number().over(rank)).groupBy("__key").agg(
-        F.count_if("ok").alias("n_notices"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("family")))), ",").alias("families"),
-        F.max(F.when((F.col("r") == 1) & F.col("ok"), F.col("family"))).alias("top_family"), F.max(F.when((F.col("r") == 1) & F.col("ok"), F.col("p"))).alias("top_score"), F.count_if(~F.col("ok")).alias("n_unconfirmed"),
-    )
+    sizes = F.array(*(F.struct(F.lit(f).alias("family"), F.lit(t).alias("t"), F.lit(len(g)).alias("n")) for t, (f, g) in enumerate(templates)))
+    best = scored.select("__key", "line", "last", "hits", p.alias("p"), F.element_at(F.array(*(F.lit(f) for f in families[1:])), 1 - F.col("b.order")).alias("family")).filter(F.col("p") >= least)
+    of_template = lambda t: F.filter("hits", lambda h: F.array_contains(h["t"], t))
+    most = F.array_max(F.transform(F.filter(sizes, lambda s: s["family"] == F.col("family")), lambda s: F.struct((F.size(of_template(s["t"])) / s["n"]).alias("share"), (-s["t"]).alias("t"))))
+    found = best.withColumn("most", most).withColumns({"share": F.col("most.share"), "held": of_template(-F.col("most.t"))["g"]}).drop("hits")
+    found = found.withColumn("ok", F.col("share") >= CONFIRM).filter((F.col("line") == F.col("last")) | F.col("ok"))
+    about = Window.partitionBy("__key").orderBy("line").rangeBetween(-WIDE, WIDE)
+    near = lambda c: F.collect_list(F.when(F.col(c), F.struct("line", "last", "family", "share", "held"))).over(about)
+    inside = lambda a, b: (a["line"] >= b["line"]) & (a["last"] <= b["last"])
+    me = {c: F.col(c) for c in ("line", "last", "family", "share", "held")}
+    narrower = lambda o: (o["family"] == me["family"]) & inside(o, me) & ((o["line"] != me["line"]) | (o["last"] != me["last"]))
+    better = lambda o: (o["family"] != me["family"]) & (o["share"] > me["share"]) & (o["line"] <= me["last"]) & (me["line"] <= o["last"]) & (F.size(F.array_intersect(o["held"], me["held"])) >= SISTER)
+    found = found.withColumn("near", near("ok")).withColumn("least", F.col("ok") & ~F.exists("near", narrower))
+    found = found.withColumn("near", near("least")).withColumn("kept", F.col("least") & ~F.exists("near", better))
+    found = found.withColumn("near", near("kept")).withColumn("alone", ~F.col("ok") & ~F.exists("near", lambda o: inside(me, o)))
+    apart = F.aggregate(F.sort_array(F.collect_list(F.when(F.col("kept"), F.struct("last", "line")))), F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n")), lambda s, r: F.when(r["line"] > s["end"], F.struct(r["last"].alias("end"), (s["n"] + 1).alias("n"))).otherwise(s))
+    per = found.groupBy("__key", "family").agg(apart["n"].alias("n"), F.max(F.when(F.col("kept"), F.col("p"))).alias("p"), F.count_if("alone").alias("alone"))
+    top = F.min(F.when(F.col("n") > 0, F.struct((-F.col("p")).alias("p"), F.col("family"))))
+    per = per.groupBy("__key").agg(F.sum("n").alias("n_notices"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("n") > 0, F.col("family")))), ",").alias("families"), top["family"].alias("top_family"), (-top["p"]).alias("top_score"), F.sum("alone").alias("n_unconfirmed"))
     out = own.select("__key", F.col(id_col).alias("doc_id")).join(per, "__key", "left")
     return out.select("doc_id", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("top_family", F.lit(UNKNOWN)).alias("top_family"), F.coalesce("top_score", F.lit(0.0)).alias("top_score"), F.coalesce("n_unconfirmed", F.lit(0)).cast("long").alias("n_unconfirmed"))

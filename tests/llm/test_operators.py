@@ -147,6 +147,26 @@ def test_license_scan(spark, none, odd):
     assert got[len(notices) + 1]["top_family"] == licenses.UNKNOWN and licenses.scan_licenses(none).count() == 0 and licenses.scan_licenses(odd).count() == 5
 
 
+WRAPPED = {
+    "GPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "AGPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version.",
+    "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "MPL": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "CC-BY-SA": "This work is licensed under a Creative Commons Attribution-\nShareAlike 4.0 International License.",
+}
+
+
+def test_license_scan_reads_wrapped_notices(spark):
+    forms = [lambda t: t, lambda t: "# " + t.replace("\n", "\n# "), lambda t: f"Words before.\n * {t}\nAnd words behind it.".replace("\n", "\r\n * "), lambda t: "\n".join(t.split()), lambda t: f"{t}\n\nThe text.\n{t}"]
+    texts = [(f, n, form(t)) for f, t in WRAPPED.items() for n, form in enumerate(forms)]
+    texts += [("Apache-2.0,MIT", 0, "Licensed under the MIT license\nDistributed under the Apache 2.0 license"), ("MIT", 4, "Licensed under the MIT license\n" * 2), ("", 0, WRAPPED["GPL"].replace("\n", "\n\n"))]
+    got = by_id(licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(texts)], "doc_id long, text string")))
+    assert all(f in got[i]["families"].split(",") for i, (f, n, _) in enumerate(texts) if n == 3)  # a word a line: parts of it may also confirm a sister family
+    assert not [(f, n, got[i]) for i, (f, n, _) in enumerate(texts) if n != 3 and (got[i]["families"] != f or got[i]["n_notices"] != len(f.split(",")) * bool(f) * (1 + (n == 4)))]
+
+
 def brute_repeats(texts):
     raw = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
