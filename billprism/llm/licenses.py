@@ -41,8 +41,12 @@ OTHERS = (
     "The terms of the contract are as follows", "The source of the river is in the public domain", "Version 3 of the plan was released", "The notice was published by the foundation", "The following conditions were met by the team", "The work was dedicated to the public",
 )
 UNKNOWN = "unknown"
-#: Every template trigram that confirms a family lies in a paragraph that matches this, so other paragraphs need no score.
-CUES = ("licen", "copyright", "copying", "rights", "permi", "redistribut", "public domain", "gpl", "cc by", "cc0", "mpl", "free software", "waived", "compliance")
+#: A run without any of these as a substring holds less than CONFIRM of each template's trigrams, so it needs no score. Those that the property rests on lie
+#: within one token each, so that no hyphen or double space parts them.
+CUES = (
+    "licen", "copyright", "copying", "rights", "permi", "redistribut", "domain", "gpl", "cc by", "cc0", "mpl", "software", "waived", "compliance", "released", "3.0", "4.0", "commons", "apache", "affero", "clause", "binary",
+    "modification", "mozilla", "subject", "dedicated", "publication", "reproduced", "obtaining", "documentation", "except",
+)
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 GRAMS = (1, 2, 3)
 #: Share of a template's trigrams that a paragraph holds to confirm it, and passes and weight decay of the fit.

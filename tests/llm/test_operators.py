@@ -167,6 +167,22 @@ def test_license_scan_reads_wrapped_notices(spark):
     assert not [(f, n, got[i]) for i, (f, n, _) in enumerate(texts) if n != 3 and (got[i]["families"] != f or got[i]["n_notices"] != len(f.split(",")) * bool(f) * (1 + (n == 4)))]
 
 
+def test_license_cues_let_every_confirming_line_through():
+    """All choices of so many of a template's trigrams, down to the fewest that confirm it; for the long ones, those with the fewest cues."""
+    cued = lambda g: any(c in w for w in g for c in licenses.CUES)
+    for text in itertools.chain(*licenses.TEMPLATES.values()):
+        own = sorted({g for g in licenses.grams(text) if len(g) == 3}, key=cued)
+        need = next(k for k in range(len(own) + 1) if k / len(own) >= licenses.CONFIRM)
+        chosen = itertools.combinations(own, need) if len(own) <= 12 else [own[:need]]
+        assert all(any(map(cued, c)) for c in chosen), text
+
+
+def test_license_scan_needs_no_spelling_of_cues(spark):
+    want = {"Available under CC-BY 4.0": "CC-BY", "Available under CC  BY 4.0": "CC-BY", "Text available under CC-BY-SA 4.0": "CC-BY-SA", "Text is available under the Creative Commons Attribution-ShareAlike 4.0": "CC-BY-SA", "It is dedicated to the public\tdomain": "CC0", "Released under the MIT": "MIT"}
+    got = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")))
+    assert {t: got[i]["families"] for i, t in enumerate(want)} == want
+
+
 def brute_repeats(texts):
     raw = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
