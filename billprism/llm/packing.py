@@ -2,8 +2,10 @@
 
 Each task tokenises its documents, cuts only those longer than a sequence, and packs its pieces best-fit, longest
 first. Nearly full bins are final. Underfull bins become items of the next round: partitions merge eight to one and pack
-again, until one partition is left or a round no longer lowers the number of bins. A bin's members travel with it as an
-array (at most one per token), so places need no joins.
+again, until one partition is left or a round saves little. From then on only bins at most half full travel, as no two others
+fit together: a task leaves one of them at most, and as many of the emptiest others go with them as there are, so one task
+packs them in the end and no two underfull bins are left that fit together. A bin's members travel with it as an array (at most one per
+token), so places need no joins.
 """
 
 from __future__ import annotations
@@ -227,6 +229,21 @@ def tokenise_and_pack(path: str, size: int, end_id: int, id_type: pa.DataType):
     return run
 
 
+def _lightest(under: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
+    """The bins at most half full with as many of the emptiest others; the rest; and the number of the first.
+
+    What fits with any of the rest fits with one of the emptiest that has got nothing else.
+    """
+    under = stash(under.withColumn("bin", F.monotonically_increasing_id()), "under")
+    place, light = F.struct("fill", "bin"), F.col("fill") <= size // 2
+    k = under.filter(light).count()
+    if not k:
+        return under.filter("false").drop("bin"), under.drop("bin"), 0
+    last = under.select("fill", "bin").orderBy("fill", "bin").limit(2 * k).agg(F.max(place).alias("p"), F.count("*").alias("n")).first()
+    upto = (F.col("fill") < last["p"]["fill"]) | ((F.col("fill") == last["p"]["fill"]) & (F.col("bin") <= last["p"]["bin"]))
+    return under.filter(upto).drop("bin"), under.filter(~upto).drop("bin"), last["n"]
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -240,19 +257,27 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     bins_type = T.StructType([T.StructField("fill", T.IntegerType()), T.StructField("members", T.ArrayType(T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])))])
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     bins = stash(rows.mapInArrow(tokenise_and_pack(path or tokenizer_path(), size, end_id, id_type), bins_type), "bins")
-    done, parts = [bins.filter(F.col("fill") >= size - SLACK)], None
+    done, parts, few = [bins.filter(F.col("fill") >= size - SLACK)], None, False
     under = bins.filter(F.col("fill") < size - SLACK)
     while True:
         n = under.count()
         if n < 2:
             break
-        parts = -(-max(1, parts or rows.rdd.getNumPartitions()) // FAN_IN)
-        parts = max(parts, -(-n // ITEMS_MOST))
+        if few:
+            under, rest, n = _lightest(under, size)
+            done.append(rest)
+            if n < 2:
+                break
+            parts = -(-n // ITEMS_MOST)
+        else:
+            parts = -(-max(1, parts or rows.rdd.getNumPartitions()) // FAN_IN)
+            parts = max(parts, -(-n // ITEMS_MOST))
         bins = stash(under.repartition(parts).mapInArrow(pack_round(size, id_type), bins_type), "bins")
         done.append(bins.filter(F.col("fill") >= size - SLACK))
         under = bins.filter(F.col("fill") < size - SLACK)
-        if parts == 1 or bins.count() > 0.99 * n:
+        if parts == 1:
             break
+        few = few or bins.count() > 0.99 * n
     done.append(under)
     out = done[0]
     for more in done[1:]:

@@ -345,6 +345,21 @@ def test_packing(docs, odd, none):
     assert packing.pack(none).count() == 0 and packing.pack(odd).count() == 5
 
 
+def test_packing_leaves_no_two_bins_that_fit_together(spark, monkeypatch):
+    """With more underfull bins than a task packs: none of the heavy ones fit together, the light ones do, and two lighter heavy ones take one each."""
+    monkeypatch.setattr(packing, "ITEMS_MOST", 40)
+    lengths = [1700] * 9 + [2500] * 380 + [2300] * 2
+    rng = np.random.default_rng(4)
+    rows = [(int(i), " ".join(["the"] * (n - 1))) for i, n in enumerate(rng.permutation(lengths))]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert sorted(r["length"] for r in got) == sorted(lengths)
+    fills = collections.Counter()
+    for r in got:
+        fills[r["sequence_id"]] += r["length"]
+    fills = sorted(fills.values())
+    assert fills[-1] <= 4096 and fills[0] + fills[1] > 4096
+
+
 def test_best_fit_is_valid_and_tight():
     rng = np.random.default_rng(0)
     n = rng.integers(1, 4097, 3000)
