@@ -1,7 +1,8 @@
 """Language ID by compression: the language whose raw-content zstandard dictionary packs a text smallest.
 
 A language's dictionary is plain text of that language from a bounded sample of labelled documents. A text is encoded once with each
-dictionary; the saving of the best over the second best is the margin, and a narrow one makes a rejection.
+dictionary; the saving of the best over the second best is the margin, and a narrow one makes a rejection. How narrow is calibrated, by
+length of text, on labelled documents that no dictionary has.
 """
 
 from __future__ import annotations
@@ -18,8 +19,12 @@ SAMPLE_DOCS, BYTES_EACH, DICTIONARY_BYTES = 200, 240, 48 << 10
 LEVEL = 5
 #: A text is encoded in pieces of so many bytes, so that the dictionary tells all along a long text.
 PIECE = 4096
-#: Margins below this are rejected: in effect ties, as one byte of a piece is more.
+#: Margins below this are always rejected: in effect ties, as one byte of a piece is more.
 REJECT_BELOW = 0.0002
+#: Bytes of the calibrated texts, each for texts up to twice as long, the last for all longer ones; shorter texts than the first are rejected for ties only.
+LENGTHS = (64, 128, 256, 512, 1024)
+#: Calibrated documents of each language and of all at most; rejected are margins under HALF of what all but LOW of them reach.
+CALIBRATE_DOCS, CALIBRATE_ALL, HALF, LOW = 100, 800, 0.5, 0.02
 UNKNOWN = "und"
 #: Everything between letters is one space to the encoder, and case is dropped.
 BETWEEN = re.compile(r"[\W\d_]+")
@@ -36,16 +41,41 @@ def _piece(text: str) -> bytes:
     return raw[at : at + BYTES_EACH]
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Each language's dictionary, the commonest language first; rows without text or language teach nothing. At most SAMPLE_DOCS documents of a language reach the driver."""
+class Learned(dict):
+    """A dictionary for each language; ``below`` has the margins under which texts of each of LENGTHS are rejected."""
+
+    below: tuple[float, ...] = (REJECT_BELOW,) * len(LENGTHS)
+
+
+def _calibrated(dictionaries: dict[str, bytes], texts: list[tuple[str, str]]) -> tuple[float, ...]:
+    """texts: (language, text). A wrong prediction has no margin."""
+    one, out = classifier(dictionaries), []
+    for n in LENGTHS:
+        cut = [(l, letters(t)[:n].decode("utf-8", "ignore")) for l, t in texts]
+        margins = [m if name == l else 0.0 for l, (name, m) in ((l, one(t)) for l, t in cut if len(t.encode()) > n - 8)]
+        out.append(max(REJECT_BELOW, HALF * sorted(margins)[int(LOW * len(margins))]) if margins else out[-1] if out else REJECT_BELOW)
+    return tuple(out)
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Learned:
+    """Each language's dictionary, the commonest language first, and the margins; rows without text or language teach nothing.
+
+    At most SAMPLE_DOCS documents of a language make its dictionary and CALIBRATE_DOCS others, a fifth where there are few, calibrate the margins; no more
+    reach the driver.
+    """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter("t is not null and l is not null")
-    rows = rows.select("l", F.xxhash64("i", "t").alias("h"), F.substring("t", F.lit(1) + F.greatest(F.lit(0), ((F.length("t") - BYTES_EACH) / 2).cast("int")), F.lit(BYTES_EACH)).alias("t"))
+    rows = rows.select("l", F.xxhash64("i", "t").alias("h"), F.substring("t", F.lit(1) + F.greatest(F.lit(0), ((F.length("t") - BYTES_EACH) / 2).cast("int")), F.lit(BYTES_EACH)).alias("t"), F.substring("t", 1, 2 * LENGTHS[-1]).alias("x"))
     rank = Window.partitionBy("l").orderBy("h", "t")
     found: dict[str, list] = {}
-    for r in rows.withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= SAMPLE_DOCS).collect():
-        found.setdefault(r["l"], []).append((r["h"], r["t"]))
+    for r in rows.withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= SAMPLE_DOCS + CALIBRATE_DOCS).collect():
+        found.setdefault(r["l"], []).append((r["h"], r["t"], r["x"]))
     often = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    return {l: b" ".join(dict.fromkeys(_piece(t) for _, t in sorted(found[l])))[-DICTIONARY_BYTES:] for l in sorted(found, key=lambda l: (-often[l], l))}
+    taught = {l: min(SAMPLE_DOCS, len(x) - len(x) // 5) for l, x in found.items()}
+    out = Learned({l: b" ".join(dict.fromkeys(_piece(t) for _, t, _ in sorted(found[l])[: taught[l]]))[-DICTIONARY_BYTES:] for l in sorted(found, key=lambda l: (-often[l], l))})
+    most = max(4, CALIBRATE_ALL // max(1, len(out)))
+    seen = {t for l, x in found.items() for _, t, _ in sorted(x)[: taught[l]]}
+    out.below = _calibrated(out, [(l, x) for l in out for _, t, x in sorted(found[l])[taught[l] :][:most] if t not in seen])
+    return out
 
 
 def classifier(dictionaries: dict[str, bytes], level: int = LEVEL):
@@ -74,15 +104,21 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     """docs with lang_pred, score (0 to 1: margin, 0 for ``und``) and rejected added; columns of these names are replaced.
 
     Null texts and texts without a letter are ``und`` with score 0 and rejected. Languages that tie go to the commoner one and are
-    rejected. Every text is encoded whole.
+    rejected, as are margins narrower than calibrated for the text's length. Every text is encoded whole.
     """
-    sent = dictionaries
+    sent, below = dict(dictionaries), getattr(dictionaries, "below", Learned.below)
+
+    def narrow(text: str | None, name: str, margin: float) -> bool:
+        if name == UNKNOWN or margin < REJECT_BELOW or margin >= max(below):
+            return margin < REJECT_BELOW
+        n = len(letters(text))
+        return n >= LENGTHS[0] and margin < below[min(n // LENGTHS[0], 1 << len(LENGTHS) - 1).bit_length() - 1]
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, narrow boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         one = classifier(sent)
         for texts in batches:
-            yield pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"], index=texts.index).astype({"score": "float64"})
+            yield pd.DataFrame([(*p, narrow(t, *p)) for t, p in ((t, one(t)) for t in texts)], columns=["lang_pred", "score", "narrow"], index=texts.index).astype({"score": "float64", "narrow": "bool"})
 
     out = docs.withColumn("__p", predict(F.col(text_col)))
-    return out.withColumns({"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score"), "rejected": (F.col("__p.lang_pred") == UNKNOWN) | (F.col("__p.score") < REJECT_BELOW)}).drop("__p")
+    return out.withColumns({"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score"), "rejected": (F.col("__p.lang_pred") == UNKNOWN) | F.col("__p.narrow")}).drop("__p")

@@ -380,6 +380,20 @@ def test_language_id(spark, docs, none, odd):
     assert {r["lang_pred"] for r in langid.identify(odd, {}).collect()} == {"und"}
 
 
+def test_language_id_rejects_what_it_has_not_learned(spark):
+    rng = np.random.default_rng(6)
+    syllables = {lang: ["".join(rng.choice(list(a), 1)[0] + rng.choice(list(b), 1)[0] for _ in range(2)) for _ in range(60)] for lang, (a, b) in {"aa": ("klmt", "aeio"), "bb": ("bdgr", "aouy"), "cc": ("fpsv", "eiuy"), "zz": ("jhwn", "aeiu")}.items()}
+    text = lambda lang: " ".join("".join(rng.choice(syllables[lang], int(rng.integers(1, 4)))) for _ in range(int(rng.integers(12, 250))))
+    junk = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), int(rng.integers(100, 3000))))
+    rows = [(i, text(lang), lang) for i in range(900) for lang in [["aa", "bb", "cc"][i % 3]]] + [(1000 + i, text("zz"), None) for i in range(60)] + [(2000 + i, junk(), None) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = langid.learn(table.filter(~held_out()))
+    got = by_id(langid.identify(table.filter(held_out() | (F.col("doc_id") >= 1000)), known))
+    kept = lambda a, b: [not g["rejected"] for i, g in got.items() if a <= i < b]
+    assert np.mean(kept(0, 1000)) >= 0.98 and all(g["lang_pred"] == rows[i][2] for i, g in got.items() if i < 1000 and not g["rejected"])
+    assert np.mean(kept(1000, 2000)) <= 0.1 and np.mean(kept(2000, 3000)) <= 0.1
+
+
 def test_quality(spark, odd, none):
     rng = np.random.default_rng(0)
     good = lambda: ". ".join(prose(rng, 12).capitalize() for _ in range(int(rng.integers(3, 12))))
