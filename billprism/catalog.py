@@ -187,6 +187,7 @@ _AXES = {
     "following-sibling": f"m.parent_pre = n.parent_pre AND m.pre > n.pre AND {_PLAIN}", "preceding-sibling": f"m.parent_pre = n.parent_pre AND m.pre < n.pre AND {_PLAIN}",
     "following": f"m.pre > n.last_pre AND {_PLAIN}", "preceding": f"m.last_pre < n.pre AND {_PLAIN}",
 }
+#: The contexts are part of each query's SQL. The other sibling and range axes have nations: all pairs of customers grow with the square of their number.
 _CONTEXT = {"attribute": "customer", "following-sibling": "customer", "parent": "customer", "ancestor": "customer", "ancestor-or-self": "customer"}
 
 
@@ -196,9 +197,7 @@ def _axis(axis: str):
     def run(spark, sf_dir):
         nodes = geography(spark, sf_dir)
         if axis == "following-sibling":  # the customers of a nation: count, do not pair, in one sorted pass
-            own = Window.partitionBy("doc_id", "parent_pre").orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, -1)
-            out = nodes.filter("local = 'customer'").withColumns({"n": F.count("*").over(own), "first_pre": F.min("pre").over(own)})
-            return out.filter("n > 0").select("doc_id", "pre", "n", "first_pre")
+            return axes.count_following_siblings(nodes.filter("local = 'customer'"))
         pairs = axes.step(nodes.filter(F.col("local") == context), nodes, axis)
         return pairs.groupBy("n.doc_id", "n.pre").agg(F.count("*").alias("n"), F.min("m.pre").alias("first_pre"))
 

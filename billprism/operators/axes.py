@@ -39,6 +39,16 @@ def step(context: DataFrame, nodes: DataFrame, axis: str, test: Column | None =
     return joined.select(F.struct("n.*").alias("n"), F.struct("m.*").alias("m"))
 
 
+def count_following_siblings(nodes: DataFrame) -> DataFrame:
+    """Each node that has following siblings among nodes: doc_id, pre, their number n and the first one's first_pre; one sorted pass, as pairs grow with the square.
+
+    Attributes and nodes without a parent have no siblings and are none.
+    """
+    own = Window.partitionBy("doc_id", "parent_pre").orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, -1)
+    out = nodes.filter("kind <> 'attribute' AND parent_pre IS NOT NULL").withColumns({"n": F.count("*").over(own), "first_pre": F.min("pre").over(own)})
+    return out.filter("n > 0").select("doc_id", "pre", "n", "first_pre")
+
+
 def positions(pairs: DataFrame, axis: str) -> DataFrame:
     """Adds ``position`` and ``last`` of each target among its context's; reverse axes count backwards."""
     own = Window.partitionBy("n.doc_id", "n.pre")
