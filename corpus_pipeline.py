@@ -41,7 +41,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("ngram_jaccard", near), ("source_mix", mixture), ("best_fit_packing", packed)]
 
-#: Compression, components, apportionment and packing are not expressible in SQL; tests hold each stage against brute force.
+#: Compression, components, apportionment and packing are not expressible in SQL; tests hold the ids and texts after each stage against plain Python.
 ORACLE_SQL = None
 
 

@@ -183,6 +183,52 @@ def test_license_scan_needs_no_spelling_of_cues(spark):
     assert {t: got[i]["families"] for i, t in enumerate(want)} == want
 
 
+def brute_licenses(text):
+    """families, top family and score, number of notices, of every run of lines of the whole text; no cue filter."""
+    families, weights, bias, temperature, least = licenses.model()
+    templates = [(f, {g for g in licenses.grams(t) if len(g) == 3}) for f, texts in licenses.TEMPLATES.items() for t in texts]
+    wide = max(len(re.findall(licenses.TOKEN, t.lower())) for texts in licenses.TEMPLATES.values() for t in texts)
+    rows = [re.findall(licenses.TOKEN, line) for line in (text or "").lower().split("\n")]
+    ok = []
+    for i, j in itertools.combinations_with_replacement(range(len(rows)), 2):
+        if all(rows[i : j + 1]) and (j - i < 2 or sum(map(len, rows[i + 1 : j])) < wide):
+            words = rows[i] if i == j else [*rows[i][-wide:], *itertools.chain(*rows[i + 1 : j]), *rows[j][:wide]]
+            own = {tuple(words[k : k + n]) for n in licenses.GRAMS for k in range(len(words) - n + 1)}
+            z = (sum((weights[g] for g in own if g in weights), np.zeros(len(families))) + bias) / temperature
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            k = 1 + int(np.argmax(p[1:]))
+            share, _, held = max((len(own & g) / len(g), -t, own & g) for t, (f, g) in enumerate(templates) if f == families[k])
+            if p[k] >= least and share >= licenses.CONFIRM:
+                ok.append((i, j, families[k], share, p[k], held))
+    within = lambda a, b: b[0] <= a[0] and a[1] <= b[1]
+    slim = [y for y in ok if not any(x[2] == y[2] and x[:2] != y[:2] and within(x, y) for x in ok)]
+    kept = [x for x in slim if not any(x[2] != y[2] and y[3] > x[3] and x[0] <= y[1] and y[0] <= x[1] and len(x[5] & y[5]) >= licenses.SISTER for y in slim)]
+    n = 0
+    for f in {x[2] for x in kept}:
+        end = -1
+        for _, j, i in sorted((x[1], x[1], x[0]) for x in kept if x[2] == f):
+            if i > end:
+                n, end = n + 1, j
+    best = min(((-x[4], x[2]) for x in kept), default=(0.0, licenses.UNKNOWN))
+    return n, ",".join(sorted({x[2] for x in kept})), best[1], -best[0]
+
+
+def test_license_scan_against_brute_force(spark):
+    """Whole texts without a filter by cues, and notices wrapped, cut, mixed and between other words."""
+    rng = np.random.default_rng(8)
+    notices = [*itertools.chain(*licenses.TEMPLATES.values()), *WRAPPED.values(), *licenses.OTHERS]
+    texts = [None, "", "\n\n", *licenses.OTHERS[:5], *(t.replace("\n", " ") for t in WRAPPED.values())]
+    for _ in range(120):
+        words = " ".join(f"{prose(rng, int(rng.integers(0, 12)))} {rng.choice(notices)}" for _ in range(int(rng.integers(1, 4)))).split()
+        words = [w for w in words if rng.random() > 0.03]
+        texts.append("".join(w + ("\n\n" if rng.random() < 0.02 else "\n" if rng.random() < 0.15 else " ") for w in words))
+    got = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        n, families, top, score = brute_licenses(t)
+        g = got[i]
+        assert (g["n_notices"], g["families"], g["top_family"]) == (n, families, top) and g["top_score"] == pytest.approx(score), t
+
+
 def brute_repeats(texts):
     raw = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
@@ -424,6 +470,54 @@ def test_words_match_the_pattern():
     assert words == [w for x in want for w in x] and per.tolist() == list(map(len, want))
 
 
+def test_pipeline_stages_against_brute_force(spark, docs, tmp_path):
+    """The ids and texts that each stage leaves, from those that the stage before left."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()), key=repr)
+    for name, stage in corpus_pipeline.STAGES:
+        before, out = pairs(now), common.stash(stage(spark, now, str(tmp_path)), "test")
+        if name == "language_id":
+            known = langid.learn(now.filter(~held_out()))
+            one = langid.classifier(known)
+            assert known and pairs(out) == [(i, t) for i, t in before if not narrow_by_hand(known, t, *one(t))]
+        elif name == "exact_dedup":
+            last = {t: max(i for i, x in before if x == t) for _, t in before}
+            assert pairs(out) == [(i, t) for i, t in before if last[t] == i]
+        elif name == "ngram_jaccard":
+            _, label = brute_components(before)
+            assert pairs(out) == [(i, t) for i, t in before if label[i] == i]
+        elif name == "source_mix":
+            word = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+            took, texts = collections.Counter(), dict(before)
+            for i, t in pairs(out):
+                took[i] += len(word(t))
+                assert f" {' '.join(word(t))} " in f" {' '.join(word(texts[i]) * 2)} "  # a part may go round the end
+            want = {r["doc_id"]: r["taken"] for r in mixing.mix(now).select("row.doc_id", "taken").collect()}
+            assert all(took[i] == n for i, n in want.items()) and took.keys() <= want.keys()
+        else:
+            tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+            want = collections.Counter((i, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in before)
+            own, at = collections.Counter(), collections.defaultdict(list)
+            for r in out.collect():
+                own[r["doc_id"]] += r["length"]
+                at[r["sequence_id"]].append((r["offset"], r["length"]))
+            total = collections.Counter()
+            for (i, n), k in want.items():
+                total[i] += n * k
+            assert own == total and all(sum(n for _, n in x) <= 4096 and all(o == sum(n for p, n in x if p < o) for o, _ in x) for x in at.values())
+        now = out
+
+
+def narrow_by_hand(known, text, lang, margin):
+    n = len(re.sub(r"[\W\d_]+", " ", (text or "").lower()).encode())
+    fits = [k for k, least in enumerate(langid.LENGTHS) if n >= least]
+    return lang == "und" or margin < 0.0002 or bool(fits) and margin < known.below[fits[-1]]
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
