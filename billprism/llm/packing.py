@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +28,10 @@ from .common import stash, text_or_empty
 SEQUENCE, END_ID = 4096, 1
 #: A bin with at most so many free tokens is final; merge fan-in; items one task packs; words one task remembers.
 SLACK, FAN_IN, ITEMS_MOST, CACHE_MOST = 8, 8, 200_000, 600_000
-SPACES = " \t\n\r\x0b\x0c"
-#: Separators for str.split() that the tokenizer takes for characters.
-ODD_SPACES = "\x1c\x1d\x1e\x1f"
+#: Signs that the tokenizer cuts off the letters before them; the apostrophe, which begins English endings, is none of them.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of text that are encoded together.
+PASS_BYTES = 4 << 20
 
 
 def tokenizer_path() -> str:
@@ -41,8 +43,8 @@ def tokenizer_path() -> str:
 class WordEncoder:
     """Token ids of whole texts through a bounded memory of the ids of their space-separated parts.
 
-    Valid for byte-level BPE tokenizers whose tokens never span white space and that lower-case, as word_bpe does. A part of letters, alone or
-    with one full stop or comma behind it, goes to the BPE model at once; any other part goes through the whole tokenizer.
+    Valid for byte-level BPE tokenizers whose tokens never span white space, that lower-case, and that cut between letters and the signs
+    behind them, as word_bpe does. A part of letters, alone or before signs of MARKS, goes to the BPE model at once; any other part goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -51,70 +53,88 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bpe = self.tokenizer.model
-        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"}
         self.clear()
 
     def clear(self) -> None:
+        """Forgets all parts."""
         self.at: dict[str, int] = {}
-        self.cores: dict[str, list[int]] = {}
-        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def core(self, word: str) -> list[int] | None:
-        """The ids of a part of letters only; None if it needs the whole tokenizer."""
-        ids = self.cores.get(word)
-        if ids is None:
-            if not word.isascii():
-                if not word.isalpha() or "\u03a3" in word or "\u0130" in word or not unicodedata.is_normalized("NFC", word):
-                    return None
-                name = word.lower().encode().decode("latin-1").translate(_BYTE_NAMES)
-            elif word.isalpha():
-                name = word.lower()
-            else:
-                return None
-            ids = self.cores[word] = [t.id for t in self.bpe.tokenize(name)]
-        return ids
+        self.tails: dict[str, list[int]] = {"": []}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def whole(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        found, hard = [], []
+        found, hard, cores = [], [], {}
         for i, w in enumerate(words):
-            mark = self.marks.get(w[-1])
-            ids = self.core(w[:-1] if mark and len(w) > 1 else w)
-            if ids is None:
+            core = w.rstrip(MARKS)
+            name = _letters(core)
+            if name is None:
                 hard.append(i)
-            elif mark and len(w) > 1:
-                ids = ids + mark
+                found.append(None)
+                continue
+            ids = cores.get(name)
+            if ids is None:
+                ids = cores[name] = [t.id for t in self.bpe.tokenize(name)]
+            if len(core) < len(w):
+                tail = w[len(core) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self.whole([tail])[0]
+                ids = ids + self.tails[tail]
             found.append(ids)
-        for i, e in zip(hard, self.tokenizer.encode_batch([words[i] for i in hard], add_special_tokens=False), strict=True):
-            found[i] = e.ids
+        for i, ids in zip(hard, self.whole([words[i] for i in hard]), strict=True):
+            found[i] = ids
         lens = np.fromiter(map(len, found), np.int64, len(found))
-        begin = len(self.flat)
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lens.sum()))])
-        self.start = np.concatenate([self.start, begin + np.cumsum(lens) - lens])
-        self.length = np.concatenate([self.length, lens])
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        n, total = len(self.at), int(lens.sum())
+        self.flat = _room(self.flat, self.used, total)
+        self.start, self.length = _room(self.start, n, len(words)), _room(self.length, n, len(words))
+        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, total)
+        self.start[n : n + len(words)] = self.used + np.cumsum(lens) - lens
+        self.length[n : n + len(words)] = lens
+        self.used += total
+        self.at.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, end to end, and the number of each text's ids."""
-        parts = [t.split() if not any(c in t for c in ODD_SPACES) else [w for w in t.translate(_TO_SPACE).split(" ") if w] for t in texts]
-        words = [w for p in parts for w in p]
-        distinct = set(words)
-        if len(distinct) > CACHE_MOST:  # one text with very many different words
-            found = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
-        new = distinct - self.at.keys()
-        if len(self.at) + len(new) > CACHE_MOST:
+        split = pc.ascii_split_whitespace(texts)
+        parts = split.flatten().dictionary_encode()
+        n = len(parts.dictionary)
+        words = pc.binary_join(pa.ListArray.from_arrays([0, n], parts.dictionary), "\n")[0].as_py().split("\n") if n else []
+        rows = list(map(self.at.get, words))
+        new = [w for w, r in zip(words, rows, strict=True) if r is None]
+        if new and len(self.at) + len(new) > CACHE_MOST:
             self.clear()
-            new = distinct
+            new = words
         if new:
-            self.learn(list(new))
-        which = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            self.learn(new)
+            rows = list(map(self.at.__getitem__, words))
+        which = np.array(rows, np.int64)[parts.indices.to_numpy()]
         lens = self.length[which]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[which] - (ends - lens), lens) + np.arange(total)]
-        word_ends = np.cumsum([len(p) for p in parts])
-        text_ends = np.concatenate([[0], ends])[word_ends] if len(parts) else np.zeros(0, np.int64)
-        return ids, np.diff(text_ends, prepend=0)
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        ids = self.flat[np.repeat(self.start[which] - ends[:-1], lens) + np.arange(ends[-1])]
+        offsets = split.offsets.to_numpy()
+        return ids, np.diff(ends[offsets - offsets[0]])
+
+
+def _letters(core: str) -> str | None:
+    """The name in the BPE model of a part of letters only; None if it needs the whole tokenizer."""
+    if not core.isalpha():
+        return None
+    if core.isascii():
+        return core.lower()
+    if "\u03a3" in core or "\u0130" in core or not unicodedata.is_normalized("NFC", core):
+        return None
+    return core.lower().encode().decode("latin-1").translate(_BYTE_NAMES)
+
+
+def _room(a: np.ndarray, used: int, more: int) -> np.ndarray:
+    """a, or a copy of at least twice its size where ``more`` entries behind ``used`` do not fit."""
+    if used + more <= len(a):
+        return a
+    out = np.zeros(max(2 * len(a), used + more), a.dtype)
+    out[:used] = a[:used]
+    return out
 
 
 def _byte_names() -> dict[int, str]:
@@ -125,7 +145,6 @@ def _byte_names() -> dict[int, str]:
 
 
 _BYTE_NAMES = _byte_names()
-_TO_SPACE = {ord(c): " " for c in SPACES}
 
 
 def best_fit(lengths: np.ndarray, size: int = SEQUENCE) -> list[list[int]]:
@@ -195,9 +214,9 @@ def tokenise_and_pack(path: str, size: int, end_id: int, id_type: pa.DataType):
         encoder, held, n = WordEncoder(path), [], 0
         for batch in batches:
             texts = batch.column(1)
-            step = max(1, int(batch.num_rows * (4 << 20) / max(1, batch.column(1).nbytes)))
+            step = max(1, int(batch.num_rows * PASS_BYTES / max(1, texts.nbytes)))
             for i in range(0, batch.num_rows, step):
-                held.append(pieces(encoder, batch.column(0)[i : i + step], texts[i : i + step].to_pylist()))
+                held.append(pieces(encoder, batch.column(0)[i : i + step], texts[i : i + step]))
                 n += held[-1].num_rows
                 if n >= ITEMS_MOST:
                     yield packed(held)
@@ -207,19 +226,19 @@ def tokenise_and_pack(path: str, size: int, end_id: int, id_type: pa.DataType):
 
     def pieces(encoder, ids, texts):
         tokens, counts = encoder.encode(texts)
-        row, piece, start, length, crc, at = [], [], [], [], [], 0
-        end = np.array([end_id], "<u4")
-        for i, c in enumerate(counts.tolist()):
-            own = np.concatenate([tokens[at : at + c], end]).astype("<u4")
-            at += c
-            for k, s in enumerate(range(0, c + 1, size)):
-                part = own[s : s + size]
-                row.append(i)
-                piece.append(k)
-                start.append(s)
-                length.append(len(part))
-                crc.append(zlib.crc32(part.tobytes()))
-        return pa.record_batch({"doc_id": ids.take(pa.array(row, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+        ends = np.cumsum(counts + 1)
+        own = np.full(int(ends[-1]), end_id, "<u4")
+        inner = np.ones(len(own), bool)
+        inner[ends - 1] = False
+        own[inner] = tokens
+        raw, begin = memoryview(own.tobytes()), ends - counts - 1
+        per = counts // size + 1
+        row = np.repeat(np.arange(len(counts)), per)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+        start = piece * size
+        length = np.minimum(size, (counts + 1)[row] - start)
+        crc = [zlib.crc32(raw[a:b]) for a, b in zip((4 * (begin[row] + start)).tolist(), (4 * (begin[row] + start + length)).tolist(), strict=True)]
+        return pa.record_batch({"doc_id": ids.take(pa.array(row)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crc, pa.int64())})
 
     def packed(held):
         t = pa.Table.from_batches(held).combine_chunks()
