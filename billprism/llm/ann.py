@@ -1,12 +1,14 @@
 """Nearest neighbours by inner product over an inverted multi-index.
 
 A codebook of K centroids is fitted for each half of the vectors on a bounded sample; a vector's cell is its pair of nearest centroids,
-and every vector is indexed. A query visits cells in order of the summed distance of its halves to the two centroids, with a heap over
+and every vector is indexed. A query visits cells in order of the summed squared distance of its halves to the two centroids, with a heap over
 pairs (the multi-sequence walk), until the cells visited hold SHARE of all vectors. Entries of visited cells are ranked by
-the inner product in double precision.
+the inner product in double precision. The first half has one component more, which gives all vectors the length of the longest
+and queries 0, so that the nearest by distance are those of the largest inner product, whatever the vectors' lengths.
 
 On unit vectors in 64 dimensions without clusters a true neighbour's halves tell little, so 0.9 of the neighbours take about
-half of the entries; SHARE is set by that measurement. Cells and queries are dealt out in blocks of bounded size.
+half of the entries; SHARE is set by that measurement. Cells are dealt out in blocks of bounded size, and so are queries, neighbours by cell
+together. A block of vectors travels to the blocks of queries that visit one of its cells, and only visited cells are multiplied.
 """
 
 from __future__ import annotations
@@ -64,6 +66,17 @@ def walk(one: np.ndarray, two: np.ndarray, counts: np.ndarray, need: int) -> np.
     return np.array(out, np.int64)
 
 
+def deal(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each cell and the number of its blocks: cells in order, cut where a block is full; a cell larger than a block has several to itself."""
+    first, parts, block, fill = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
+    for c in np.flatnonzero(counts).tolist():
+        if fill and fill + counts[c] > size:
+            block, fill = block + 1, 0
+        first[c], parts[c] = block, -(-int(counts[c]) // size)
+        block, fill = block + int(parts[c]) - 1, (fill + int(counts[c]) if parts[c] == 1 else size)
+    return first, parts
+
+
 def _matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -91,49 +104,55 @@ def search(vectors: DataFrame, is_query=None, id_col: str = "vec_id", vector_col
     found = rows.select(F.xxhash64("id", "v").alias("h"), "v").orderBy("h").limit(SAMPLE).toArrow()
     if not found.num_rows:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).filter(F.lit(False))
+    longest = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
     sample = _matrix(found["v"])
     half = sample.shape[1] // 2
-    book = [fit_half(x) for x in (sample[:, :half], sample[:, half:]) if x.shape[1]]
-    if len(book) == 1:
-        book = [np.zeros((1, 0)), *book]
+
+    def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        more = np.sqrt(np.maximum(0, longest - (x * x).sum(1))) if math.isfinite(longest) else np.zeros(len(x))
+        return np.column_stack([x[:, :half], more]), x[:, half:]
+
+    book = [fit_half(x) for x in halves(sample)]
     k2 = len(book[1])
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(1))
             if len(x):
-                yield pa.record_batch({"id": b.column(0), "v": b.column(1), "cell": pa.array((nearest(x[:, :half], book[0]) * k2 + nearest(x[:, half:], book[1])).astype(np.int32))})
+                one, two = halves(x)
+                yield pa.record_batch({"id": b.column(0), "v": b.column(1), "cell": pa.array((nearest(one, book[0]) * k2 + nearest(two, book[1])).astype(np.int32))})
 
     index = stash(rows.mapInArrow(cells, "id long, v array<double>, cell int"), "cells")
-    counts = np.zeros(len(book[0]) * k2, np.int64)
-    for r in index.groupBy("cell").count().collect():
-        counts[r["cell"]] = r["count"]
+    asks = F.col("id") % 20 == 0 if is_query is None else is_query
+    counts, asking_counts = np.zeros(len(book[0]) * k2, np.int64), np.zeros(len(book[0]) * k2, np.int64)
+    for r in index.groupBy("cell").agg(F.count("*").alias("n"), F.count_if(asks).alias("q")).collect():
+        counts[r["cell"]], asking_counts[r["cell"]] = r["n"], r["q"]
     total = int(counts.sum())
     need = max(math.ceil(share * total), min(total, 50 * k))
-    asked = index.filter(F.col("id") % 20 == 0 if is_query is None else is_query)
+    (block_of, parts_of), asking_blocks = deal(counts, VECTOR_BLOCK), deal(asking_counts, QUERY_BLOCK)
+    blocks_of = [np.arange(b, b + p) for b, p in zip(block_of, parts_of, strict=True)]
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, seen = _matrix(b.column(1)), []
+            x, seen, blocks = _matrix(b.column(1)), [], []
             for q in x:
+                there = walk(((book[0] - np.append(q[:half], 0)) ** 2).sum(1), ((book[1] - q[half:]) ** 2).sum(1), counts, need)
                 mask = np.zeros(len(counts), bool)
-                mask[walk(-(book[0] @ q[:half]), -(book[1] @ q[half:]), counts, need)] = True
+                mask[there] = True
                 seen.append(np.packbits(mask).tobytes())
+                blocks.append(np.unique(np.concatenate([blocks_of[c] for c in there if counts[c]])))
             if len(x):
-                yield pa.record_batch({"id": b.column(0), "v": b.column(1), "visited": pa.array(seen, pa.binary())})
+                yield pa.record_batch({"id": b.column(0), "v": b.column(1), "cell": b.column(2), "visited": pa.array(seen, pa.binary()), "blocks": pa.array(blocks, pa.list_(pa.int64()))})
 
-    queries = stash(asked.select("id", "v").mapInArrow(visits, "id long, v array<double>, visited binary"), "queries")
-    # cells in order, cut where a block is full; a cell larger than a block is dealt over several by hash
-    block_of, parts_of, block, fill = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
-    for c in np.flatnonzero(counts).tolist():
-        if fill and fill + counts[c] > VECTOR_BLOCK:
-            block, fill = block + 1, 0
-        block_of[c], parts_of[c] = block, -(-int(counts[c]) // VECTOR_BLOCK)
-        block, fill = block + int(parts_of[c]) - 1, (fill + int(counts[c]) if parts_of[c] == 1 else VECTOR_BLOCK)
-    n_blocks, n_parts = block + 1, max(1, -(-queries.count() // QUERY_BLOCK))
-    at = F.element_at(F.array(*(F.lit(int(x)) for x in block_of)), F.col("cell") + 1) + F.pmod(F.xxhash64("id"), F.element_at(F.array(*(F.lit(int(x)) for x in parts_of)), F.col("cell") + 1))
-    left = index.select(at.cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("qb"), "id", "v", "cell")
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("vb"), F.pmod(F.xxhash64("id", F.lit(5)), F.lit(n_parts)).cast("int").alias("qb"), "id", "v", "visited")
+    queries = stash(index.filter(asks).mapInArrow(visits, "id long, v array<double>, cell int, visited binary, blocks array<long>"), "queries")
+
+    def block(block_of: np.ndarray, parts_of: np.ndarray, seed: int):
+        of = lambda a: F.element_at(F.array(*(F.lit(int(x)) for x in a)), F.col("cell") + 1)
+        return of(block_of) + F.pmod(F.xxhash64("id", F.lit(seed)), of(parts_of))
+
+    right = queries.select(F.explode("blocks").alias("vb"), block(*asking_blocks, 5).alias("qb"), "id", "v", "visited")
+    pairs = right.select("vb", "qb").distinct().toDF("vb", "to").withColumnRenamed("to", "qb")
+    left = index.select(block(block_of, parts_of, 3).alias("vb"), "id", "v", "cell").join(pairs, "vb")
 
     def rank(own: pa.Table, asking: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
@@ -147,10 +166,12 @@ def search(vectors: DataFrame, is_query=None, id_col: str = "vec_id", vector_col
             keep = nth <= k
             ids, cell, x = ids[keep], cell[keep], x[keep]
             q = _matrix(asking["v"])
+            seen = np.stack([np.unpackbits(np.frombuffer(s, np.uint8))[: len(counts)].astype(bool) for s in asking["visited"].to_pylist()])
+            visited = seen.any(0)[cell]
+            ids, cell, x = ids[visited], cell[visited], x[visited]
             rough = q @ x.T
-            for r, (me, seen) in enumerate(zip(asking["id"].to_pylist(), asking["visited"].to_pylist(), strict=True)):
-                inside = np.unpackbits(np.frombuffer(seen, np.uint8))[: len(counts)].astype(bool)[cell] & (ids != me)
-                here = np.flatnonzero(inside)
+            for r, me in enumerate(asking["id"].to_pylist()):
+                here = np.flatnonzero(seen[r][cell] & (ids != me))
                 if not len(here):
                     continue
                 s = rough[r, here]
