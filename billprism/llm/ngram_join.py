@@ -5,7 +5,8 @@ A document is its set of distinct 5-word shingles. Two documents link where inte
 1. Each task counts its shingles in a table of fixed size. Ordered by these counts, rarest first, two linked documents share one of
    the first n - ceil(0.8 n) + 1 shingles. The first one they share has i others before it in one of them, of n shingles, and leaves an
    overlap of n - i at most, so the other one has 9 / 4 (n - i) - n shingles at most. Other documents need no comparison.
-2. What shares such a shingle at such sizes, directly or over others, is a family. Documents of equal sets are one member of it.
+2. What shares such a shingle at such sizes, directly or over others, is a family. Documents of equal sets are one member of it: each task first
+   lets the smallest of its own copies stand for them, so a set that many documents have is a key of as many rows as there are tasks.
 3. In a family a signature tree holds for each node the token bitmaps of all below it, combined by OR (with the largest count of
    each bit), and the range of their sizes. A dual traversal leaves out node pairs whose largest possible overlap is too small
    for 0.8, and pairs that are already in one component; what remains is compared exactly.
@@ -27,8 +28,10 @@ from .common import LOWER, SPACE, byte_table, mix64, spans_of, stash, text_buffe
 from .graph import components
 
 SHINGLE = 5
-#: Slots of the table of shingle counts, and members of a family that one task compares.
-SLOT_BITS, BLOCK = 22, 2000
+#: Slots of the table of shingle counts; members of a family that one task compares, and shingles that these have about at most.
+SLOT_BITS, BLOCK, SHINGLES_MOST = 22, 2000, 4_000_000
+#: Different sets that a task remembers to find copies among its own documents.
+SEEN_MOST = 200_000
 #: Slots that travel together; bytes of text and prefix shingles that one numpy pass holds.
 SLOT_BLOCK, PASS_BYTES, PREFIX_MOST = 4096, 2 << 20, 200_000
 #: Slots of the filter that keeps texts from a shuffle for the few documents that are compared again.
@@ -107,8 +110,8 @@ def slot_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out.ravel()
 
 
-#: Rows of the shared shuffle: n >= 0 a document (tok, other: its set's hash); -1 a prefix shingle, or several of a cluster, with their
-#: least size and greatest partner's size in ``other``; -2 an edge to ``other``.
+#: Rows of the shared shuffle: n >= 0 the smallest of a task's documents of a set (tok, other: the set's hash); -1 a prefix shingle, or several of a
+#: cluster, with their least size and greatest partner's size in ``other``; -2 an edge to ``other``; -3 a task's copy of the document ``other``.
 _FLOW = "tok long, doc long, other long, n long"
 _LOW = np.int64((1 << 31) - 1)
 
@@ -123,27 +126,46 @@ def _clusters(tok: np.ndarray, low: np.ndarray, reach: np.ndarray) -> np.ndarray
 
 def _prefixes(counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = counts.value
+        order, seen, least, copies = counts.value, {}, [], []  # set -> its number; by number (first document, smallest); (document, number)
         for b in batches:
-            keys, held, info, n_held = b.column(0).to_numpy(), [], [], 0
+            keys, held, n_held = b.column(0).to_numpy(), [], 0
             for r, s in _sets(b.column(1)):
-                n = len(s)
-                if n:
-                    p = n - -(-4 * n // 5) + 1
-                    rare = np.argsort(order[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], kind="stable")[:p]
-                    held.append((s[rare], np.full(p, keys[r]), np.full(p, n), 9 * (n - np.arange(p)) // 4 - n))
-                    n_held += p
-                    h1, h2 = mix64(s).sum(dtype=np.uint64), mix64(s ^ _BASE).sum(dtype=np.uint64)
-                else:
-                    h1, h2 = mix64(np.array([keys[r]]).astype(np.uint64))[0], np.uint64(0)
-                info.append((int(np.int64(h1)), int(keys[r]), int(np.int64(h2)), n))
+                n, key = len(s), int(keys[r])
+                if not n:
+                    yield _flow(*(np.array([x], np.int64) for x in (int(mix64(np.array([key]).astype(np.uint64)).view(np.int64)[0]), key, 0, 0)))
+                    continue
+                h = (int(mix64(s).sum(dtype=np.uint64).view(np.int64)), int(mix64(s ^ _BASE).sum(dtype=np.uint64).view(np.int64)), n)
+                k = seen.setdefault(h, len(least))
+                if k < len(least):
+                    least[k][1] = min(least[k][1], key)
+                    copies.append((key, k))
+                    continue
+                least.append([key, key])
+                p = n - -(-4 * n // 5) + 1
+                rare = np.argsort(order[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], kind="stable")[:p]
+                held.append((s[rare], np.full(p, key), np.full(p, n), 9 * (n - np.arange(p)) // 4 - n))
+                n_held += p
                 if n_held >= PREFIX_MOST:
                     yield from merged(held)
                     held, n_held = [], 0
             if held:
                 yield from merged(held)
-            if info:
-                yield _flow(*(np.array(c, np.int64) for c in zip(*info, strict=True)))
+            if len(seen) >= SEEN_MOST:
+                yield from found(seen, least, copies)
+                seen, least, copies = {}, [], []
+        yield from found(seen, least, copies)
+
+    def found(seen: dict, least: list, copies: list) -> Iterator[pa.RecordBatch]:
+        if not seen:
+            return
+        h1, h2, n = (np.array(c, np.int64) for c in zip(*seen, strict=True))
+        first, low = (np.array(c, np.int64) for c in zip(*least, strict=True))
+        yield _flow(h1, low, h2, n)
+        yield from _edges(first, low)
+        doc, k = np.array([*copies, *((f, i) for i, (f, l) in enumerate(least) if f != l)], np.int64).reshape(-1, 2).T
+        doc, k = doc[doc != low[k]], k[doc != low[k]]
+        if len(doc):
+            yield _flow(mix64(doc.astype(np.uint64)).view(np.int64), doc, low[k], np.full(len(doc), -3))
 
     def merged(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         tok, doc, low, reach = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -341,30 +363,31 @@ def classes(keyed: DataFrame, text_col: str = "text", key_col: str = "__key", bl
     flow = stash(flow.repartition("tok").sortWithinPartitions("tok", "other").mapInArrow(_meet, _FLOW), "meet")
     info = flow.filter("n >= 0")
     rep = info.groupBy("tok", "other", "n").agg(F.min("doc").alias("rep"))
-    copies = stash(info.join(rep, ["tok", "other", "n"]).select("doc", "rep", "n"), "copies")
+    reps = stash(info.join(rep, ["tok", "other", "n"]).select("doc", "rep", "n"), "reps")
     family = components(flow.filter("n = -2").select(F.col("doc").alias("u"), F.col("other").alias("v")))
-    members = copies.filter("doc = rep").select("doc").join(family.select(F.col("node").alias("doc"), F.col("comp").alias("family")), "doc")
-    sizes = members.groupBy("family").agg(F.count("*").alias("size")).filter("size > 1")
+    members = reps.filter("doc = rep").select("doc", "n").join(family.select(F.col("node").alias("doc"), F.col("comp").alias("family")), "doc")
+    parts = lambda size, load: F.ceil(F.greatest(F.col(size) / block, F.col(load) / SHINGLES_MOST))
+    sizes = members.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("load")).filter("size > 1").select("family", parts("size", "load").alias("parts"))
     members = stash(members.join(sizes, "family"), "members")
-    cut = F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / block))
+    cut = F.pmod(F.xxhash64("doc"), F.col("parts"))
     links = [_links(members.select(F.concat_ws(".", "family", cut).alias("block"), "doc", F.col("doc").alias("comp")), texts, "links1")]
-    large = members.filter(F.col("size") > block)
+    large = members.filter("parts > 1")
     if not large.isEmpty():
         now = stash(_with_comp(large, links[0]), "comps")
         lead = now.filter("doc = comp")
-        n_lead = lead.groupBy("family").agg(F.count("*").alias("leads"))
-        lead = lead.join(n_lead.filter("leads > 1"), "family")
-        cut = F.pmod(F.xxhash64("doc", F.lit(1)), F.ceil(F.col("leads") / block))
+        n_lead = lead.groupBy("family").agg(F.count("*").alias("leads"), F.sum("n").alias("load")).filter("leads > 1").select("family", parts("leads", "load").alias("cuts"))
+        lead = lead.join(n_lead, "family")
+        cut = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("cuts"))
         links.append(_links(lead.select(F.concat_ws(".", "family", cut).alias("block"), "doc", "comp"), texts, "links2"))
         now = stash(_with_comp(large, links[0].unionByName(links[1])), "comps")
         of = now.groupBy("family", "comp").agg(F.count("*").alias("k"))
         rank = Window.partitionBy("family").orderBy(F.desc("k"), "comp")
         main = of.withColumn("r", F.row_number().over(rank)).filter("r = 1").select("family", F.col("comp").alias("main"))
-        rest = now.join(main, "family").filter("comp <> main").withColumn("cut", F.pmod(F.xxhash64("doc", F.lit(2)), F.ceil(F.col("size") / block)))
+        rest = now.join(main, "family").filter("comp <> main").withColumn("cut", F.pmod(F.xxhash64("doc", F.lit(2)), F.col("parts")))
         cuts = rest.select("family", "cut").distinct()
-        pairs = now.withColumn("j", F.pmod(F.xxhash64("doc", F.lit(3)), F.ceil(F.col("size") / block))).join(cuts, "family")
+        pairs = now.withColumn("j", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("parts"))).join(cuts, "family")
         against = pairs.select(F.concat_ws(".", "family", "cut", "j").alias("block"), "doc", "comp")
-        own = rest.select("family", "doc", "comp", "cut", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / block) - 1).cast("int"))).alias("j"))
+        own = rest.select("family", "doc", "comp", "cut", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("j"))
         both = against.unionByName(own.select(F.concat_ws(".", "family", "cut", "j").alias("block"), "doc", "comp")).distinct()
         links.append(_links(both, texts, "links3"))
         links.append(now.filter("doc <> comp").select(F.col("doc").alias("u"), F.col("comp").alias("v")))
@@ -372,9 +395,10 @@ def classes(keyed: DataFrame, text_col: str = "text", key_col: str = "__key", bl
     for more in links[1:]:
         found = found.unionByName(more)
     comp = components(found)
-    out = copies.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left")
-    unstash(flow)
-    return out.select(F.col("doc").alias("key"), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("comp"))
+    reps = reps.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("comp"))
+    copies = flow.filter("n = -3").select(F.col("doc").alias("key"), F.col("other").alias("doc")).join(reps, "doc").select("key", "n_shingles", "comp")
+    unstash(members)
+    return reps.withColumnRenamed("doc", "key").unionByName(copies)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
