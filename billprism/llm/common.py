@@ -43,6 +43,12 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all stashed tables below the shared folder, for sessions that live long: results that were not written are lost."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/stash")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def unstash(*dfs: DataFrame) -> None:
     """Deletes stashed tables that nothing reads any more."""
     for df in dfs:
@@ -53,6 +59,42 @@ def unstash(*dfs: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+#: Parts into which spread_join cuts the rows of a key.
+SPREAD = 64
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """left joined with right, which has a row for each key at most, on not-null keys: a key's rows on the left go to SPREAD tasks by the hash of ``by``.
+
+    The keys on the left are made distinct where they are, so right's row meets SPREAD rows of a key, and each of these its part of the left.
+    """
+    left = left.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(SPREAD)))
+    wanted = left.select(*keys, "_part").distinct().toDF(*keys, "_part").join(right, keys)
+    return left.join(wanted, [*keys, "_part"]).drop("_part")
+
+
+def let(value, body):
+    """body of value, which is evaluated once; a column named twice in a lambda is evaluated for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Entries of an array that running_sums adds at once.
+SUM_BLOCK = 256
+
+
+def running_sums(numbers):
+    """The sums of an array's beginnings; sums of whole blocks are made first, so an entry costs a block and not all before it."""
+
+    def total(a, start, n):
+        return F.aggregate(F.slice(a, start, n), F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def of(a):
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0)), F.lit(SUM_BLOCK)), lambda i: total(a, i + 1, F.lit(SUM_BLOCK)))
+        return let(blocks, lambda b: F.transform(a, lambda _, i: total(b, F.lit(1), F.floor(i / SUM_BLOCK).cast("int")) + total(a, (i - i % SUM_BLOCK + 1).cast("int"), (i % SUM_BLOCK + 1).cast("int"))))
+
+    return let(numbers, of)
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -6,6 +6,7 @@ by level, until one integer is left for each text. (level, name) is equal exactl
 
 Only the distinct blocks carry text through a shuffle. Everything else moves names: a reference finds its block's name
 through the block's 64-bit hash, and where one hash stands for several different blocks, through the block itself.
+Joins on names spread each name's rows over many tasks, as a text or block may be that of a third of all rows.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, text_or_empty, unstash
+from .common import spread_join, stash, text_or_empty, unstash
 
 #: Bytes of a block; a text of n bytes goes through log2(n / BLOCK_BYTES) levels of pairing.
 BLOCK_BYTES = 4096
@@ -42,7 +43,7 @@ def name_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = stash(_named(blocks, ["_block", "_h"]).select("_h", "name"), "names")
     ambiguous = names.groupBy("_h").agg(F.count("*").alias("n")).filter("n > 1").select("_h")
     level = refs.select("_id", "_sha", "_copies", F.size("_hs").alias("_left"), F.posexplode("_hs").alias("_at", "_h"))
-    parts = [level.join(names.join(ambiguous, "_h", "left_anti"), "_h").drop("_h")]
+    parts = [spread_join(level, names.join(ambiguous, "_h", "left_anti"), ["_h"], ["_id", "_at"]).drop("_h")]
     if not ambiguous.isEmpty():
         there = source.select("_id", F.sha2("_text", 256).alias("_sha"), F.posexplode(_cut(block_bytes)).alias("_at", "_block")).withColumn("_h", F.xxhash64("_block")).join(ambiguous, "_h", "left_semi").distinct()
         own = _named(there, ["_block"]).withColumn("name", -1 - F.col("name"))
@@ -62,7 +63,7 @@ def name_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .agg(F.max(F.when(F.col("_at") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("_at") % 2 == 1, F.col("name"))), F.lit(-(1 << 62))).alias("b"))
         )
         pair = stash(pair, "pairs")
-        pending = stash(pair.join(_named(pair, ["a", "b"]), ["a", "b"]).select("_id", "_sha", "_copies", F.ceil(F.col("_left") / 2).cast("int").alias("_left"), "_at", "name"), "level")
+        pending = stash(spread_join(pair, _named(pair, ["a", "b"]), ["a", "b"], ["_id", "_at"]).select("_id", "_sha", "_copies", F.ceil(F.col("_left") / 2).cast("int").alias("_left"), "_at", "name"), "level")
         unstash(pair)
         depth += 1
     out = done[0]
@@ -80,7 +81,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     named = name_texts(docs, id_col, text_col, block_bytes)
     group = named.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    rows = named.join(group, ["level", "name"])
+    rows = spread_join(named, group, ["level", "name"], ["id"])
     return rows.select(
         F.col("id").alias("doc_id"),
         "keep_id",
