@@ -17,7 +17,7 @@ from re import _parser as P
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, text_or_empty
+from .common import let, running_sums, stash, text_or_empty
 from .ngram_join import keyed
 
 
@@ -135,14 +135,15 @@ def candidates(index: DataFrame, rules=RULES, key: str = "__key") -> DataFrame:
 def spans(text: Column, rule: Rule, rank: int) -> Column:
     """Array of (start, rank, end) of a rule's matches in code points, end exclusive."""
     pattern = F.lit(rule.regex)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    lengths = F.transform(found, F.length)
+    lengths = lambda group: F.transform(F.regexp_extract_all(text, pattern, F.lit(group)), F.length)
     gaps = F.transform(F.split(text, rule.regex, -1), F.length)
-    own = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else lengths
-    total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + x)
-    at = F.transform(lengths, lambda n, i: F.struct((total(gaps, i + 1) + total(lengths, i)).alias("start"), F.lit(rank).alias("rank"), (total(gaps, i + 1) + total(lengths, i + 1)).alias("end"), F.element_at(own, i + 1).alias("own")))
-    kept = F.filter(at, lambda m: m["own"] >= rule.least)
-    return F.transform(kept, lambda m: F.struct(m["start"], m["rank"], m["end"]))
+
+    def placed(m):
+        starts = running_sums(F.transform(m["all"], lambda _, i: (F.element_at(m["gap"], i + 1) + F.coalesce(F.get(m["all"], i - 1), F.lit(0))).cast("long")))
+        at = F.transform(F.arrays_zip(starts.alias("start"), m["all"].alias("n"), m["own"].alias("own")), lambda x: F.struct(x["start"].cast("int").alias("start"), F.lit(rank).alias("rank"), (x["start"] + x["n"]).cast("int").alias("end"), x["own"].alias("own")))
+        return F.transform(F.filter(at, lambda x: x["own"] >= rule.least), lambda x: F.struct(x["start"], x["rank"], x["end"]))
+
+    return let(F.struct(lengths(0).alias("all"), lengths(rule.group).alias("own"), gaps.alias("gap")), placed)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
