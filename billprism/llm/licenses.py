@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import let
 from .ngram_join import keyed
 
 #: Common notices of each family.
@@ -30,7 +31,7 @@ TEMPLATES = {
     "CC-BY-SA": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the Creative Commons Attribution-ShareAlike License"),
     "CC-BY-NC": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Released under the CC BY-NC 3.0 license"),
     "CC0": ("Released under CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related rights to this work", "This work is dedicated to the public domain"),
-    "Proprietary": ("Copyright. All rights reserved", "All rights reserved. No part of this publication may be reproduced without prior written permission", "This software is proprietary and confidential. Unauthorized copying is strictly prohibited"),
+    "Proprietary": ("All rights reserved", "Copyright. All rights reserved", "All rights reserved. No part of this publication may be reproduced without prior written permission", "This software is proprietary and confidential. Unauthorized copying is strictly prohibited"),
 }
 #: Sentences with the notices' words that are no notices.
 OTHERS = (
@@ -103,11 +104,6 @@ def model() -> tuple[list[str], dict[tuple[str, ...], np.ndarray], np.ndarray, f
     return families, {g: w[i] for g, i in vocabulary.items()}, b, temperature, least
 
 
-def _let(value, body):
-    """body of value, which is evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _runs(low, cue):
     """The runs of lines to score: structs of first and last line, words, and whether a line has a cue.
 
@@ -118,7 +114,7 @@ def _runs(low, cue):
     def of_line(rows, i):
         ahead = F.aggregate(
             F.slice(rows, i + 1, F.lit(WIDE)), F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open")),
-            lambda s, r: _let(s["open"] & (s["used"] < WIDE) & (F.size(r["w"]) > 0), lambda go: F.struct((s["used"] + F.when(go, F.size(r["w"])).otherwise(0)).alias("used"), (s["n"] + go.cast("int")).alias("n"), go.alias("open"))),
+            lambda s, r: let(s["open"] & (s["used"] < WIDE) & (F.size(r["w"]) > 0), lambda go: F.struct((s["used"] + F.when(go, F.size(r["w"])).otherwise(0)).alias("used"), (s["n"] + go.cast("int")).alias("n"), go.alias("open"))),
         )["n"]
 
         def run(d):
@@ -133,7 +129,7 @@ def _runs(low, cue):
         starts = F.filter(F.sequence(F.lit(1), F.size(rows)), lambda i: (F.size(F.element_at(rows, i)["w"]) > 0) & F.exists(F.slice(rows, i, F.lit(WIDE + 1)), lambda r: r["cue"]))
         return F.flatten(F.transform(starts, lambda i: of_line(rows, i)))
 
-    return _let(F.transform(F.split(low, r"\n"), lambda p: F.struct(F.regexp_extract_all(p, F.lit(f"({TOKEN})"), F.lit(1)).alias("w"), cue(p).alias("cue"))), of_text)
+    return let(F.transform(F.split(low, r"\n"), lambda p: F.struct(F.regexp_extract_all(p, F.lit(f"({TOKEN})"), F.lit(1)).alias("w"), cue(p).alias("cue"))), of_text)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
