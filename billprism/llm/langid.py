@@ -1,6 +1,6 @@
 """Language ID by compression: the language whose raw-content zstandard dictionary packs a text smallest.
 
-A language's dictionary is plain text of that language from a bounded sample of labelled documents. A text is encoded once with each
+A language's dictionary is plain text of that language, whole texts from a bounded sample of labelled documents. A text is encoded once with each
 dictionary; the saving of the best over the second best is the margin, and a narrow one makes a rejection. How narrow is calibrated, by
 length of text, on labelled documents that no dictionary has.
 """
@@ -14,15 +14,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The sample: documents of each language, by hash order, and bytes that each of them and all give to its dictionary.
-SAMPLE_DOCS, BYTES_EACH, DICTIONARY_BYTES = 200, 240, 48 << 10
-LEVEL = 5
+#: The sample: documents of each language in hash order, those of at most SHORT bytes first; its shortest whole texts make a dictionary of at most
+#: DICTIONARY_BYTES (or of one text). Languages learned at most, the commonest first.
+SAMPLE_DOCS, SHORT, DICTIONARY_BYTES, LANGUAGES_MOST = 200, 8 << 10, 64 << 10, 256
+#: The level from which zstandard looks one byte ahead for a longer match; below it a short match in the right dictionary can cost more than none in a wrong one.
+LEVEL = 6
 #: A text is encoded in pieces of so many bytes, so that the dictionary tells all along a long text.
 PIECE = 4096
 #: Margins below this are always rejected: in effect ties, as one byte of a piece is more.
 REJECT_BELOW = 0.0002
 #: Bytes of the calibrated texts, each for texts up to twice as long, the last for all longer ones; shorter texts than the first are rejected for ties only.
-LENGTHS = (64, 128, 256, 512, 1024)
+LENGTHS = (64, 128, 256, 512, 1024, 2048, PIECE)
 #: Calibrated documents of each language and of all at most; rejected are margins under HALF of what all but LOW of them reach.
 CALIBRATE_DOCS, CALIBRATE_ALL, HALF, LOW = 100, 800, 0.5, 0.02
 UNKNOWN = "und"
@@ -34,11 +36,15 @@ def letters(text: str) -> bytes:
     return BETWEEN.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
-def _piece(text: str) -> bytes:
-    """At most BYTES_EACH bytes from the middle, where headings and repeated openings are rare."""
-    raw = letters(text)
-    at = max(0, (len(raw) - BYTES_EACH) // 2)
-    return raw[at : at + BYTES_EACH]
+def _dictionary(texts: list[str]) -> bytes:
+    """The shortest texts, whole, while they fit; one at least."""
+    out, size = [], 0
+    for raw in sorted(dict.fromkeys(map(letters, texts)), key=lambda r: (len(r), r)):
+        size += len(raw) + 1
+        if out and size > DICTIONARY_BYTES:
+            break
+        out.append(raw)
+    return b" ".join(reversed(out))
 
 
 class Learned(dict):
@@ -48,12 +54,12 @@ class Learned(dict):
 
 
 def _calibrated(dictionaries: dict[str, bytes], texts: list[tuple[str, str]]) -> tuple[float, ...]:
-    """texts: (language, text). A wrong prediction has no margin."""
+    """texts: (language, text). A wrong prediction has no margin. A length that no text has takes half the margin of the length before it."""
     one, out = classifier(dictionaries), []
     for n in LENGTHS:
         cut = [(l, letters(t)[:n].decode("utf-8", "ignore")) for l, t in texts]
         margins = [m if name == l else 0.0 for l, (name, m) in ((l, one(t)) for l, t in cut if len(t.encode()) > n - 8)]
-        out.append(max(REJECT_BELOW, HALF * sorted(margins)[int(LOW * len(margins))]) if margins else out[-1] if out else REJECT_BELOW)
+        out.append(max(REJECT_BELOW, HALF * sorted(margins)[int(LOW * len(margins))]) if margins else max(REJECT_BELOW, out[-1] / 2) if out else REJECT_BELOW)
     return tuple(out)
 
 
@@ -63,18 +69,21 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     At most SAMPLE_DOCS documents of a language make its dictionary and CALIBRATE_DOCS others, a fifth where there are few, calibrate the margins; no more
     reach the driver.
     """
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter("t is not null and l is not null")
-    rows = rows.select("l", F.xxhash64("i", "t").alias("h"), F.substring("t", F.lit(1) + F.greatest(F.lit(0), ((F.length("t") - BYTES_EACH) / 2).cast("int")), F.lit(BYTES_EACH)).alias("t"), F.substring("t", 1, 2 * LENGTHS[-1]).alias("x"))
-    rank = Window.partitionBy("l").orderBy("h", "t")
-    found: dict[str, list] = {}
-    for r in rows.withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= SAMPLE_DOCS + CALIBRATE_DOCS).collect():
-        found.setdefault(r["l"], []).append((r["h"], r["t"], r["x"]))
-    often = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter("t is not null and l is not null")
+    often = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES_MOST).collect()}
+    rank = Window.partitionBy("l").orderBy("long", "h")
+    named = rows.filter(F.col("l").isin(list(often))).select("l", "h", (F.octet_length("t") > SHORT).alias("long"))
+    which = named.withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= SAMPLE_DOCS + CALIBRATE_DOCS).select("l", "h", "k").collect()
+    chosen = docs.sparkSession.createDataFrame(which, "l string, h long, k int")
+    found: dict[str, dict[int, str]] = {}
+    for r in rows.join(F.broadcast(chosen), ["l", "h"]).dropDuplicates(["l", "h"]).collect():  # as many as were chosen
+        found.setdefault(r["l"], {})[r["k"]] = r["t"]
+    found = {l: [t for _, t in sorted(x.items())] for l, x in found.items()}
     taught = {l: min(SAMPLE_DOCS, len(x) - len(x) // 5) for l, x in found.items()}
-    out = Learned({l: b" ".join(dict.fromkeys(_piece(t) for _, t, _ in sorted(found[l])[: taught[l]]))[-DICTIONARY_BYTES:] for l in sorted(found, key=lambda l: (-often[l], l))})
+    out = Learned({l: _dictionary(found[l][: taught[l]]) for l in sorted(found, key=lambda l: (-often[l], l))})
     most = max(4, CALIBRATE_ALL // max(1, len(out)))
-    seen = {t for l, x in found.items() for _, t, _ in sorted(x)[: taught[l]]}
-    out.below = _calibrated(out, [(l, x) for l in out for _, t, x in sorted(found[l])[taught[l] :][:most] if t not in seen])
+    seen = {t for l, x in found.items() for t in x[: taught[l]]}
+    out.below = _calibrated(out, [(l, t) for l in out for t in found[l][taught[l] :][:most] if t not in seen])
     return out
 
 
