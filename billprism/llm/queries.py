@@ -14,54 +14,63 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of equal texts, told by deterministic block names."""
     from .exact_dedup import exact_dedup
 
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20, over an inverted multi-index of all vectors."""
     from .ann import search
 
     return search(read(spark, sf_dir, "embeddings"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text: candidates from a trigram index, spans by the rules' expressions."""
     from .secrets import scan_secrets
 
     return scan_secrets(read(spark, sf_dir, "documents"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every whole text, by a trained classifier that templates confirm."""
     from .licenses import scan_licenses
 
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text once each 200-byte string that starts anywhere else is removed."""
     from .substr_dedup import substring_dedup
 
     return substring_dedup(read(spark, sf_dir, "documents"))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
     from .mixing import mix
 
     return mix(read(spark, sf_dir, "documents"), keep=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component that links of Jaccard 0.8 over 5-word shingles make."""
     from .ngram_join import ngram_components
 
     return ngram_components(read(spark, sf_dir, "documents"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document and their places in sequences of at most 4096 tokens."""
     from .packing import pack
 
     return pack(read(spark, sf_dir, "documents"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text; learned from the rows that are not held out."""
     from .langid import identify, learn
 
     docs = read(spark, sf_dir, "documents")
@@ -70,6 +79,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every whole text; learned from the labels of rows that are not held out."""
     from .quality import quality
 
     docs = read(spark, sf_dir, "documents")
