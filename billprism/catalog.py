@@ -446,3 +446,6 @@ def invoices_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred_rule_e2e(spark, sf_dir)
+
+
+from . import catalog_engine, catalog_xpath  # noqa: E402, F401 - they register their queries

@@ -6,6 +6,7 @@ return '' for it, casts return null, and predicates return false, so no null rea
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -51,15 +52,16 @@ def substring_after(c, mark: str) -> Column:
     return F.when(at > 0, F.substring(text(c), at + len(mark), F.length(text(c)))).otherwise("")
 
 
-def substring(c, start: float, length: float | None = None) -> Column:
-    """From position ``start``, both numbers rounded half up; positions before 1 count towards the length."""
-    import math
-
-    first = math.floor(start + 0.5)
-    if length is None:
-        return F.substring(text(c), F.lit(max(1, first)), F.length(text(c)))
-    last = first + math.floor(length + 0.5)
-    return F.substring(text(c), F.lit(max(1, first)), F.lit(max(0, last - max(1, first))))
+def substring(c, start, length=None) -> Column:
+    """From position ``start``, both numbers (or Columns of doubles) rounded half up; positions before 1 count towards the length, and NaN gives ''."""
+    number = lambda x: (x if isinstance(x, Column) else F.lit(float(x))).cast("double")
+    whole = lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.floor(x + 0.5).cast("double"))
+    end = (F.length(text(c)) + 1).cast("double")
+    first = whole(number(start))
+    after = end if length is None else first + whole(number(length))
+    begin, stop = F.greatest(F.lit(1.0), first), F.least(end, after)
+    fits = ~F.isnan(first) & ~F.isnan(after) & (begin < stop)
+    return F.when(fits, F.substring(text(c), begin.cast("int"), (stop - begin).cast("int"))).otherwise("")
 
 
 def translate(c, source: str, target: str) -> Column:
@@ -70,23 +72,44 @@ def translate(c, source: str, target: str) -> Column:
     return F.translate(text(c), "".join(s for s, _ in kept), "".join(t for _, t in kept))
 
 
-def regex(pattern: str, flags: str = "") -> str:
-    """An XPath pattern in Java's dialect: $ only at the very end, name classes written out, flags up front."""
-    out, i, inside = [], 0, False
-    classes = {"i": "\\p{L}_:", "c": "\\p{L}\\p{M}\\p{Nd}_:.\\-·", "I": "^\\p{L}_:", "C": "^\\p{L}\\p{M}\\p{Nd}_:.\\-·"}
+_NAME_CLASSES = {"i": "\\p{L}_:", "c": "\\p{L}\\p{M}\\p{Nd}_:.\\-·"}
+
+
+def _class(pattern: str, i: int) -> tuple[str, int]:
+    """The character class at ``pattern[i]`` in Java's dialect, and where it ends. What is subtracted becomes a look ahead."""
+    j, body, less = i + 1, "", ""
+    negated = pattern[j : j + 1] == "^"
+    j += negated
+    while j < len(pattern) and pattern[j] != "]":
+        if pattern.startswith("-[", j):
+            inner, j = _class(pattern, j + 1)
+            less += f"(?!{inner})"
+        elif pattern[j] == "\\" and j + 1 < len(pattern):
+            nxt = pattern[j + 1]
+            body += _NAME_CLASSES[nxt] if nxt in "ic" else f"[^{_NAME_CLASSES[nxt.lower()]}]" if nxt in "IC" else pattern[j : j + 2]
+            j += 2
+        else:
+            body += "\\" + pattern[j] if pattern[j] in "[&" else pattern[j]
+            j += 1
+    base = f"[{'^' * negated}{body}]"
+    return (f"(?:{less}{base})" if less else base), j + 1
+
+
+def regex(pattern: str, flags: str = "", end: str = "\\z") -> str:
+    """An XPath pattern in Java's dialect: $ only at the very ``end``, name classes and subtracted classes written out, flags up front."""
+    out, i = [], 0
     while i < len(pattern):
         ch = pattern[i]
         if ch == "\\" and i + 1 < len(pattern):
             nxt = pattern[i + 1]
-            out.append((classes[nxt].lstrip("^") if inside else f"[{classes[nxt]}]") if nxt in classes else ch + nxt)
+            out.append(f"[{'^' * nxt.isupper()}{_NAME_CLASSES[nxt.lower()]}]" if nxt in "icIC" else ch + nxt)
             i += 2
-            continue
-        if ch == "[":
-            inside = True
-        elif ch == "]":
-            inside = False
-        out.append("\\z" if ch == "$" and not inside and "m" not in flags else ch)
-        i += 1
+        elif ch == "[":
+            found, i = _class(pattern, i)
+            out.append(found)
+        else:
+            out.append(end if ch == "$" and "m" not in flags else ch)
+            i += 1
     return (f"(?{''.join(sorted(set(flags)))})" if flags else "") + "".join(out)
 
 
@@ -95,6 +118,9 @@ def matches(c, pattern: str, flags: str = "") -> Column:
 
 
 def replace(c, pattern: str, by: str, flags: str = "") -> Column:
+    """ValueError FORX0004, before any job runs, where ``by`` has a $ without a digit or a backslash before anything but these two."""
+    if not re.fullmatch(r"(?:[^\\$]|\\[\\$]|\$[0-9])*", by, re.S):
+        raise ValueError(f"FORX0004: {by} is no replacement")
     return F.regexp_replace(text(c), F.lit(regex(pattern, flags)), F.lit(by))
 
 

@@ -118,26 +118,35 @@ TWO_DECIMALS = (
 )
 RULES += [(f"BR-DEC-{n}", c, f"every $a in {e} satisfies string-length(substring-after($a, '.')) <= 2", f"{e[4:]} has two decimals at most") for n, c, e in TWO_DECIMALS]
 
-#: VAT categories: code, letters of their rules, rate 0.
-CATEGORIES = (("S", "S", False), ("Z", "Z", True), ("E", "E", True), ("AE", "AE", True), ("K", "IC", True), ("G", "G", True))
+#: VAT categories: code, letters of their rules, and what is known of their rate: above 0, 0, 0 or more, or none.
+CATEGORIES = (("S", "S", "above"), ("Z", "Z", "zero"), ("E", "E", "zero"), ("AE", "AE", "zero"), ("K", "IC", "zero"), ("G", "G", "zero"), ("O", "O", "none"), ("L", "AF", "any"), ("M", "AG", "any"))
 
 
-def _category(code: str, name: str, zero: bool) -> list[tuple[str, str, str, str]]:
+def _category(code: str, name: str, rates: str) -> list[tuple[str, str, str, str]]:
     vat = f"cac:TaxCategory[normalize-space(cbc:ID) = '{code}'][cac:TaxScheme/normalize-space(cbc:ID) = 'VAT']"
     item = f"cac:Item/cac:ClassifiedTaxCategory[normalize-space(cbc:ID) = '{code}'][cac:TaxScheme/normalize-space(cbc:ID) = 'VAT']"
     used = f"(cac:AllowanceCharge/{vat} or {_LINES}/{item})"
     broken = f"cac:TaxTotal/cac:TaxSubtotal/{vat}"
     seller = f"({_SELLER}/cac:PartyTaxScheme/cbc:CompanyID or cac:TaxRepresentativeParty/cac:PartyTaxScheme[cac:TaxScheme/cbc:ID = 'VAT']/cbc:CompanyID)"
-    rate = "xs:decimal(cbc:Percent) = 0" if zero else "xs:decimal(cbc:Percent) > 0"
-    amount = "xs:decimal(../cbc:TaxAmount) = 0" if zero else f"abs(xs:decimal(../cbc:TaxAmount) - {_cents('xs:decimal(../cbc:TaxableAmount) * xs:decimal(cbc:Percent) div 100')}) < 1"
+    by_rate = rates in ("above", "any")
+    rate = {"zero": "xs:decimal(cbc:Percent) = 0", "above": "xs:decimal(cbc:Percent) > 0", "any": "xs:decimal(cbc:Percent) >= 0", "none": "not(cbc:Percent)"}[rates]
+    amount = f"abs(xs:decimal(../cbc:TaxAmount) - {_cents('xs:decimal(../cbc:TaxableAmount) * xs:decimal(cbc:Percent) div 100')}) < 1" if by_rate else "xs:decimal(../cbc:TaxAmount) = 0"
     reason = "cbc:TaxExemptionReason or cbc:TaxExemptionReasonCode"
+    same = "[xs:decimal(cbc:Percent) = $r]" if by_rate else ""
+    parts = " + ".join((_sum(f"../../../{_LINES}[{item}{same}]/cbc:LineExtensionAmount"), _sum(f"../../../{_CHARGE}[{vat}{same}]/cbc:Amount")))
+    parts += " - " + _sum(f"../../../{_ALLOWANCE}[{vat}{same}]/cbc:Amount")
+    whole = f"every $r in xs:decimal(cbc:Percent) satisfies abs(xs:decimal(../cbc:TaxableAmount) - ({parts})) < 1" if by_rate else f"xs:decimal(../cbc:TaxableAmount) = {_cents(parts)}"
+    number = (f"not({used}) or {seller}", f"A seller who uses category {code} has a tax identifier")
+    out = [(f"BR-{name}-01", ROOT, f"not({used}) or {broken}" if by_rate else f"(count({broken}) = 1) = boolean({used}) or (not({used}) and not({broken}))", f"Category {code} has its place in the VAT breakdown")]
+    if rates != "none":
+        out += [(f"BR-{name}-0{k}", ROOT, number[0].replace(used, there), number[1]) for k, there in ((2, f"{_LINES}/{item}"), (3, f"{_ALLOWANCE}/{vat}"), (4, f"{_CHARGE}/{vat}"))]
     return [
-        (f"BR-{name}-01", ROOT, f"not({used}) or {broken}" if not zero else f"(count({broken}) = 1) = boolean({used}) or (not({used}) and not({broken}))", f"Category {code} has its place in the VAT breakdown"),
-        *((f"BR-{name}-0{k}", ROOT, f"not({there}) or {seller}", f"A seller who uses category {code} has a tax identifier") for k, there in ((2, f"{_LINES}/{item}"), (3, f"{_ALLOWANCE}/{vat}"), (4, f"{_CHARGE}/{vat}"))),
+        *out,
         (f"BR-{name}-05", f"cac:InvoiceLine/{item} | cac:CreditNoteLine/{item}", rate, f"The rate of a line of category {code}"),
         *((f"BR-{name}-0{k}", f"/*/{kind}/{vat}", rate, f"The rate of an allowance or charge of category {code}") for k, kind in ((6, _ALLOWANCE), (7, _CHARGE))),
-        (f"BR-{name}-09", f"/*/cac:TaxTotal/cac:TaxSubtotal/{vat}", amount, f"The VAT amount of category {code}"),
-        (f"BR-{name}-10", f"/*/cac:TaxTotal/cac:TaxSubtotal/{vat}", f"not({reason})" if code in ("S", "Z") else reason, f"Category {code} and the reason of an exemption"),
+        (f"BR-{name}-08", f"/*/{broken}", whole, f"The taxable amount of category {code} is that of its lines, allowances and charges"),
+        (f"BR-{name}-09", f"/*/{broken}", amount, f"The VAT amount of category {code}"),
+        (f"BR-{name}-10", f"/*/{broken}", reason if rates in ("zero", "none") and code != "Z" else f"not({reason})", f"Category {code} and the reason of an exemption"),
     ]
 
 
@@ -145,8 +154,48 @@ for _row in CATEGORIES:
     RULES += _category(*_row)
 
 
-def core_rules(id: str = "en16931-ubl") -> Ruleset:
-    """The rule set; every rule is a pattern of its own, so no rule takes nodes from another."""
+RULES += [
+    ("BR-O-11", ROOT, "not(cac:TaxTotal/cac:TaxSubtotal/cac:TaxCategory[normalize-space(cbc:ID) = 'O']) or count(cac:TaxTotal/cac:TaxSubtotal) = 1", "An invoice outside VAT has no other VAT breakdown"),
+    ("BR-O-12", ROOT, f"not(cac:TaxTotal/cac:TaxSubtotal/cac:TaxCategory[normalize-space(cbc:ID) = 'O']) or not({_LINES}/cac:Item/cac:ClassifiedTaxCategory[normalize-space(cbc:ID) != 'O'])", "An invoice outside VAT has no line within it"),
+]
+
+#: Codes that EN 16931 takes from short lists.
+CODES = {
+    "invoice_type": "71 80 82 84 102 218 219 326 331 380 382 383 384 386 388 389 390 393 394 395 456 457 527 553 575 623 633 751 780 817 870 875 876 877 935",
+    "credit_note_type": "81 83 261 262 296 308 381 396 420 458 502 503 532",
+    "vat_category": "AE E S Z G O K L M B",
+    "vat_point": "3 35 432",
+    "payment_means": "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 27 28 29 30 31 32 33 34 35 36 37 38 39 40 41 42 43 44 45 46 47 48 49 50 51 52 53 54 55 56 57 58 59 60 61 62 63 64 65 66 67 68 70 74 75 76 77 78 91 92 93 94 95 96 97 98 ZZZ",
+    "allowance_reason": "41 42 60 62 63 64 65 66 67 68 70 71 88 95 100 102 103 104 105",
+    "mime": "application/pdf image/png image/jpeg text/csv application/vnd.openxmlformats-officedocument.spreadsheetml.sheet application/vnd.oasis.opendocument.spreadsheet",
+    "currency": "AED AFN ALL AMD ANG AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BOV BRL BSD BTN BWP BYN BZD CAD CDF CHE CHF CHW CLF CLP CNY COP COU CRC CUC CUP CVE CZK DJF DKK DOP DZD EGP ERN ETB EUR FJD FKP GBP GEL GHS GIP GMD GNF GTQ GYD HKD HNL HRK HTG HUF IDR ILS INR IQD IRR ISK JMD JOD JPY KES KGS KHR KMF KPW KRW KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL MGA MKD MMK MNT MOP MRU MUR MVR MWK MXN MXV MYR MZN NAD NGN NIO NOK NPR NZD OMR PAB PEN PGK PHP PKR PLN PYG QAR RON RSD RUB RWF SAR SBD SCR SDG SEK SGD SHP SLE SLL SOS SRD SSP STN SVC SYP SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX USD USN UYI UYU UYW UZS VED VES VND VUV WST XAF XAG XAU XBA XBB XBC XBD XCD XDR XOF XPD XPF XPT XSU XTS XUA XXX YER ZAR ZMW ZWL",
+}
+#: Where codes of a list stand: (rule, list, context). Lists that are not in CODES are the caller's: country, unit, scheme, endpoint, item_scheme, classification, charge_reason, exemption.
+LISTED = (
+    ("BR-CL-01", "invoice_type", "cbc:InvoiceTypeCode"), ("BR-CL-01", "credit_note_type", "cbc:CreditNoteTypeCode"), ("BR-CL-03", "currency", "cbc:Amount | cbc:BaseAmount | cbc:PriceAmount | cbc:TaxAmount | cbc:TaxableAmount | cbc:LineExtensionAmount | cbc:TaxExclusiveAmount | cbc:TaxInclusiveAmount | cbc:AllowanceTotalAmount | cbc:ChargeTotalAmount | cbc:PrepaidAmount | cbc:PayableRoundingAmount | cbc:PayableAmount"),
+    ("BR-CL-04", "currency", "cbc:DocumentCurrencyCode"), ("BR-CL-05", "currency", "cbc:TaxCurrencyCode"), ("BR-CL-06", "vat_point", "cac:InvoicePeriod/cbc:DescriptionCode"), ("BR-CL-10", "scheme", "cac:PartyIdentification/cbc:ID[@schemeID]"), ("BR-CL-11", "scheme", "cac:PartyLegalEntity/cbc:CompanyID[@schemeID]"),
+    ("BR-CL-13", "classification", "cac:CommodityClassification/cbc:ItemClassificationCode[@listID]"), ("BR-CL-14", "country", "cac:Country/cbc:IdentificationCode"), ("BR-CL-15", "country", "cac:OriginCountry/cbc:IdentificationCode"), ("BR-CL-16", "payment_means", "cac:PaymentMeans/cbc:PaymentMeansCode"),
+    ("BR-CL-17", "vat_category", "cac:TaxCategory/cbc:ID"), ("BR-CL-18", "vat_category", "cac:ClassifiedTaxCategory/cbc:ID"), ("BR-CL-19", "allowance_reason", "cac:AllowanceCharge[cbc:ChargeIndicator = 'false']/cbc:AllowanceChargeReasonCode"), ("BR-CL-20", "charge_reason", "cac:AllowanceCharge[cbc:ChargeIndicator = 'true']/cbc:AllowanceChargeReasonCode"),
+    ("BR-CL-21", "item_scheme", "cac:StandardItemIdentification/cbc:ID[@schemeID]"), ("BR-CL-22", "exemption", "cbc:TaxExemptionReasonCode"), ("BR-CL-23", "unit", "cbc:InvoicedQuantity[@unitCode] | cbc:CreditedQuantity[@unitCode] | cbc:BaseQuantity[@unitCode]"), ("BR-CL-24", "mime", "cbc:EmbeddedDocumentBinaryObject[@mimeCode]"),
+    ("BR-CL-25", "endpoint", "cbc:EndpointID[@schemeID]"), ("BR-CL-26", "scheme", "cac:DeliveryLocation/cbc:ID[@schemeID]"),
+)
+_ATTRIBUTE = {"BR-CL-03": "@currencyID"}
+
+
+def code_list_rules(lists: dict[str, str] | None = None) -> list[tuple[str, str, str, str]]:
+    """Rules for each list that is known: those of CODES and the caller's, given as codes with blanks between them."""
+    known, out = CODES | (lists or {}), []
+    for rule, name, context in LISTED:
+        if name in known:
+            at = next((a for a in ("schemeID", "listID", "unitCode", "mimeCode") if f"[@{a}]" in context), None)
+            value = f"@{at}" if at else _ATTRIBUTE.get(rule, ".")
+            codes = ", ".join(f"'{c}'" for c in known[name].split())
+            out.append((rule, context, f"normalize-space({value}) = ({codes})", f"The code is one of the list {name.replace('_', ' ')}"))
+    return out
+
+
+def core_rules(id: str = "en16931-ubl", lists: dict[str, str] | None = None) -> Ruleset:
+    """The rule set, with the caller's code lists; every rule is a pattern of its own, so no rule takes nodes from another."""
     namespaces = {k: NS[k] for k in ("ubl", "cn", "cac", "cbc")}
-    patterns = [[Rule(context, [], [Assertion(name, "fatal", test, False, [("text", message)], 0)])] for name, context, test, message in RULES]
+    patterns = [[Rule(context, [], [Assertion(name, "fatal", test, False, [("text", message)], 0)])] for name, context, test, message in RULES + code_list_rules(lists)]
     return Ruleset(id, namespaces, [], [], patterns)

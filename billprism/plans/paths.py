@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shred import Node, XmlError, location, parse, without_declared_encoding
 from .schematron import Ruleset
-from .xpath import Focus, XPathError, compile_xpath, text_of
+from .xpath import Focus, XPathError, XPathSyntaxError, compile_xpath, text_of
 
 _STEP = r"(?:@?(?:[A-Za-z_][\w.-]*:)?[A-Za-z_][\w.-]*)"
 _PLAIN = re.compile(rf"(//|/)({_STEP}(?:/{_STEP})*)(?:\[(\d+)\])?")
@@ -62,6 +62,42 @@ def select_path(docs: DataFrame, expr: str, namespaces: dict[str, str] | None =
     return docs.select(docs["doc_id"].cast("string").alias("doc_id"), "xml").mapInArrow(run, ITEMS)
 
 
+VALUES = "doc_id string, key string, value string"
+_VALUES_SCHEMA = pa.schema([("doc_id", pa.string()), ("key", pa.string()), ("value", pa.string())])
+
+
+def evaluate(docs: DataFrame, expressions: dict[str, str], namespaces: dict[str, str] | None = None, variables: dict | None = None, functions: dict | None = None, by: str = "|") -> DataFrame:
+    """docs (doc_id, xml) -> a row per document and expression: its items as text, joined by ``by``; an error is ``!`` and its code.
+
+    Documents are parsed once, expressions compiled once a task. Documents that are no XML give no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = {}
+        for key, expr in expressions.items():
+            try:
+                compiled[key] = compile_xpath(expr, namespaces)
+            except XPathSyntaxError:
+                compiled[key] = None
+        for b in batches:
+            out = []
+            for doc_id, xml in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    doc = parse(without_declared_encoding(xml or ""))
+                except XmlError:
+                    continue
+                for key, one in compiled.items():
+                    try:
+                        value = "!XPST0003" if one is None else by.join(map(text_of, one(Focus(doc, 1, 1, dict(variables or {}), dict(functions or {}), doc))))
+                    except XPathError as e:
+                        value = f"!{e.code}"
+                    out.append((doc_id, key, value))
+            if out:
+                yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*out, strict=True)], schema=_VALUES_SCHEMA)
+
+    return docs.select(docs["doc_id"].cast("string").alias("doc_id"), "xml").mapInArrow(run, VALUES)
+
+
 def rule_catalog(spark: SparkSession, rulesets: list[Ruleset]) -> DataFrame:
     """A row per assertion of the rule sets: rule_set, pattern_ord, rule_ord, assert_ord, id, flag, context, test, shape.
 

@@ -250,7 +250,8 @@ _SCHEMA = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "str
 def check(docs: DataFrame, rulesets: list[Ruleset], wanted: str | None = None, functions: dict | None = None, variables: dict | None = None) -> DataFrame:
     """docs (doc_id, xml) -> findings of the rule sets, or of those whose ids the array column ``wanted`` names for a document.
 
-    Documents that are not well-formed, or null, give no rows. Each document is evaluated alone, so a bad one costs no other.
+    Documents that are not well-formed, or null, give no rows. Each document is evaluated alone, so a bad one costs no other: an error that no
+    assertion accounts for is a finding SUM-RULESET of that document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +268,10 @@ def check(docs: DataFrame, rulesets: list[Ruleset], wanted: str | None = None, f
                 except XmlError:
                     continue
                 for i, r in own:
-                    out += [(doc_id, r.rules.id, i, *x) for x in r.run(doc, variables)]
+                    try:
+                        out += [(doc_id, r.rules.id, i, *x) for x in r.run(doc, variables)]
+                    except Exception as e:  # whatever a document does to a rule set, the others are still checked
+                        out.append((doc_id, r.rules.id, i, -1, 0, 0, "SUM-RULESET", "fatal", f"The rule set could not be evaluated: {e}", "/", 1, f"{type(e).__name__}: {e}"))
             if out:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 

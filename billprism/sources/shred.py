@@ -45,6 +45,8 @@ class Node:
     pre: int = 0
     last: int = 0
     line: int = 1
+    nth: int = 1  # among its parent's elements of that name, and their number
+    of: int = 1
 
     def root(self) -> Node:
         n = self
@@ -80,8 +82,7 @@ def location(n: Node) -> str:
         if n.kind == "attribute":
             parts.append(f"@{n.name}")
         elif n.kind == "element":
-            same = [c for c in n.parent.children if c.kind == "element" and c.ns == n.ns and c.local == n.local]
-            parts.append(n.name + (f"[{next(i for i, c in enumerate(same, 1) if c is n)}]" if len(same) > 1 else ""))
+            parts.append(n.name + (f"[{n.nth}]" if n.of > 1 else ""))
         else:
             parts.append({"text": "text()", "comment": "comment()", "pi": "processing-instruction()"}[n.kind])
         n = n.parent
@@ -153,7 +154,7 @@ def parse(xml: str) -> Node:
 
 
 def number(doc: Node) -> None:
-    """Document order, without recursion."""
+    """Document order and places among siblings, without recursion."""
     count, stack = 0, [(doc, False)]
     while stack:
         n, done = stack.pop()
@@ -165,6 +166,13 @@ def number(doc: Node) -> None:
         for a in n.attributes:
             a.pre = a.last = count
             count += 1
+        named: dict[tuple[str, str], list[Node]] = {}
+        for c in n.children:
+            if c.kind == "element":
+                named.setdefault((c.ns, c.local), []).append(c)
+        for same in named.values():
+            for i, c in enumerate(same, 1):
+                c.nth, c.of = i, len(same)
         stack.append((n, True))
         stack += [(c, False) for c in reversed(n.children)]
 

@@ -23,8 +23,11 @@ def start(files: DataFrame, rulesets: list[Ruleset], out: str, checkpoint: str,
     def write(batch: DataFrame, number: int) -> None:
         rows = batch.selectExpr("path as doc_id", "path as name", "content")
         found = validate(from_rows(rows), rulesets, options)
-        found.findings.write.mode("overwrite").parquet(f"{out}/findings/batch={number}")
-        found.results.write.mode("overwrite").parquet(f"{out}/results/batch={number}")
+        try:
+            found.findings.write.mode("overwrite").parquet(f"{out}/findings/batch={number}")
+            found.results.write.mode("overwrite").parquet(f"{out}/results/batch={number}")
+        finally:
+            found.close()
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
