@@ -65,7 +65,8 @@ def as_docs(rows: DataFrame, content: str = "xml") -> DataFrame:
     """Rows (doc_id, xml) as the sources make docs."""
     from .sources.documents import from_rows
 
-    return from_rows(rows.withColumn("input_idx", F.col("doc_id").cast("long")), "doc_id", content)
+    spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "doc_id")  # the tables are small for what is done to a document
+    return from_rows(spread.withColumn("input_idx", F.col("doc_id").cast("long")), "doc_id", content)
 
 
 #: What the faults make rules find: (doc_id, rule_id, severity). EXTENDED invoices have warnings for errors.
@@ -312,3 +313,105 @@ def fn_numbers(spark, sf_dir):
     amount = xp.decimal(F.col("c_acctbal").cast("decimal(12,2)").cast("string"), 12, 2)
     form = F.when(F.col("c_custkey") % 3 == 0, "1.0").when(F.col("c_custkey") % 3 == 1, " +12 ").otherwise("12a")
     return table(spark, sf_dir, "customer").select("c_custkey", F.abs(amount).alias("abs"), F.floor(amount).cast("long").alias("down"), F.ceil(amount).cast("long").alias("up"), xp.castable(form, "integer").alias("whole"))
+
+
+# ---------------------------------------------------------------- rules for both syntaxes
+
+_CII = f'xmlns:rsm="{NS["rsm"]}" xmlns:ram="{NS["ram"]}" xmlns:udt="{NS["udt"]}"'
+
+
+def cii_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, xml): orders as CII invoices with the same faults, but for the reference's."""
+    from pyspark.sql import Window
+
+    rates = breakdown(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("rate")))
+    part = F.format_string("<ram:ApplicableTradeTax><ram:CalculatedAmount>%s</ram:CalculatedAmount><ram:TypeCode>VAT</ram:TypeCode><ram:BasisAmount>%s</ram:BasisAmount><ram:CategoryCode>%s</ram:CategoryCode><ram:RateApplicablePercent>%d</ram:RateApplicablePercent></ram:ApplicableTradeTax>", _money("tax"), _money(F.col("taxable") + F.when(_has("taxable") & (F.col("k") == 1), 500).otherwise(0)), "category", "rate")
+    taxes = rates.groupBy("doc_id").agg(F.sum("taxable").alias("net"), F.sum("tax").alias("tax"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rate", part.alias("x")))), lambda s: s["x"]), "").alias("subtotals"))
+    first = F.col("line_no") == 1
+    line = F.format_string(
+        "<ram:IncludedSupplyChainTradeLineItem><ram:AssociatedDocumentLineDocument><ram:LineID>%d</ram:LineID></ram:AssociatedDocumentLineDocument><ram:SpecifiedTradeProduct><ram:Name>%s</ram:Name></ram:SpecifiedTradeProduct><ram:SpecifiedLineTradeAgreement><ram:NetPriceProductTradePrice><ram:ChargeAmount>%s</ram:ChargeAmount></ram:NetPriceProductTradePrice></ram:SpecifiedLineTradeAgreement><ram:SpecifiedLineTradeDelivery><ram:BilledQuantity%s>1</ram:BilledQuantity></ram:SpecifiedLineTradeDelivery><ram:SpecifiedLineTradeSettlement><ram:ApplicableTradeTax><ram:TypeCode>VAT</ram:TypeCode><ram:CategoryCode>%s</ram:CategoryCode><ram:RateApplicablePercent>%d</ram:RateApplicablePercent></ram:ApplicableTradeTax><ram:SpecifiedTradeSettlementLineMonetarySummation><ram:LineTotalAmount>%s</ram:LineTotalAmount></ram:SpecifiedTradeSettlementLineMonetarySummation></ram:SpecifiedLineTradeSettlement></ram:IncludedSupplyChainTradeLineItem>",
+        "line_no", F.when(_has("name") & first, " ").otherwise(F.concat(F.lit("part "), F.col("item").cast("string"))), _money("net"), F.when(_has("unit") & first, "").otherwise(' unitCode="C62"'), "category", "rate", _money("net"),
+    )
+    body = lines(spark, sf_dir).select("doc_id", line.alias("x")).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("x")), "").alias("body"))
+    spec = F.element_at(F.array(*map(F.lit, _SPECS)), (F.col("doc_id") % len(_SPECS) + 1).cast("int"))
+    party = lambda who, country: f'<ram:{who}TradeParty><ram:Name>{who}</ram:Name><ram:PostalTradeAddress><ram:CountryID>{country}</ram:CountryID></ram:PostalTradeAddress><ram:SpecifiedTaxRegistration><ram:ID schemeID="VA">DE123456789</ram:ID></ram:SpecifiedTaxRegistration></ram:{who}TradeParty>'
+    tax = F.col("tax") + F.when(_has("tax"), 1).otherwise(0)
+    gross = F.col("net") + tax + F.when(_has("inclusive"), 1).otherwise(0)
+    whole = F.format_string(
+        f'<rsm:CrossIndustryInvoice {_CII}><rsm:ExchangedDocumentContext><ram:GuidelineSpecifiedDocumentContextParameter><ram:ID>%s</ram:ID></ram:GuidelineSpecifiedDocumentContextParameter></rsm:ExchangedDocumentContext><rsm:ExchangedDocument><ram:ID>%d</ram:ID><ram:TypeCode>%s</ram:TypeCode><ram:IssueDateTime><udt:DateTimeString format="102">20240115</udt:DateTimeString></ram:IssueDateTime></rsm:ExchangedDocument><rsm:SupplyChainTradeTransaction>%s<ram:ApplicableHeaderTradeAgreement>'
+        + party("Seller", "%s") + party("Buyer", "FR")
+        + '</ram:ApplicableHeaderTradeAgreement><ram:ApplicableHeaderTradeSettlement><ram:InvoiceCurrencyCode>EUR</ram:InvoiceCurrencyCode>%s%s<ram:SpecifiedTradeSettlementHeaderMonetarySummation><ram:LineTotalAmount>%s</ram:LineTotalAmount><ram:TaxBasisTotalAmount>%s</ram:TaxBasisTotalAmount><ram:TaxTotalAmount currencyID="EUR">%s</ram:TaxTotalAmount><ram:GrandTotalAmount>%s</ram:GrandTotalAmount><ram:DuePayableAmount>%s</ram:DuePayableAmount></ram:SpecifiedTradeSettlementHeaderMonetarySummation></ram:ApplicableHeaderTradeSettlement></rsm:SupplyChainTradeTransaction></rsm:CrossIndustryInvoice>',
+        spec, "doc_id", F.when(_has("type"), "999").otherwise("380"), "body", F.when(_has("country"), "").otherwise("DE"), "subtotals",
+        F.when(_has("due"), "").otherwise('<ram:SpecifiedTradePaymentTerms><ram:DueDateDateTime><udt:DateTimeString format="102">20240215</udt:DateTimeString></ram:DueDateDateTime></ram:SpecifiedTradePaymentTerms>'),
+        _money("net"), _money("net"), _money(tax), _money(gross), F.concat(_money(gross), F.when(_has("decimals"), "0").otherwise("")),
+    )
+    return taxes.join(body, "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), whole.alias("xml"))
+
+
+@query(_FOUND + " SELECT doc_id, rule_id, severity, CAST(n AS BIGINT) AS n FROM a WHERE rule_id <> 'SUM-LEITWEG'")
+def validate_cii_e2e(spark, sf_dir):
+    """The same faults in the other syntax: the core rules on CII invoices."""
+    from .api import validate
+
+    found = validate(as_docs(cii_invoices(spark, sf_dir)))
+    return found.findings.groupBy("doc_id", "rule_id", "severity").agg(F.count("*").alias("n"))
+
+
+def _fold_iban(k: str) -> str:
+    return f"list_reduce(list_transform(string_split(lpad({k}::VARCHAR, 18, '0') || '1314' || lpad(({k} % 97)::VARCHAR, 2, '0'), ''), lambda d: d::INTEGER), lambda r, d: (r * 10 + d) % 97, 0)"
+
+
+_NATIONAL = f"""SELECT CAST(c_custkey AS VARCHAR) AS doc_id, rule_id, flag FROM customer, (VALUES ('BR-DE-15', 'fatal', 7), ('BR-DE-17', 'warning', 11), ('BR-DE-27', 'warning', 13), ('BR-DE-28', 'warning', 17), ('BR-DE-18', 'fatal', 19), ('BR-DE-3', 'fatal', 23), ('BR-DE-25', 'fatal', 29), ('BR-DE-22', 'fatal', 31)) r(rule_id, flag, m) WHERE c_custkey % m = 0
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'BR-DE-19', 'warning' FROM customer WHERE c_custkey % 29 <> 0 AND {_fold_iban('c_custkey')} <> 1"""
+
+
+def _national(syntax: str):
+    def run(spark, sf_dir):
+        from .plans import structural
+        from .plans.national_rules import national_rules
+        from .plans.schematron import check
+        from .sources.shred import shred
+
+        k = F.col("c_custkey")
+        on = lambda m, bad, good: F.when(k % m == 0, bad).otherwise(good)
+        iban = F.concat(F.lit("DE"), F.lpad((k % 97).cast("string"), 2, "0"), F.lit(" "), F.lpad(k.cast("string"), 18, "0"))
+        values = [on(11, "999", "380"), on(7, " ", "04011000-1-02"), on(23, "", "Bonn"), on(13, "12", "+49 228 1"), on(17, "a@@b", "a.b@c.de"), on(29, "59", "58"), iban, on(19, "#SKONTO#TAGE=14#\nrest", "to be paid\n#SKONTO#TAGE=14#PROZENT=2.00#\n"), on(31, "a.pdf", "b.pdf")]
+        spec = "urn:cen.eu:en16931:2017#compliant#urn:xeinkauf.de:kosit:xrechnung_3.0"
+        if syntax == "ubl":
+            file = '<cac:AdditionalDocumentReference><cac:Attachment><cbc:EmbeddedDocumentBinaryObject filename="{}"/></cac:Attachment></cac:AdditionalDocumentReference>'
+            address = "<cac:PostalAddress><cbc:CityName>{}</cbc:CityName><cbc:PostalZone>53111</cbc:PostalZone></cac:PostalAddress>"
+            text = (
+                f"<Invoice {_UBL}><cbc:CustomizationID>{spec}</cbc:CustomizationID><cbc:InvoiceTypeCode>%1$s</cbc:InvoiceTypeCode><cbc:BuyerReference>%2$s</cbc:BuyerReference>{file.format('%9$s')}{file.format('a.pdf')}"
+                f"<cac:AccountingSupplierParty><cac:Party>{address.format('%3$s')}<cac:PartyTaxScheme><cbc:CompanyID>DE1</cbc:CompanyID></cac:PartyTaxScheme><cac:Contact><cbc:Name>N</cbc:Name><cbc:Telephone>%4$s</cbc:Telephone><cbc:ElectronicMail>%5$s</cbc:ElectronicMail></cac:Contact></cac:Party></cac:AccountingSupplierParty>"
+                f"<cac:AccountingCustomerParty><cac:Party>{address.format('Paris')}</cac:Party></cac:AccountingCustomerParty><cac:PaymentMeans><cbc:PaymentMeansCode>%6$s</cbc:PaymentMeansCode><cac:PayeeFinancialAccount><cbc:ID>%7$s</cbc:ID></cac:PayeeFinancialAccount></cac:PaymentMeans><cac:PaymentTerms><cbc:Note>%8$s</cbc:Note></cac:PaymentTerms>"
+                "<cac:TaxTotal><cac:TaxSubtotal><cac:TaxCategory><cbc:Percent>19</cbc:Percent></cac:TaxCategory></cac:TaxSubtotal></cac:TaxTotal><cac:InvoiceLine><cac:Item><cac:ClassifiedTaxCategory><cbc:ID>S</cbc:ID></cac:ClassifiedTaxCategory></cac:Item></cac:InvoiceLine></Invoice>"
+            )
+        else:
+            file = '<ram:AdditionalReferencedDocument><ram:AttachmentBinaryObject filename="{}"/></ram:AdditionalReferencedDocument>'
+            address = "<ram:PostalTradeAddress><ram:PostcodeCode>53111</ram:PostcodeCode><ram:CityName>{}</ram:CityName></ram:PostalTradeAddress>"
+            text = (
+                f"<rsm:CrossIndustryInvoice {_CII}><rsm:ExchangedDocumentContext><ram:GuidelineSpecifiedDocumentContextParameter><ram:ID>{spec}</ram:ID></ram:GuidelineSpecifiedDocumentContextParameter></rsm:ExchangedDocumentContext><rsm:ExchangedDocument><ram:TypeCode>%1$s</ram:TypeCode></rsm:ExchangedDocument><rsm:SupplyChainTradeTransaction>"
+                "<ram:IncludedSupplyChainTradeLineItem><ram:SpecifiedLineTradeSettlement><ram:ApplicableTradeTax><ram:CategoryCode>S</ram:CategoryCode></ram:ApplicableTradeTax></ram:SpecifiedLineTradeSettlement></ram:IncludedSupplyChainTradeLineItem>"
+                f"<ram:ApplicableHeaderTradeAgreement><ram:BuyerReference>%2$s</ram:BuyerReference><ram:SellerTradeParty><ram:DefinedTradeContact><ram:PersonName>N</ram:PersonName><ram:TelephoneUniversalCommunication><ram:CompleteNumber>%4$s</ram:CompleteNumber></ram:TelephoneUniversalCommunication><ram:EmailURIUniversalCommunication><ram:URIID>%5$s</ram:URIID></ram:EmailURIUniversalCommunication></ram:DefinedTradeContact>{address.format('%3$s')}<ram:SpecifiedTaxRegistration><ram:ID>DE1</ram:ID></ram:SpecifiedTaxRegistration></ram:SellerTradeParty><ram:BuyerTradeParty>{address.format('Paris')}</ram:BuyerTradeParty>{file.format('%9$s')}{file.format('a.pdf')}</ram:ApplicableHeaderTradeAgreement>"
+                "<ram:ApplicableHeaderTradeSettlement><ram:SpecifiedTradeSettlementPaymentMeans><ram:TypeCode>%6$s</ram:TypeCode><ram:PayeePartyCreditorFinancialAccount><ram:IBANID>%7$s</ram:IBANID></ram:PayeePartyCreditorFinancialAccount></ram:SpecifiedTradeSettlementPaymentMeans><ram:ApplicableTradeTax><ram:RateApplicablePercent>19</ram:RateApplicablePercent></ram:ApplicableTradeTax><ram:SpecifiedTradePaymentTerms><ram:Description>%8$s</ram:Description></ram:SpecifiedTradePaymentTerms></ram:ApplicableHeaderTradeSettlement></rsm:SupplyChainTradeTransaction></rsm:CrossIndustryInvoice>"
+            )
+        docs = table(spark, sf_dir, "customer").select(k.cast("string").alias("doc_id"), F.format_string(text, *values).alias("xml"))
+        shapes, rest = structural.split(national_rules(syntax))
+        columns = ["doc_id", "rule_id", "flag"]
+        return structural.findings(shred(docs), shapes).select(columns).unionByName(check(docs, [rest]).select(columns))
+
+    run.__doc__ = f"The national rules on {syntax.upper()}: payment, contact, IBAN, cash discounts, file names."
+    query(_NATIONAL, f"national_rules_{syntax}")(run)
+
+
+_national("ubl")
+_national("cii")
+
+
+@query("""SELECT c_custkey, c_custkey % 3 <> 0 AS skonto, c_custkey % 5 <> 0 AS phone, c_custkey % 7 <> 0 AS mail, c_custkey % 11 <> 0 AS url FROM customer""")
+def fn_formats(spark, sf_dir):
+    """Cash discount lines, telephone numbers, e-mail and web addresses."""
+    k = F.col("c_custkey")
+    pick = lambda m, bad, good: F.when(k % m == 0, bad).otherwise(good)
+    skonto = pick(3, F.when(k % 2 == 0, "#SKONTO#TAGE=14#").otherwise("net\n#SKONTO#TAGE=x#PROZENT=2.00#"), F.when(k % 2 == 0, "pay soon").otherwise("a\n#SKONTO#TAGE=14#PROZENT=2.25#BASISBETRAG=357.93#\r\n#VERZUG#TAGE=30#PROZENT=9.00#\n"))
+    return table(spark, sf_dir, "customer").select("c_custkey", xp.skonto_ok(skonto).alias("skonto"), xp.phone_ok(pick(5, "0-1", "+49 (0)30")).alias("phone"), xp.mail_ok(pick(7, F.when(k % 2 == 0, "a b@c.de").otherwise("a@c."), " x.y@z.org ")).alias("mail"), xp.url_ok(pick(11, "no web", "https://example.org/a?b=1#c")).alias("url"))

@@ -268,5 +268,30 @@ def leitweg_ok(c) -> Column:
     return true(mod97(letters_as_digits(whole)) == 1)
 
 
+#: A line of payment terms about a cash discount or interest; a telephone number; an e-mail address; a web address.
+SKONTO = r"^#(SKONTO|VERZUG)#TAGE=[0-9]+#PROZENT=[0-9]+\.[0-9]{2}(#BASISBETRAG=-?[0-9]+\.[0-9]{2})?#$"
+PHONE = r"([^0-9]*[0-9]){3}"
+MAIL = r"^[^@\s.]([^@\s]*[^@\s.])?@[^@\s.]([^@\s]*[^@\s.])?$"
+URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/?#]+([/?#]\S*)?$"
+
+
+def skonto_ok(c) -> Column:
+    """Whether each line that begins with # is a complete one."""
+    marked = F.filter(tokenize(c, r"\r?\n"), lambda x: F.startswith(nspace(x), F.lit("#")))
+    return every(marked, lambda x: matches(nspace(x), SKONTO))
+
+
+def phone_ok(c) -> Column:
+    return matches(c, PHONE)
+
+
+def mail_ok(c) -> Column:
+    return matches(nspace(c), MAIL)
+
+
+def url_ok(c) -> Column:
+    return matches(nspace(c), URL)
+
+
 def all_of(*tests: Column) -> Column:
     return reduce(lambda a, b: a & b, tests)

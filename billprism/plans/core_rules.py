@@ -6,6 +6,8 @@ set bring its text to ``Ruleset.from_text``; this one is for validation without
 
 from __future__ import annotations
 
+import re
+
 from .detect import NS
 from .schematron import Assertion, Rule, Ruleset
 
@@ -125,9 +127,7 @@ CATEGORIES = (("S", "S", "above"), ("Z", "Z", "zero"), ("E", "E", "zero"), ("AE"
 def _category(code: str, name: str, rates: str) -> list[tuple[str, str, str, str]]:
     vat = f"cac:TaxCategory[normalize-space(cbc:ID) = '{code}'][cac:TaxScheme/normalize-space(cbc:ID) = 'VAT']"
     item = f"cac:Item/cac:ClassifiedTaxCategory[normalize-space(cbc:ID) = '{code}'][cac:TaxScheme/normalize-space(cbc:ID) = 'VAT']"
-    used = f"(cac:AllowanceCharge/{vat} or {_LINES}/{item})"
-    broken = f"cac:TaxTotal/cac:TaxSubtotal/{vat}"
-    seller = f"({_SELLER}/cac:PartyTaxScheme/cbc:CompanyID or cac:TaxRepresentativeParty/cac:PartyTaxScheme[cac:TaxScheme/cbc:ID = 'VAT']/cbc:CompanyID)"
+    used, broken = f"'{code}' = ($of_lines, $of_allowances, $of_charges)", f"cac:TaxTotal/cac:TaxSubtotal/{vat}"
     by_rate = rates in ("above", "any")
     rate = {"zero": "xs:decimal(cbc:Percent) = 0", "above": "xs:decimal(cbc:Percent) > 0", "any": "xs:decimal(cbc:Percent) >= 0", "none": "not(cbc:Percent)"}[rates]
     amount = f"abs(xs:decimal(../cbc:TaxAmount) - {_cents('xs:decimal(../cbc:TaxableAmount) * xs:decimal(cbc:Percent) div 100')}) < 1" if by_rate else "xs:decimal(../cbc:TaxAmount) = 0"
@@ -136,10 +136,9 @@ def _category(code: str, name: str, rates: str) -> list[tuple[str, str, str, str
     parts = " + ".join((_sum(f"../../../{_LINES}[{item}{same}]/cbc:LineExtensionAmount"), _sum(f"../../../{_CHARGE}[{vat}{same}]/cbc:Amount")))
     parts += " - " + _sum(f"../../../{_ALLOWANCE}[{vat}{same}]/cbc:Amount")
     whole = f"every $r in xs:decimal(cbc:Percent) satisfies abs(xs:decimal(../cbc:TaxableAmount) - ({parts})) < 1" if by_rate else f"xs:decimal(../cbc:TaxableAmount) = {_cents(parts)}"
-    number = (f"not({used}) or {seller}", f"A seller who uses category {code} has a tax identifier")
-    out = [(f"BR-{name}-01", ROOT, f"not({used}) or {broken}" if by_rate else f"(count({broken}) = 1) = boolean({used}) or (not({used}) and not({broken}))", f"Category {code} has its place in the VAT breakdown")]
+    out = [(f"BR-{name}-01", ROOT, f"not({used}) or '{code}' = $of_breakdown" if by_rate else f"count($of_breakdown[. = '{code}']) = (if ({used}) then 1 else 0)", f"Category {code} has its place in the VAT breakdown")]
     if rates != "none":
-        out += [(f"BR-{name}-0{k}", ROOT, number[0].replace(used, there), number[1]) for k, there in ((2, f"{_LINES}/{item}"), (3, f"{_ALLOWANCE}/{vat}"), (4, f"{_CHARGE}/{vat}"))]
+        out += [(f"BR-{name}-0{k}", ROOT, f"not('{code}' = ${there}) or $seller_taxed", f"A seller who uses category {code} has a tax identifier") for k, there in ((2, "of_lines"), (3, "of_allowances"), (4, "of_charges"))]
     return [
         *out,
         (f"BR-{name}-05", f"cac:InvoiceLine/{item} | cac:CreditNoteLine/{item}", rate, f"The rate of a line of category {code}"),
@@ -150,6 +149,16 @@ def _category(code: str, name: str, rates: str) -> list[tuple[str, str, str, str
     ]
 
 
+_VAT_CODE = "[cac:TaxScheme/normalize-space(cbc:ID) = 'VAT']/cbc:ID/normalize-space(.)"
+#: What many rules ask of a document, found once: VAT categories of lines, allowances, charges and the breakdown, and whether the seller has a tax identifier.
+LETS = [
+    ("of_lines", f"/*/{_LINES}/cac:Item/cac:ClassifiedTaxCategory{_VAT_CODE}"),
+    ("of_allowances", f"/*/{_ALLOWANCE}/cac:TaxCategory{_VAT_CODE}"),
+    ("of_charges", f"/*/{_CHARGE}/cac:TaxCategory{_VAT_CODE}"),
+    ("of_breakdown", f"/*/cac:TaxTotal/cac:TaxSubtotal/cac:TaxCategory{_VAT_CODE}"),
+    ("seller_taxed", f"boolean(/*/{_SELLER}/cac:PartyTaxScheme/cbc:CompanyID or /*/cac:TaxRepresentativeParty/cac:PartyTaxScheme[cac:TaxScheme/cbc:ID = 'VAT']/cbc:CompanyID)"),
+]
+
 for _row in CATEGORIES:
     RULES += _category(*_row)
 
@@ -170,16 +179,15 @@ CODES = {
     "mime": "application/pdf image/png image/jpeg text/csv application/vnd.openxmlformats-officedocument.spreadsheetml.sheet application/vnd.oasis.opendocument.spreadsheet",
     "currency": "AED AFN ALL AMD ANG AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BOV BRL BSD BTN BWP BYN BZD CAD CDF CHE CHF CHW CLF CLP CNY COP COU CRC CUC CUP CVE CZK DJF DKK DOP DZD EGP ERN ETB EUR FJD FKP GBP GEL GHS GIP GMD GNF GTQ GYD HKD HNL HRK HTG HUF IDR ILS INR IQD IRR ISK JMD JOD JPY KES KGS KHR KMF KPW KRW KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL MGA MKD MMK MNT MOP MRU MUR MVR MWK MXN MXV MYR MZN NAD NGN NIO NOK NPR NZD OMR PAB PEN PGK PHP PKR PLN PYG QAR RON RSD RUB RWF SAR SBD SCR SDG SEK SGD SHP SLE SLL SOS SRD SSP STN SVC SYP SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX USD USN UYI UYU UYW UZS VED VES VND VUV WST XAF XAG XAU XBA XBB XBC XBD XCD XDR XOF XPD XPF XPT XSU XTS XUA XXX YER ZAR ZMW ZWL",
 }
-#: Where codes of a list stand: (rule, list, context). Lists that are not in CODES are the caller's: country, unit, scheme, endpoint, item_scheme, classification, charge_reason, exemption.
+#: Where codes of a list stand: (rule, list, places); an attribute that is missing is the schema's matter. Lists that are not in CODES are the caller's: country, unit, scheme, endpoint, item_scheme, classification, charge_reason, exemption.
 LISTED = (
-    ("BR-CL-01", "invoice_type", "cbc:InvoiceTypeCode"), ("BR-CL-01", "credit_note_type", "cbc:CreditNoteTypeCode"), ("BR-CL-03", "currency", "cbc:Amount | cbc:BaseAmount | cbc:PriceAmount | cbc:TaxAmount | cbc:TaxableAmount | cbc:LineExtensionAmount | cbc:TaxExclusiveAmount | cbc:TaxInclusiveAmount | cbc:AllowanceTotalAmount | cbc:ChargeTotalAmount | cbc:PrepaidAmount | cbc:PayableRoundingAmount | cbc:PayableAmount"),
-    ("BR-CL-04", "currency", "cbc:DocumentCurrencyCode"), ("BR-CL-05", "currency", "cbc:TaxCurrencyCode"), ("BR-CL-06", "vat_point", "cac:InvoicePeriod/cbc:DescriptionCode"), ("BR-CL-10", "scheme", "cac:PartyIdentification/cbc:ID[@schemeID]"), ("BR-CL-11", "scheme", "cac:PartyLegalEntity/cbc:CompanyID[@schemeID]"),
-    ("BR-CL-13", "classification", "cac:CommodityClassification/cbc:ItemClassificationCode[@listID]"), ("BR-CL-14", "country", "cac:Country/cbc:IdentificationCode"), ("BR-CL-15", "country", "cac:OriginCountry/cbc:IdentificationCode"), ("BR-CL-16", "payment_means", "cac:PaymentMeans/cbc:PaymentMeansCode"),
+    ("BR-CL-01", "invoice_type", "cbc:InvoiceTypeCode"), ("BR-CL-01", "credit_note_type", "cbc:CreditNoteTypeCode"), ("BR-CL-03", "currency", "cbc:Amount/@currencyID | cbc:BaseAmount/@currencyID | cbc:PriceAmount/@currencyID | cbc:TaxAmount/@currencyID | cbc:TaxableAmount/@currencyID | cbc:LineExtensionAmount/@currencyID | cbc:TaxExclusiveAmount/@currencyID | cbc:TaxInclusiveAmount/@currencyID | cbc:AllowanceTotalAmount/@currencyID | cbc:ChargeTotalAmount/@currencyID | cbc:PrepaidAmount/@currencyID | cbc:PayableRoundingAmount/@currencyID | cbc:PayableAmount/@currencyID"),
+    ("BR-CL-04", "currency", "cbc:DocumentCurrencyCode"), ("BR-CL-05", "currency", "cbc:TaxCurrencyCode"), ("BR-CL-06", "vat_point", "cac:InvoicePeriod/cbc:DescriptionCode"), ("BR-CL-10", "scheme", "cac:PartyIdentification/cbc:ID/@schemeID"), ("BR-CL-11", "scheme", "cac:PartyLegalEntity/cbc:CompanyID/@schemeID"),
+    ("BR-CL-13", "classification", "cac:CommodityClassification/cbc:ItemClassificationCode/@listID"), ("BR-CL-14", "country", "cac:Country/cbc:IdentificationCode"), ("BR-CL-15", "country", "cac:OriginCountry/cbc:IdentificationCode"), ("BR-CL-16", "payment_means", "cac:PaymentMeans/cbc:PaymentMeansCode"),
     ("BR-CL-17", "vat_category", "cac:TaxCategory/cbc:ID"), ("BR-CL-18", "vat_category", "cac:ClassifiedTaxCategory/cbc:ID"), ("BR-CL-19", "allowance_reason", "cac:AllowanceCharge[cbc:ChargeIndicator = 'false']/cbc:AllowanceChargeReasonCode"), ("BR-CL-20", "charge_reason", "cac:AllowanceCharge[cbc:ChargeIndicator = 'true']/cbc:AllowanceChargeReasonCode"),
-    ("BR-CL-21", "item_scheme", "cac:StandardItemIdentification/cbc:ID[@schemeID]"), ("BR-CL-22", "exemption", "cbc:TaxExemptionReasonCode"), ("BR-CL-23", "unit", "cbc:InvoicedQuantity[@unitCode] | cbc:CreditedQuantity[@unitCode] | cbc:BaseQuantity[@unitCode]"), ("BR-CL-24", "mime", "cbc:EmbeddedDocumentBinaryObject[@mimeCode]"),
-    ("BR-CL-25", "endpoint", "cbc:EndpointID[@schemeID]"), ("BR-CL-26", "scheme", "cac:DeliveryLocation/cbc:ID[@schemeID]"),
+    ("BR-CL-21", "item_scheme", "cac:StandardItemIdentification/cbc:ID/@schemeID"), ("BR-CL-22", "exemption", "cbc:TaxExemptionReasonCode"), ("BR-CL-23", "unit", "cbc:InvoicedQuantity/@unitCode | cbc:CreditedQuantity/@unitCode | cbc:BaseQuantity/@unitCode"), ("BR-CL-24", "mime", "cbc:EmbeddedDocumentBinaryObject/@mimeCode"),
+    ("BR-CL-25", "endpoint", "cbc:EndpointID/@schemeID"), ("BR-CL-26", "scheme", "cac:DeliveryLocation/cbc:ID/@schemeID"),
 )
-_ATTRIBUTE = {"BR-CL-03": "@currencyID"}
 
 
 def code_list_rules(lists: dict[str, str] | None = None) -> list[tuple[str, str, str, str]]:
@@ -187,10 +195,9 @@ def code_list_rules(lists: dict[str, str] | None = None) -> list[tuple[str, str,
     known, out = CODES | (lists or {}), []
     for rule, name, context in LISTED:
         if name in known:
-            at = next((a for a in ("schemeID", "listID", "unitCode", "mimeCode") if f"[@{a}]" in context), None)
-            value = f"@{at}" if at else _ATTRIBUTE.get(rule, ".")
-            codes = ", ".join(f"'{c}'" for c in known[name].split())
-            out.append((rule, context, f"normalize-space({value}) = ({codes})", f"The code is one of the list {name.replace('_', ' ')}"))
+            codes, at = ", ".join(f"'{c}'" for c in known[name].split()), re.search("/(@[A-Za-z]+)", context)
+            test = f"not({at[1]}) or normalize-space({at[1]}) = ({codes})" if at else f"normalize-space(.) = ({codes})"
+            out.append((rule, context.replace(f"/{at[1]}", "") if at else context, test, f"The code is one of the list {name.replace('_', ' ')}"))
     return out
 
 
@@ -198,4 +205,4 @@ def core_rules(id: str = "en16931-ubl", lists: dict[str, str] | None = None) ->
     """The rule set, with the caller's code lists; every rule is a pattern of its own, so no rule takes nodes from another."""
     namespaces = {k: NS[k] for k in ("ubl", "cn", "cac", "cbc")}
     patterns = [[Rule(context, [], [Assertion(name, "fatal", test, False, [("text", message)], 0)])] for name, context, test, message in RULES + code_list_rules(lists)]
-    return Ruleset(id, namespaces, [], [], patterns)
+    return Ruleset(id, namespaces, LETS, [], patterns)

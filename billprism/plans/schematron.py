@@ -161,6 +161,7 @@ class Runner:
     def __init__(self, rules: Ruleset, functions: dict | None = None):
         self.rules, self.extra = rules, functions or {}
         self.cache: dict[str, Compiled | XPathError] = {}
+        self.branches = {rule.context: branches(rule.context) for p in rules.patterns for rule in p}
 
     def eval(self, text: str, focus: Focus) -> list:
         found = self.cache.get(text)
@@ -202,14 +203,16 @@ class Runner:
                 base.variables |= {name: [] for name, _ in left}
                 break
             open_lets = left
+        selected: dict[str, list] = {}  # contexts see the document and the global lets only, so equal ones select the same
         for p, rules in enumerate(self.rules.patterns):
             owner: dict[int, tuple[Node, Rule]] = {}
             for rule in rules:
-                try:
-                    nodes = [n for b in branches(rule.context) for n in self.eval(b, base)]
-                except XPathError:
-                    continue
-                for n in nodes:
+                if rule.context not in selected:
+                    try:
+                        selected[rule.context] = [n for b in self.branches[rule.context] for n in self.eval(b, base)]
+                    except XPathError:
+                        selected[rule.context] = []
+                for n in selected[rule.context]:
                     if isinstance(n, Node):
                         owner.setdefault(n.pre, (n, rule))
             for pre in sorted(owner):

@@ -1,7 +1,8 @@
 """Structural assertions as joins over all documents at once.
 
 Most assertions of the invoice rule sets ask whether a context has a node at a fixed place below it: ``not(cac:A/cbc:B)`` forbids one,
-``cbc:B`` or ``exists(cbc:B)`` requires one, ``count(cbc:B) <= 1`` bounds their number. Such assertions become rows of a small table (rule, last
+``cbc:B`` or ``exists(cbc:B)`` requires one, ``count(cbc:B) <= 1`` bounds their number. Others look at the values there: that the first is not blank, that none
+has more than two decimals, that it is one of a list of codes. Such assertions become rows of a small table (rule, last
 name of the context, place below it), broadcast against the node relation: one join finds the contexts, one the nodes below
 them, one aggregation counts. ``split`` leaves everything else to the per-document evaluation.
 """
@@ -14,6 +15,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import xp
 from .schematron import Assertion, Rule, Ruleset, branches
 
 _NAME = r"(?:[A-Za-z_][\w.-]*:)?[A-Za-z_][\w.-]*"
@@ -22,12 +24,18 @@ _CONTEXT = re.compile(rf"(//|/)((?:{_NAME}/)*{_NAME})")
 _FORBID = re.compile(rf"not\(\s*({_PATH.pattern})\s*\)")
 _REQUIRE = re.compile(rf"(?:exists\(\s*({_PATH.pattern})\s*\)|\(?\s*({_PATH.pattern})\s*\)?)")
 _STEP_NAME = rf"@?{_NAME}"
+_FILLED = re.compile(rf"normalize-space\(\s*\(\s*({_PATH.pattern})\s*\)\[1\]\s*\) != ''")
+_DECIMALS = re.compile(rf"every \$(\w+) in ({_PATH.pattern}) satisfies string-length\(substring-after\(\$\1, '\.'\)\) <= 2")
+_LISTED = re.compile(rf"(not\((@{_NAME})\) or )?normalize-space\((\.|@?{_NAME})\) = \(('[^']*'(?:, '[^']*')*)\)")
 _COUNT = re.compile(rf"count\(\s*({_PATH.pattern})\s*\)\s*(<=|<|=|>=|>)\s*(\d+)")
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Fires on a context whose number of nodes at ``below`` is not within low and high."""
+    """Fires on a context whose number of nodes at ``below`` (itself, if that is empty) is not within low and high.
+
+    ``kind`` tells which nodes count: any; filled: the first, if it is not blank; decimals: those of more than two; listed, unlisted: those whose value is one of ``codes`` or none.
+    """
 
     rule_set: str
     pattern_ord: int
@@ -40,6 +48,8 @@ class Shape:
     below: tuple[str, ...]
     low: int
     high: int
+    kind: str = "any"
+    codes: tuple[str, ...] = ()
 
 
 def _steps(path: str, ns: dict[str, str]) -> tuple[str, ...] | None:
@@ -53,7 +63,8 @@ def _steps(path: str, ns: dict[str, str]) -> tuple[str, ...] | None:
     return tuple(out)
 
 
-def _bounds(a: Assertion) -> tuple[str, int, int] | None:
+def _bounds(a: Assertion) -> tuple | None:
+    """The place below the context, least and most nodes, and which nodes count."""
     test = " ".join(a.test.split())
     if a.report or any(kind != "text" for kind, _ in a.message):
         return None
@@ -62,6 +73,15 @@ def _bounds(a: Assertion) -> tuple[str, int, int] | None:
     if m := _COUNT.fullmatch(test):
         n = int(m[3])
         return (m[1], *{"<=": (0, n), "<": (0, n - 1), "=": (n, n), ">=": (n, 1 << 30), ">": (n + 1, 1 << 30)}[m[2]])
+    if m := _FILLED.fullmatch(test):
+        return m[1], 1, 1 << 30, "filled"
+    if m := _DECIMALS.fullmatch(test):
+        return m[2], 0, 0, "decimals"
+    if m := _LISTED.fullmatch(test):
+        codes = tuple(x.strip("'") for x in m[4].split(", "))
+        if m[1]:
+            return (m[3], 0, 0, "unlisted", codes) if m[2] == m[3] else None
+        return m[3], 1, 1 << 30, "listed", codes
     if (m := _REQUIRE.fullmatch(test)) and test not in ("true", "false"):
         return m[1] or m[2], 1, 1 << 30
     return None
@@ -131,18 +151,20 @@ def split(rules: Ruleset) -> tuple[list[Shape], Ruleset]:
             left = []
             for a in rule.asserts:
                 bounds = _bounds(a) if own else None
-                below = _steps(bounds[0], rules.namespaces) if bounds else None
+                below = (() if bounds[0] == "." else _steps(bounds[0], rules.namespaces)) if bounds else None
                 if below is None:
                     left.append(a)
                     continue
                 text = " ".join("".join(t for _, t in a.message).split())
-                shapes += [Shape(rules.id, p, a.place, a.id, a.flag, text, s, anchored, below, bounds[1], bounds[2]) for s, anchored in steps]
+                shapes += [Shape(rules.id, p, a.place, a.id, a.flag, text, s, anchored, below, *bounds[1:]) for s, anchored in steps]
             kept.append(Rule(rule.context, rule.lets, left))
             taken = None if taken is None or names is None else taken | names
         rest.patterns.append(kept)
     return shapes, rest
 
 
+#: Longer values are in no list of codes.
+LONGEST_CODE = 100
 FOUND = ["doc_id", "rule_set", "pattern_ord", "node_pre", "assert_ord", "rule_id", "flag", "message", "location", "line"]
 
 
@@ -150,17 +172,27 @@ def findings(nodes: DataFrame, shapes: list[Shape]) -> DataFrame:
     """One row for each context on which a shape fires. The table of shapes is as long as the rule set, and broadcast."""
     spark = nodes.sparkSession
     suffix = lambda steps: "/" + "/".join(steps)
-    rows = [(i, s.rule_set, s.pattern_ord, s.assert_ord, s.rule_id, s.flag, s.message, s.context[-1], suffix(s.context), s.anchored, s.below[-1].lstrip("@"), "attribute" if s.below[-1].startswith("@") else "element", suffix(s.below), len(s.below), s.low, s.high) for i, s in enumerate(shapes)]
-    table = spark.createDataFrame(rows, "shape int, rule_set string, pattern_ord int, assert_ord int, rule_id string, flag string, message string, c_key string, c_path string, anchored boolean, b_key string, b_kind string, b_path string, b_len int, low int, high int")
+    place = lambda s: s.below or s.context[-1:]
+    rows = [
+        (i, s.rule_set, s.pattern_ord, s.assert_ord, s.rule_id, s.flag, s.message, s.context[-1], suffix(s.context), s.anchored, place(s)[-1].lstrip("@"), "attribute" if place(s)[-1].startswith("@") else "element", suffix(place(s)), len(s.below), s.low, s.high, s.kind, list(s.codes))
+        for i, s in enumerate(shapes)
+    ]
+    table = spark.createDataFrame(rows, "shape int, rule_set string, pattern_ord int, assert_ord int, rule_id string, flag string, message string, c_key string, c_path string, anchored boolean, b_key string, b_kind string, b_path string, b_len int, low int, high int, of string, codes array<string>")
     at = lambda path, end, whole: F.when(whole, F.col(path) == F.col(end)).otherwise(F.endswith(F.col(path), F.col(end)))
     context = nodes.filter("kind = 'element'").select("doc_id", F.col("pre").alias("c_pre"), F.col("last_pre").alias("c_last"), F.col("depth").alias("c_depth"), "qkey", "path_key", "location", "line")
     context = context.join(F.broadcast(table), F.col("qkey") == F.col("c_key")).filter(at("path_key", "c_path", F.col("anchored")))
     # nodes whose name ends some shape's place, with the context's depth they would have
     ends = F.broadcast(table.select("b_key", "b_kind", "b_path", "b_len").distinct())
-    below = nodes.select("doc_id", "pre", "depth", F.col("kind").alias("k"), F.col("qkey").alias("q"), F.col("path_key").alias("p"))
+    value = xp.nspace("sval")
+    below = nodes.select("doc_id", "pre", "depth", F.when(F.length(value) <= LONGEST_CODE, value).otherwise(F.lit(None)).alias("value"), (value != "").alias("filled"), xp.two_decimals("sval").alias("short"), F.col("kind").alias("k"), F.col("qkey").alias("q"), F.col("path_key").alias("p"))
     below = below.join(ends, (F.col("q") == F.col("b_key")) & (F.col("k") == F.col("b_kind"))).filter(F.endswith("p", F.col("b_path")))
-    below = below.select("doc_id", "pre", F.col("b_path").alias("n_path"), (F.col("depth") - F.col("b_len")).alias("n_depth"))
-    pair = context.select("doc_id", "shape", "c_pre", "c_last", "c_depth", F.col("b_path").alias("n_path")).join(below.withColumnRenamed("n_depth", "c_depth"), ["doc_id", "n_path", "c_depth"]).filter("pre > c_pre and pre <= c_last")
-    counted = pair.groupBy("doc_id", "shape", "c_pre").agg(F.count("*").alias("n"))
+    below = below.select("doc_id", "pre", "value", "filled", "short", F.col("b_path").alias("n_path"), (F.col("depth") - F.col("b_len")).alias("n_depth"))
+    pair = context.select("doc_id", "shape", "c_pre", "c_last", "c_depth", "of", "codes", F.col("b_path").alias("n_path"), F.col("b_len").alias("n_len"))
+    pair = pair.join(below.withColumnRenamed("n_depth", "c_depth"), ["doc_id", "n_path", "c_depth"]).filter("pre >= c_pre and pre <= c_last")
+    listed = F.coalesce(F.array_contains("codes", F.col("value")), F.lit(False))
+    counts = {"any": F.lit(True), "decimals": ~F.col("short"), "listed": listed, "unlisted": ~listed}
+    which = F.coalesce(*(F.when(F.col("of") == k, c) for k, c in counts.items()), F.lit(False))
+    first = F.when(F.max("of") == "filled", F.min_by("filled", "pre").cast("long"))
+    counted = pair.groupBy("doc_id", "shape", "c_pre").agg(F.coalesce(first, F.count_if(which)).alias("n"))
     out = context.join(counted, ["doc_id", "shape", "c_pre"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.filter("n < low or n > high").withColumnRenamed("c_pre", "node_pre").select(*FOUND)

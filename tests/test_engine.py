@@ -221,7 +221,7 @@ def test_core_rules(spark):
     <cac:InvoiceLine><cbc:ID>1</cbc:ID><cbc:InvoicedQuantity unitCode="C62">1</cbc:InvoicedQuantity><cbc:LineExtensionAmount>100.00</cbc:LineExtensionAmount><cac:Item><cbc:Name>x</cbc:Name>{rate("ClassifiedTaxCategory")}</cac:Item><cac:Price><cbc:PriceAmount>100.00</cbc:PriceAmount></cac:Price></cac:InvoiceLine></Invoice>"""
     cases = {
         "good": (xml, set()), "due": (xml.replace("PayableAmount>119.00", "PayableAmount>120.00"), {"BR-CO-16"}), "country": (xml.replace("<cbc:IdentificationCode>DE</cbc:IdentificationCode>", "", 1), {"BR-09"}), "decimals": (xml.replace("TaxableAmount>100.00", "TaxableAmount>100.001"), {"BR-DEC-19"}),
-        "rate": (xml.replace("<cbc:Percent>19</cbc:Percent><cac:TaxScheme><cbc:ID>VAT</cbc:ID></cac:TaxScheme></cac:ClassifiedTaxCategory>", "<cbc:Percent>0</cbc:Percent><cac:TaxScheme><cbc:ID>VAT</cbc:ID></cac:TaxScheme></cac:ClassifiedTaxCategory>"), {"BR-S-05"}), "sum": (xml.replace("LineExtensionAmount>100.00", "LineExtensionAmount>99.00", 1), {"BR-CO-10", "BR-CO-13"}),
+        "rate": (xml.replace("<cbc:Percent>19</cbc:Percent><cac:TaxScheme><cbc:ID>VAT</cbc:ID></cac:TaxScheme></cac:ClassifiedTaxCategory>", "<cbc:Percent>0</cbc:Percent><cac:TaxScheme><cbc:ID>VAT</cbc:ID></cac:TaxScheme></cac:ClassifiedTaxCategory>"), {"BR-S-05", "BR-S-08"}), "sum": (xml.replace("LineExtensionAmount>100.00", "LineExtensionAmount>99.00", 1), {"BR-CO-10", "BR-CO-13"}),
     }
     docs = documents.from_rows(spark.createDataFrame([(i, n, x) for i, (n, (x, _)) in enumerate(cases.items())], "input_idx long, name string, content string"))
     got = {r["name"]: set(ids(r.asDict(True))) for r in validate(docs).results.collect()}
