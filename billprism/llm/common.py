@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -33,11 +35,35 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of a batch between the JVM and a Python worker; the setting it stands for is the session's again afterwards.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds Arrow batches by bytes while a job runs, as 10,000 rows may be long texts and an executor holds several batches at once."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+
+
+def trim() -> None:
+    """Gives a worker's free memory back to the machine, as idle workers stay beside those that run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and returns it reread, so its lineage ends there and executors may go."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/stash/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out

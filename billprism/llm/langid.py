@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import trim
+
 #: The sample: documents of each language in hash order, those of at most SHORT bytes first; its shortest whole texts make a dictionary of at most
 #: DICTIONARY_BYTES (or of one text). Languages learned at most, the commonest first.
 SAMPLE_DOCS, SHORT, DICTIONARY_BYTES, LANGUAGES_MOST = 200, 8 << 10, 64 << 10, 256
@@ -128,6 +130,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
         one = classifier(sent)
         for texts in batches:
             yield pd.DataFrame([(*p, narrow(t, *p)) for t, p in ((t, one(t)) for t in texts)], columns=["lang_pred", "score", "narrow"], index=texts.index).astype({"score": "float64", "narrow": "bool"})
+        del one
+        trim()
 
     out = docs.withColumn("__p", predict(F.col(text_col)))
     return out.withColumns({"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score"), "rejected": (F.col("__p.lang_pred") == UNKNOWN) | F.col("__p.narrow")}).drop("__p")

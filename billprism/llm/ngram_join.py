@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, byte_table, mix64, spans_of, stash, text_buffers, text_or_empty, unstash, words_of
+from .common import LOWER, SPACE, byte_table, mix64, small_batches, spans_of, stash, text_buffers, text_or_empty, trim, unstash, words_of
 from .graph import components
 
 SHINGLE = 5
@@ -103,7 +103,8 @@ def _add_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def slot_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Shingles of the whole table by slot; the table has 2 ** SLOT_BITS entries whatever the input."""
     kind = "block int, n binary"
-    t = docs.select(text_or_empty(text_col).alias("t")).mapInArrow(_count_slots, kind).repartition("block").mapInArrow(_add_slots, kind).toArrow()
+    with small_batches(docs.sparkSession):
+        t = docs.select(text_or_empty(text_col).alias("t")).mapInArrow(_count_slots, kind).repartition("block").mapInArrow(_add_slots, kind).toArrow()
     out = np.zeros((1 << SLOT_BITS) // SLOT_BLOCK * SLOT_BLOCK, np.int32).reshape(-1, SLOT_BLOCK)
     for k, n in zip(t["block"].to_pylist(), t["n"].to_pylist(), strict=True):
         out[k] = np.frombuffer(n, np.int32)
@@ -154,6 +155,8 @@ def _prefixes(counts):
                 yield from found(seen, least, copies)
                 seen, least, copies = {}, [], []
         yield from found(seen, least, copies)
+        del seen, least, copies
+        trim()
 
     def found(seen: dict, least: list, copies: list) -> Iterator[pa.RecordBatch]:
         if not seen:

@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash, text_or_empty
+from .common import stash, text_or_empty, trim
 
 SEQUENCE, END_ID = 4096, 1
 #: A bin with at most so many free tokens is final; merge fan-in; items one task packs; words one task remembers.
-SLACK, FAN_IN, ITEMS_MOST, CACHE_MOST = 8, 8, 200_000, 600_000
+SLACK, FAN_IN, ITEMS_MOST, CACHE_MOST = 8, 8, 200_000, 300_000
 #: Signs that the tokenizer cuts off the letters before them; the apostrophe, which begins English endings, is none of them.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Bytes of text that are encoded together.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 3 << 20
 
 
 def tokenizer_path() -> str:
@@ -223,6 +223,8 @@ def tokenise_and_pack(path: str, size: int, end_id: int, id_type: pa.DataType):
                     held, n = [], 0
         if n:
             yield packed(held)
+        del encoder, held
+        trim()
 
     def pieces(encoder, ids, texts):
         tokens, counts = encoder.encode(texts)
