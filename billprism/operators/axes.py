@@ -56,6 +56,12 @@ def positions(pairs: DataFrame, axis: str) -> DataFrame:
     return pairs.withColumns({"position": F.row_number().over(own.orderBy(order)), "last": F.count("*").over(own)})
 
 
+def all_differ(nodes: DataFrame, value: str, within: tuple[str, ...] = ("doc_id", "parent_pre")) -> DataFrame:
+    """Whether no node has the value of a sibling before it: ``within`` and all_differ. Grouped by value first, so a value that many nodes share is counted where they are."""
+    per = nodes.groupBy(*within, value).agg(F.count("*").alias("n"))
+    return per.groupBy(*within).agg((F.max("n") == 1).alias("all_differ"))
+
+
 def nodes_of(pairs: DataFrame) -> DataFrame:
     """The targets as a node sequence: each node once."""
     return pairs.select("m.*").dropDuplicates(["doc_id", "pre"])

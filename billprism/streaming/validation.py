@@ -38,3 +38,25 @@ def event_counts(events: DataFrame, gap: str = "1 hour", late: str = "10 minutes
     from pyspark.sql import functions as F
 
     return events.withWatermark("ts", late).groupBy(F.window("ts", gap).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def counted(events: DataFrame, out: str, checkpoint: str, gap: str = "1 hour", late: str = "10 minutes") -> StreamingQuery:
+    """A stream's counts by type and window, all that is there: each micro-batch merges into state, and the whole result replaces ``out``."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    return event_counts(events, gap, late).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of its own below ``spark.checkpoint.dir``; a temporary one only for a local master."""
+    import tempfile
+    import uuid
+
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="billprism-")
+    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
