@@ -415,3 +415,58 @@ def fn_formats(spark, sf_dir):
     pick = lambda m, bad, good: F.when(k % m == 0, bad).otherwise(good)
     skonto = pick(3, F.when(k % 2 == 0, "#SKONTO#TAGE=14#").otherwise("net\n#SKONTO#TAGE=x#PROZENT=2.00#"), F.when(k % 2 == 0, "pay soon").otherwise("a\n#SKONTO#TAGE=14#PROZENT=2.25#BASISBETRAG=357.93#\r\n#VERZUG#TAGE=30#PROZENT=9.00#\n"))
     return table(spark, sf_dir, "customer").select("c_custkey", xp.skonto_ok(skonto).alias("skonto"), xp.phone_ok(pick(5, "0-1", "+49 (0)30")).alias("phone"), xp.mail_ok(pick(7, F.when(k % 2 == 0, "a b@c.de").otherwise("a@c."), " x.y@z.org ")).alias("mail"), xp.url_ok(pick(11, "no web", "https://example.org/a?b=1#c")).alias("url"))
+
+
+# ---------------------------------------------------------------- schemas
+
+_X = 'xmlns:xs="http://www.w3.org/2001/XMLSchema" elementFormDefault="qualified"'
+CONTACT = f"""<xs:schema {_X} targetNamespace="urn:own" xmlns="urn:own">
+<xs:simpleType name="code"><xs:restriction base="xs:token"><xs:pattern value="[A-Z]{{2}}[0-9]+"/></xs:restriction></xs:simpleType>
+<xs:simpleType name="kind"><xs:restriction base="xs:string"><xs:enumeration value="a"/><xs:enumeration value="b"/></xs:restriction></xs:simpleType>
+<xs:simpleType name="money"><xs:restriction base="xs:decimal"><xs:fractionDigits value="2"/><xs:minInclusive value="0"/></xs:restriction></xs:simpleType>
+<xs:complexType name="note" mixed="true"><xs:sequence><xs:element name="b" type="xs:string" minOccurs="0" maxOccurs="unbounded"/></xs:sequence></xs:complexType>
+<xs:element name="c"><xs:complexType><xs:sequence><xs:element name="id" type="code"/><xs:choice><xs:element name="mail" type="xs:string"/><xs:element name="phone" type="xs:string"/></xs:choice><xs:element name="kind" type="kind"/>
+<xs:element name="amount" type="money"/><xs:element name="note" type="note" minOccurs="0"/><xs:any namespace="##other" processContents="lax" minOccurs="0"/></xs:sequence>
+<xs:attribute name="code" type="xs:string" use="required"/><xs:attribute name="n" type="xs:integer"/><xs:attribute name="version" type="xs:string" fixed="1"/></xs:complexType></xs:element></xs:schema>"""
+_FAULTY = ((1, "value", "/c/id"), (2, "content", "/c"), (3, "content", "/c"), (4, "value", "/c/kind"), (5, "value", "/c/amount"), (6, "missing-attribute", "/c"), (7, "unknown-attribute", "/c/@x"), (8, "attribute-value", "/c/@n"), (9, "content", "/c"), (10, "unexpected-element", "/d"), (12, "attribute-value", "/c/@version"), (13, "value", "/c/amount"), (15, "content", "/c/kind"))
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS doc_id, kind, location FROM customer JOIN (VALUES {', '.join(map(str, _FAULTY))}) f(k, kind, location) ON c_custkey % 16 = k")
+def schema_features_e2e(spark, sf_dir):
+    """Choices, patterns, enumerations, facets, mixed content, wildcards, attributes, nil and unknown roots against a schema."""
+    from .plans.schema import Schema, check
+
+    k = F.col("c_custkey") % 16
+    at = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
+    choice = F.when(k == 2, "").when(k == 3, "<mail>m</mail><phone>1</phone>").when(F.col("c_custkey") % 2 == 0, "<mail>m</mail>").otherwise("<phone>1</phone>")
+    attributes = F.concat(at(6, "", ' code="q"'), at(7, ' x="1"', ""), at(8, ' n="x"', ' n=" 12 "'), at(12, ' version="2"', ' version="1"'))
+    kind = F.when(k == 4, "<kind>z</kind>").when(k == 15, '<kind xmlns:i="http://www.w3.org/2001/XMLSchema-instance" i:nil="true"/>').otherwise("<kind>a</kind>")
+    xml = F.concat(F.lit('<c xmlns="urn:own"'), attributes, F.lit(">"), at(9, "text", ""), F.lit("<id>"), at(1, "x1", "AB7"), F.lit("</id>"), choice, kind, F.lit("<amount>"), F.when(k == 5, "1.234").when(k == 13, "-1").otherwise(" 1.50 "), F.lit("</amount>"), at(11, "<note>some <b>bold</b> text</note>", ""), at(14, '<o:p xmlns:o="urn:other"/>', ""), F.lit("</c>"))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.when(k == 10, "<d/>").otherwise(xml).alias("xml"))
+    return check(docs, Schema.from_texts({"c.xsd": CONTACT}, "c.xsd")).select("doc_id", "kind", "location")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'gültig' ELSE 'ungültig' END || ' (EN 16931)' || CASE WHEN o_orderkey % 2 = 1 THEN chr(10) || '  Fehler  ODD (Zeile 1): number ' || o_orderkey || ' [/Invoice]' ELSE '' END || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || '  Hinweis THIRD (Zeile 1): third [/Invoice]' ELSE '' END AS text FROM orders""")
+def report_e2e(spark, sf_dir):
+    """The text report, in German, of a user's rule set whose findings come in the order of reporting."""
+    from .api import Options, report, validate
+    from .plans.schematron import Ruleset
+
+    rules = Ruleset.from_text('<schema xmlns="http://purl.oclc.org/dsdl/schematron"><ns prefix="cbc" uri="%s"/><pattern><rule context="/*"><assert id="THIRD" flag="info" test="cbc:ID mod 3 != 0">third</assert><assert id="ODD" test="cbc:ID mod 2 = 0">number <value-of select="cbc:ID"/></assert></rule></pattern></schema>' % NS["cbc"], "en16931-ubl")  # noqa: UP031
+    key = F.col("o_orderkey")
+    docs = as_docs(table(spark, sf_dir, "orders").select(key.cast("string").alias("doc_id"), F.format_string(f"<Invoice {_UBL}><cbc:CustomizationID>urn:cen.eu:en16931:2017</cbc:CustomizationID><cbc:ID>%d</cbc:ID></Invoice>", key).alias("xml")))
+    found = validate(docs, [rules], Options(keep_nodes=False))
+    return report(found, "de").select(F.col("input_idx").cast("string").alias("doc_id"), F.regexp_replace("text", "^[0-9]+: ", "").alias("text"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CASE o_orderkey % 2 WHEN 0 THEN 'warning' ELSE 'info' END AS severity FROM orders WHERE o_orderkey % 3 = 0")
+def severity_layers_e2e(spark, sf_dir):
+    """The severities that the national validation puts in place of a rule's flag: of the standard, and of the extension."""
+    from .api import Options, validate
+    from .plans.schematron import Ruleset
+
+    rules = Ruleset.from_text('<schema xmlns="http://purl.oclc.org/dsdl/schematron"><ns prefix="cbc" uri="%s"/><pattern><rule context="/*"><assert id="BR-CL-21" test="cbc:ID mod 3 != 0">code</assert></rule></pattern></schema>' % NS["cbc"], "xrechnung-ubl")  # noqa: UP031
+    key = F.col("o_orderkey")
+    spec = F.concat(F.lit("urn:cen.eu:en16931:2017#compliant#urn:xeinkauf.de:kosit:xrechnung_3.0"), F.when(key % 2 == 1, "#conformant#urn:xeinkauf.de:kosit:extension:xrechnung_3.0").otherwise(""))
+    docs = as_docs(table(spark, sf_dir, "orders").select(key.cast("string").alias("doc_id"), F.format_string(f"<Invoice {_UBL}><cbc:CustomizationID>%s</cbc:CustomizationID><cbc:ID>%d</cbc:ID></Invoice>", spec, key).alias("xml")))
+    return validate(docs, [rules], Options(keep_nodes=False)).findings.filter("rule_id = 'BR-CL-21'").select("doc_id", "severity")
