@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .common import trim
 
 #: The sample: documents of each language in hash order, those of at most SHORT bytes first; its shortest whole texts make a dictionary of at most
-#: DICTIONARY_BYTES (or of one text). Languages learned at most, the commonest first.
-SAMPLE_DOCS, SHORT, DICTIONARY_BYTES, LANGUAGES_MOST = 200, 8 << 10, 64 << 10, 256
+#: DICTIONARY_BYTES (or of one text). Languages learned at most, the commonest first, and documents of each that are drawn by hash for the sample to be
+#: ranked among, so that no task ranks more, however many there are.
+SAMPLE_DOCS, SHORT, DICTIONARY_BYTES, LANGUAGES_MOST, DRAWN = 200, 8 << 10, 64 << 10, 256, 2000
 #: The level from which zstandard looks one byte ahead for a longer match; below it a short match in the right dictionary can cost more than none in a wrong one.
 LEVEL = 6
 #: A text is encoded in pieces of so many bytes, so that the dictionary tells all along a long text.
@@ -74,11 +75,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter("t is not null and l is not null")
     often = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES_MOST).collect()}
     rank = Window.partitionBy("l").orderBy("long", "h")
-    named = rows.filter(F.col("l").isin(list(often))).select("l", "h", (F.octet_length("t") > SHORT).alias("long"))
+    if not often:
+        return Learned()
+    share = F.create_map(*(F.lit(x) for l, n in often.items() for x in (l, int(min(1.0, DRAWN / n) * (1 << 30)))))
+    drawn = rows.filter(F.pmod("h", F.lit(1 << 30)) < F.coalesce(share[F.col("l")], F.lit(0)))
+    named = drawn.select("l", "h", (F.octet_length("t") > SHORT).alias("long"))
     which = named.withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= SAMPLE_DOCS + CALIBRATE_DOCS).select("l", "h", "k").collect()
     chosen = docs.sparkSession.createDataFrame(which, "l string, h long, k int")
     found: dict[str, dict[int, str]] = {}
-    for r in rows.join(F.broadcast(chosen), ["l", "h"]).dropDuplicates(["l", "h"]).collect():  # as many as were chosen
+    for r in drawn.join(F.broadcast(chosen), ["l", "h"]).dropDuplicates(["l", "h"]).collect():  # as many as were chosen
         found.setdefault(r["l"], {})[r["k"]] = r["t"]
     found = {l: [t for _, t in sorted(x.items())] for l, x in found.items()}
     taught = {l: min(SAMPLE_DOCS, len(x) - len(x) // 5) for l, x in found.items()}
