@@ -10,7 +10,9 @@ A document is its set of distinct 5-word shingles. Two documents link where inte
 3. In a family a signature tree holds for each node the token bitmaps of all below it, combined by OR (with the largest count of
    each bit), and the range of their sizes. A dual traversal leaves out node pairs whose largest possible overlap is too small
    for 0.8, and pairs that are already in one component; what remains is compared exactly.
-4. A family too large for a task is cut into blocks. Blocks are joined with themselves, then the components' leaders, and last
+4. The members of families too large for a task meet again, by shingles that are rare among them alone: where the table of counts is small for the
+   whole input, shingles of a dozen documents pass for rare and chain families, and fewer texts tell them apart. This ends once it helps no more.
+5. A family that is still too large is cut into blocks. Blocks are joined with themselves, then the components' leaders, and last
    whatever lies outside the family's largest component with all blocks, so every pair that may still matter is compared.
 """
 
@@ -30,6 +32,8 @@ from .graph import components
 SHINGLE = 5
 #: Slots of the table of shingle counts; members of a family that one task compares, and shingles that these have about at most.
 SLOT_BITS, BLOCK, SHINGLES_MOST = 22, 2000, 4_000_000
+#: Times that the members of large families meet again.
+RECOUNTS = 4
 #: Different sets that a task remembers to find copies among its own documents.
 SEEN_MOST = 200_000
 #: Slots that travel together; bytes of text and prefix shingles that one numpy pass holds.
@@ -344,14 +348,40 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"u": pa.array(np.concatenate(out_u)), "v": pa.array(np.concatenate(out_v))})
 
 
+def _texts_of(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows with the texts ``t`` of their ``doc``; texts whose slot no row has stay where they are."""
+    slot = F.pmod(F.xxhash64("doc"), F.lit(KEY_SLOTS))
+    some = texts.join(F.broadcast(rows.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")  # KEY_SLOTS rows at most
+    return rows.join(some, "doc")
+
+
 def _links(blocks: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
     """blocks: (block string, doc, comp); the links found inside the blocks."""
-    slot = F.pmod(F.xxhash64("doc"), F.lit(KEY_SLOTS))
-    some = texts.join(F.broadcast(blocks.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")  # KEY_SLOTS rows at most
-    rows = blocks.join(some, "doc").select("block", "doc", "comp", "t")
+    rows = _texts_of(blocks, texts).select("block", "doc", "comp", "t")
     return stash(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_join_blocks, "u long, v long"), tag)
 
 
+def _meeting(texts: DataFrame) -> DataFrame:
+    """The rows of _FLOW of (doc, t), which meet by shingles that are rare among these texts."""
+    counts = texts.sparkSession.sparkContext.broadcast(slot_counts(texts, "t"))
+    flow = texts.mapInArrow(_prefixes(counts), _FLOW)
+    flow = stash(flow.repartition("tok").sortWithinPartitions("tok", "other").mapInArrow(_meet, _FLOW), "meet")
+    counts.unpersist()
+    return flow
+
+
+def _families(docs: DataFrame, flow: DataFrame, block: int) -> DataFrame:
+    """docs (doc, n) in families of two or more -> family, doc, n, size, load, parts: the tasks that the family needs."""
+    family = components(flow.filter("n = -2").select(F.col("doc").alias("u"), F.col("other").alias("v")))
+    members = docs.join(family.select(F.col("node").alias("doc"), F.col("comp").alias("family")), "doc")
+    sizes = members.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("load")).filter("size > 1").select("family", _parts("size", "load", block).alias("parts"))
+    return stash(members.join(sizes, "family"), "members")
+
+
+def _parts(size: str, load: str, block: int):
+    return F.ceil(F.greatest(F.col(size) / block, F.col(load) / SHINGLES_MOST))
+
+
 def _with_comp(members: DataFrame, links: DataFrame) -> DataFrame:
     comp = components(links).withColumnRenamed("node", "doc")
     return members.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
@@ -359,26 +389,31 @@ def _with_comp(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def classes(keyed: DataFrame, text_col: str = "text", key_col: str = "__key", block: int = BLOCK) -> DataFrame:
     """keyed documents (unique long keys) -> key, n_shingles, comp: the smallest key reachable by links."""
-    spark = keyed.sparkSession
     texts = keyed.select(F.col(key_col).cast("long").alias("doc"), text_or_empty(text_col).alias("t"))
-    counts = spark.sparkContext.broadcast(slot_counts(texts, "t"))
-    flow = texts.mapInArrow(_prefixes(counts), _FLOW)
-    flow = stash(flow.repartition("tok").sortWithinPartitions("tok", "other").mapInArrow(_meet, _FLOW), "meet")
+    flow = _meeting(texts)
     info = flow.filter("n >= 0")
     rep = info.groupBy("tok", "other", "n").agg(F.min("doc").alias("rep"))
     reps = stash(info.join(rep, ["tok", "other", "n"]).select("doc", "rep", "n"), "reps")
-    family = components(flow.filter("n = -2").select(F.col("doc").alias("u"), F.col("other").alias("v")))
-    members = reps.filter("doc = rep").select("doc", "n").join(family.select(F.col("node").alias("doc"), F.col("comp").alias("family")), "doc")
-    parts = lambda size, load: F.ceil(F.greatest(F.col(size) / block, F.col(load) / SHINGLES_MOST))
-    sizes = members.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("load")).filter("size > 1").select("family", parts("size", "load").alias("parts"))
-    members = stash(members.join(sizes, "family"), "members")
+    stashed = [_families(reps.filter("doc = rep").select("doc", "n"), flow, block)]
+    members, large = stashed[0], stashed[0].filter("parts > 1")
+    n_large = large.count()
+    for _ in range(RECOUNTS):
+        if not n_large:
+            break
+        own = stash(_texts_of(large.select("doc"), texts), "again")
+        met = _meeting(own)
+        stashed.append(_families(large.select("doc", "n"), met, block))
+        unstash(own, met)
+        members, large = members.filter("parts = 1").unionByName(stashed[-1]), stashed[-1].filter("parts > 1")
+        before, n_large = n_large, large.count()
+        if 10 * n_large > 9 * before:
+            break
     cut = F.pmod(F.xxhash64("doc"), F.col("parts"))
     links = [_links(members.select(F.concat_ws(".", "family", cut).alias("block"), "doc", F.col("doc").alias("comp")), texts, "links1")]
-    large = members.filter("parts > 1")
-    if not large.isEmpty():
+    if n_large:
         now = stash(_with_comp(large, links[0]), "comps")
         lead = now.filter("doc = comp")
-        n_lead = lead.groupBy("family").agg(F.count("*").alias("leads"), F.sum("n").alias("load")).filter("leads > 1").select("family", parts("leads", "load").alias("cuts"))
+        n_lead = lead.groupBy("family").agg(F.count("*").alias("leads"), F.sum("n").alias("load")).filter("leads > 1").select("family", _parts("leads", "load", block).alias("cuts"))
         lead = lead.join(n_lead, "family")
         cut = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("cuts"))
         links.append(_links(lead.select(F.concat_ws(".", "family", cut).alias("block"), "doc", "comp"), texts, "links2"))
@@ -400,7 +435,7 @@ def classes(keyed: DataFrame, text_col: str = "text", key_col: str = "__key", bl
     comp = components(found)
     reps = reps.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("comp"))
     copies = flow.filter("n = -3").select(F.col("doc").alias("key"), F.col("other").alias("doc")).join(reps, "doc").select("key", "n_shingles", "comp")
-    unstash(members)
+    unstash(*stashed)
     return reps.withColumnRenamed("doc", "key").unionByName(copies)
 
 

@@ -345,6 +345,23 @@ def test_ngram_join(docs, odd, none, block, monkeypatch):
         assert ngram_join.one_of_each(docs).columns == docs.columns and ngram_join.one_of_each(docs).count() == sum(d == x for d, x in label.items())
 
 
+def test_ngram_join_recounts_large_families(spark, monkeypatch):
+    """Lines of a dozen documents pass for rare in a table that is small for the input; their families are not compared block by block."""
+    monkeypatch.setattr(ngram_join, "SLOT_BITS", 12)
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    lines = [words(10) for _ in range(100)]
+    rows = [" ".join([words(80), *(lines[x] for x in rng.integers(0, 100, 4))]) for _ in range(300)]
+    rows += [words(120) for _ in range(2700)]
+    rows += [f"{rows[i]} end" for i in (5, 6, 7, 1000)]
+    moved = []
+    links = ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda blocks, *more: moved.append(blocks.count()) or links(blocks, *more))
+    got = by_id(ngram_join.classes(spark.createDataFrame(list(enumerate(rows)), "__key long, text string").repartition(3), block=20), "key")
+    assert {k: g["comp"] for k, g in got.items() if g["comp"] != k} == {3000: 5, 3001: 6, 3002: 7, 3003: 1000}
+    assert sum(moved) <= 600
+
+
 def test_signature_tree_keeps_every_link():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 80))).astype(np.uint64)) for _ in range(25)]
