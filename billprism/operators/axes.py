@@ -31,8 +31,22 @@ def predicate(axis: str, n: str = "n", m: str = "m") -> Column:
     }[axis]
 
 
+def _above(context: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of the ancestor axis, as step has them: what holds a node's parent is found once a parent, as many nodes have one parent and pairs of all nodes grow with the square."""
+    up = context.filter("parent_pre IS NOT NULL").select("doc_id", "parent_pre").distinct()
+    holds = (F.col("m.pre") <= F.col("u.parent_pre")) & (F.col("m.last_pre") >= F.col("u.parent_pre")) & (F.col("m.kind") != "attribute")
+    up = up.alias("u").join(nodes.alias("m"), (F.col("u.doc_id") == F.col("m.doc_id")) & holds).select(F.col("u.doc_id").alias("_doc"), F.col("u.parent_pre").alias("_up"), F.struct("m.*").alias("m"))
+    joined = context.alias("n").join(up, (F.col("n.doc_id") == F.col("_doc")) & (F.col("n.parent_pre") == F.col("_up")))
+    return joined.select(F.struct("n.*").alias("n"), "m")
+
+
 def step(context: DataFrame, nodes: DataFrame, axis: str, test: Column | None = None) -> DataFrame:
     """Pairs: the context's columns as struct n, the targets' as struct m. ``test`` is a Column over m, such as F.col("m.local") == "ID"."""
+    if axis in ("ancestor", "ancestor-or-self"):
+        pairs = _above(context, nodes)
+        if axis == "ancestor-or-self":
+            pairs = pairs.unionByName(step(context, nodes, "self"))
+        return pairs if test is None else pairs.filter(test)
     joined = context.alias("n").join(nodes.alias("m"), (F.col("n.doc_id") == F.col("m.doc_id")) & predicate(axis))
     if test is not None:
         joined = joined.filter(test)

@@ -1,5 +1,7 @@
 """Counting forms of axes against their pairs."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from billprism import catalog
@@ -25,3 +27,16 @@ def test_following_sibling_query_runs_the_operator(spark, monkeypatch):
     real = axes.count_following_siblings
     monkeypatch.setattr(axes, "count_following_siblings", lambda n: called.append(1) or real(n))
     assert catalog.queries()["axis_following_sibling"](spark, "").count() == 10 and called
+
+
+def test_ancestors_of_a_wide_document(spark):
+    """100,000 siblings of one document: found once a parent, not by pairs of all nodes."""
+    n = 100_000
+    leaf = spark.range(n).selectExpr("1L as doc_id", "id + 2 as pre", "id + 2 as last_pre", "1L as parent_pre", "'element' as kind", "'x' as local")
+    top = spark.createDataFrame([(1, 0, n + 1, None, "document", ""), (1, 1, n + 1, 0, "element", "top")], SCHEMA)
+    nodes = leaf.unionByName(top)
+    began = time.time()
+    for axis, per, least in (("ancestor", 2, 0), ("ancestor-or-self", 3, 0)):
+        got = axes.step(nodes.filter("local = 'x'"), nodes, axis).agg(F.count("*").alias("n"), F.min("m.pre").alias("least"), F.count_distinct("n.pre").alias("of")).first()
+        assert tuple(got) == (per * n, least, n)
+    assert time.time() - began < 60
