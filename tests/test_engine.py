@@ -226,3 +226,32 @@ def test_core_rules(spark):
     docs = documents.from_rows(spark.createDataFrame([(i, n, x) for i, (n, (x, _)) in enumerate(cases.items())], "input_idx long, name string, content string"))
     got = {r["name"]: set(ids(r.asDict(True))) for r in validate(docs).results.collect()}
     assert got == {n: want for n, (_, want) in cases.items()}
+
+
+def test_shredding_holds_few_rows_at_once():
+    """3,000 documents that arrive together go out in batches of bounded length, so a worker's memory does not follow the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from billprism.sources.shred import shred
+
+    class Plan:
+        def __getitem__(self, _):
+            return self
+
+        def select(self, *_):
+            return self
+
+        cast = alias = select
+
+        def mapInArrow(self, run, _):
+            return run
+
+    texts = ["<a>" + "".join(f"<b c='{j}'>{i} {j}</b>" for j in range(30)) + "</a>" for i in range(3000)]
+    batch = pa.record_batch({"doc_id": [str(i) for i in range(3000)], "xml": texts})
+    tracemalloc.start()
+    sizes = [x.num_rows for x in shred(Plan())(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 3000 * 92 and max(sizes) < 10_000 and peak < 20e6
