@@ -61,12 +61,16 @@ def full_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxes.join(body, "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), whole.alias("xml"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores, as the tables are small for what is done to a document."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "doc_id")
+
+
 def as_docs(rows: DataFrame, content: str = "xml") -> DataFrame:
     """Rows (doc_id, xml) as the sources make docs."""
     from .sources.documents import from_rows
 
-    spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "doc_id")  # the tables are small for what is done to a document
-    return from_rows(spread.withColumn("input_idx", F.col("doc_id").cast("long")), "doc_id", content)
+    return from_rows(spread(rows).withColumn("input_idx", F.col("doc_id").cast("long")), "doc_id", content)
 
 
 #: What the faults make rules find: (doc_id, rule_id, severity). EXTENDED invoices have warnings for errors.
@@ -395,7 +399,7 @@ def _national(syntax: str):
                 f"<ram:ApplicableHeaderTradeAgreement><ram:BuyerReference>%2$s</ram:BuyerReference><ram:SellerTradeParty><ram:DefinedTradeContact><ram:PersonName>N</ram:PersonName><ram:TelephoneUniversalCommunication><ram:CompleteNumber>%4$s</ram:CompleteNumber></ram:TelephoneUniversalCommunication><ram:EmailURIUniversalCommunication><ram:URIID>%5$s</ram:URIID></ram:EmailURIUniversalCommunication></ram:DefinedTradeContact>{address.format('%3$s')}<ram:SpecifiedTaxRegistration><ram:ID>DE1</ram:ID></ram:SpecifiedTaxRegistration></ram:SellerTradeParty><ram:BuyerTradeParty>{address.format('Paris')}</ram:BuyerTradeParty>{file.format('%9$s')}{file.format('a.pdf')}</ram:ApplicableHeaderTradeAgreement>"
                 "<ram:ApplicableHeaderTradeSettlement><ram:SpecifiedTradeSettlementPaymentMeans><ram:TypeCode>%6$s</ram:TypeCode><ram:PayeePartyCreditorFinancialAccount><ram:IBANID>%7$s</ram:IBANID></ram:PayeePartyCreditorFinancialAccount></ram:SpecifiedTradeSettlementPaymentMeans><ram:ApplicableTradeTax><ram:RateApplicablePercent>19</ram:RateApplicablePercent></ram:ApplicableTradeTax><ram:SpecifiedTradePaymentTerms><ram:Description>%8$s</ram:Description></ram:SpecifiedTradePaymentTerms></ram:ApplicableHeaderTradeSettlement></rsm:SupplyChainTradeTransaction></rsm:CrossIndustryInvoice>"
             )
-        docs = table(spark, sf_dir, "customer").select(k.cast("string").alias("doc_id"), F.format_string(text, *values).alias("xml"))
+        docs = spread(table(spark, sf_dir, "customer").select(k.cast("string").alias("doc_id"), F.format_string(text, *values).alias("xml")))
         shapes, rest = structural.split(national_rules(syntax))
         columns = ["doc_id", "rule_id", "flag"]
         return structural.findings(shred(docs), shapes).select(columns).unionByName(check(docs, [rest]).select(columns))
