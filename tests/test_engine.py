@@ -255,3 +255,15 @@ def test_shredding_holds_few_rows_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sum(sizes) == 3000 * 92 and max(sizes) < 10_000 and peak < 20e6
+
+
+def test_own_messages_read_the_state_once(spark):
+    """The engine's messages come out of one pass over the state of documents, whose plan parses again wherever it is read: 15 passes in Arrow, 35 with a reading for each message."""
+    from billprism.api import Options, validate
+    from billprism.sources.documents import from_rows
+
+    rows = spark.createDataFrame([("a", 0, "<a/>"), ("b", 1, "<b")], "doc_id string, input_idx long, content string").withColumn("name", F.col("doc_id"))
+    found = validate(from_rows(rows), [], Options(keep_nodes=False)).findings
+    assert sorted(r["rule_id"] for r in found.collect()) == ["SUM-FORMAT", "SUM-XML"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") <= 20
