@@ -362,6 +362,24 @@ def test_ngram_join_recounts_large_families(spark, monkeypatch):
     assert sum(moved) <= 600
 
 
+def test_pipeline_near_stage_recounts_large_families(spark, monkeypatch):
+    """The pipeline's near stage goes the same way and keeps the smallest id of each component."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(ngram_join, "SLOT_BITS", 12)
+    monkeypatch.setattr(ngram_join, "SHINGLES_MOST", 2000)
+    rng = np.random.default_rng(12)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    lines = [words(10) for _ in range(100)]
+    rows = [" ".join([words(80), *(lines[x] for x in rng.integers(0, 100, 4))]) for _ in range(300)] + [words(120) for _ in range(2700)]
+    rows += [f"{rows[i]} end" for i in (5, 6, 7, 1000)]
+    moved = []
+    links = ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda blocks, *more: moved.append(blocks.count()) or links(blocks, *more))
+    kept = corpus_pipeline.near(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3), "")
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == set(range(3000)) and sum(moved) <= 600
+
+
 def test_signature_tree_keeps_every_link():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 80))).astype(np.uint64)) for _ in range(25)]
