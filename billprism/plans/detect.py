@@ -148,7 +148,10 @@ def summarize(nodes: DataFrame) -> DataFrame:
     tax = {"ubl": "/*/cac:TaxTotal/cbc:TaxAmount", "cii": _SUM + "ram:TaxTotalAmount"}
     vat = {who: _AG + f"ram:{p}TradeParty/ram:SpecifiedTaxRegistration/ram:ID" for who, p in (("seller", "Seller"), ("buyer", "Buyer"))}
     places = [p for paths in wanted for p in paths.split("|")] + list(tax.values()) + list(vat.values()) + [p for x in LINES.values() for p in x]
-    rows = elements.filter(reduce(lambda a, b: a | b, (_place(p) for p in places))).join(attribute.withColumnRenamed("parent_pre", "pre"), ["doc_id", "pre"], "left")
+    keys = sorted({clark(p) for p in places})
+    named = F.col("qkey").isin(sorted({k[k.rindex("/{") + 1 :] for k in keys}))  # first, as it needs no expression over the path
+    at = F.col("below_root").isin([k[2:] for k in keys if k.startswith("/*/")]) | F.col("path_key").isin([k for k in keys if not k.startswith("/*/")])
+    rows = elements.filter(named & at).join(attribute.withColumnRenamed("parent_pre", "pre"), ["doc_id", "pre"], "left")
     is_line = lambda k: reduce(lambda a, b: a | b, (_place(p) for p in LINES[k]))
     aggs = [_first(v).alias(f"u_{k}") for k, v in UBL.items()] + [_first(v).alias(f"c_{k}") for k, v in CII.items()]
     aggs += [F.array_sort(F.collect_list(F.when(_place(p), F.struct("pre", "currency_id", _trim(F.col("sval")).alias("v"))))).alias(f"{k}_tax") for k, p in tax.items()]

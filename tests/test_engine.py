@@ -267,3 +267,12 @@ def test_own_messages_read_the_state_once(spark):
     assert sorted(r["rule_id"] for r in found.collect()) == ["SUM-FORMAT", "SUM-XML"]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") <= 20
+
+
+def test_summary_cuts_a_path_once(spark):
+    """The places of the summary are told by sets: the path below the root is cut once a node, not once for each place."""
+    from billprism.plans.detect import summarize
+    from billprism.sources.shred import NODES
+
+    plan = summarize(spark.createDataFrame([], NODES))._jdf.queryExecution().optimizedPlan().toString()
+    assert max(x.count("regexp_replace(path_key") for x in plan.splitlines() if "Filter" in x) <= 2
