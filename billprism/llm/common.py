@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -69,6 +70,12 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of jobs that are over. Executors keep them until the driver collects its garbage, and a driver with little to do may not before they come to several times the input."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all stashed tables below the shared folder, for sessions that live long: results that were not written are lost."""
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/stash")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, byte_table, mix64, small_batches, spans_of, stash, text_buffers, text_or_empty, trim, unstash, words_of
+from .common import LOWER, SPACE, byte_table, mix64, release, small_batches, spans_of, stash, text_buffers, text_or_empty, trim, unstash, words_of
 from .graph import components
 
 SHINGLE = 5
@@ -38,8 +38,8 @@ RECOUNTS = 4
 SEEN_MOST = 200_000
 #: Slots that travel together; bytes of text and prefix shingles that one numpy pass holds.
 SLOT_BLOCK, PASS_BYTES, PREFIX_MOST = 4096, 2 << 20, 200_000
-#: Slots of the filter that keeps texts from a shuffle for the few documents that are compared again.
-KEY_SLOTS = 1 << 18
+#: Slots of the filter that keeps texts from a shuffle for the few documents that are compared again or dropped; 64 are a row of what is broadcast.
+KEY_SLOTS = 1 << 24
 #: Bits of a signature, children of a tree node.
 BITS, FANOUT = 512, 8
 
@@ -348,17 +348,27 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"u": pa.array(np.concatenate(out_u)), "v": pa.array(np.concatenate(out_v))})
 
 
+def _marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows with ``__seen``: true where ``keys`` has the row's key, and for few others. Nothing but a bit for each slot moves, KEY_SLOTS / 64 rows at most."""
+    slot = F.pmod(F.xxhash64(key), F.lit(KEY_SLOTS))
+    word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    bits = keys.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    marked = rows.withColumn("__word", word).join(F.broadcast(bits), "__word", "left")
+    return marked.withColumn("__seen", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__word", "__bits")
+
+
 def _texts_of(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """rows with the texts ``t`` of their ``doc``; texts whose slot no row has stay where they are."""
-    slot = F.pmod(F.xxhash64("doc"), F.lit(KEY_SLOTS))
-    some = texts.join(F.broadcast(rows.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")  # KEY_SLOTS rows at most
-    return rows.join(some, "doc")
+    return rows.join(_marked(texts, rows, "doc").filter("__seen").drop("__seen"), "doc")
 
 
 def _links(blocks: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
     """blocks: (block string, doc, comp); the links found inside the blocks."""
     rows = _texts_of(blocks, texts).select("block", "doc", "comp", "t")
-    return stash(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_join_blocks, "u long, v long"), tag)
+    found = stash(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_join_blocks, "u long, v long"), tag)
+    del rows
+    release(texts.sparkSession)
+    return found
 
 
 def _meeting(texts: DataFrame) -> DataFrame:
@@ -367,6 +377,7 @@ def _meeting(texts: DataFrame) -> DataFrame:
     flow = texts.mapInArrow(_prefixes(counts), _FLOW)
     flow = stash(flow.repartition("tok").sortWithinPartitions("tok", "other").mapInArrow(_meet, _FLOW), "meet")
     counts.unpersist()
+    release(texts.sparkSession)
     return flow
 
 
@@ -464,7 +475,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without those that link to a row of smaller key."""
+    """The rows of docs, all columns, without those that link to a row of smaller key; only rows that may be such go through a shuffle."""
     own = keyed(docs, id_col)
     drop = stash(classes(own, text_col).filter("key <> comp").select(F.col("key").alias("__key")), "near")
-    return own.join(drop, "__key", "left_anti").select(*docs.columns)
+    release(docs.sparkSession)
+    marked = _marked(own, drop, "__key")
+    clear, some = marked.filter("not __seen"), marked.filter("__seen").join(drop, "__key", "left_anti")
+    return clear.select(*docs.columns).unionByName(some.select(*docs.columns))

@@ -380,6 +380,29 @@ def test_pipeline_near_stage_recounts_large_families(spark, monkeypatch):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == set(range(3000)) and sum(moved) <= 600
 
 
+def test_near_stage_moves_only_texts_that_may_go(spark):
+    """Where the dropped keys are too many for a broadcast, the other documents still stay where they are."""
+    rng = np.random.default_rng(13)
+    rows = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 120)) for _ in range(1000)]
+    rows += [f"{rows[i]} end" for i in (5, 6, 7, 500)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.one_of_each(docs.localCheckpoint())
+        before = written()
+        assert {r["doc_id"] for r in kept.collect()} == set(range(1000))
+        assert written() - before <= 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_signature_tree_keeps_every_link():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 80))).astype(np.uint64)) for _ in range(25)]
