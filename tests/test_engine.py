@@ -276,3 +276,61 @@ def test_summary_cuts_a_path_once(spark):
 
     plan = summarize(spark.createDataFrame([], NODES))._jdf.queryExecution().optimizedPlan().toString()
     assert max(x.count("regexp_replace(path_key") for x in plan.splitlines() if "Filter" in x) <= 2
+
+
+def test_forms_share_trees_and_change_no_node():
+    """Documents of equal tags share one tree; nodes, values, lines and errors are those of a document that is parsed alone."""
+    from billprism.sources.shred import Forms, Out, _tree_rows, rows, without_declared_encoding
+
+    odd = ["", "x", "<>", "<a/>", "<a>]]></a>", "<a>u&</a>", "<p:a/>", "<a b='1' b='2'/>", "<a><!-- c --></a>", "<a><?p i?></a>", "<a><![CDATA[x]]></a>", "<a>&nope;</a>", "<a", "<a>" + "l\n" * 3000 + "</a>", "<a>\n</a>\n", "\n<a>t</a>x"]
+    texts = [ubl(lines=(a, b), number=c).replace("\n", end) for a in ("1.00", "a\nb", "", "&lt;&#65;") for b in ("x", " ") for c in ("A", "q&amp;r", "]] > '") for end in ("\n", "\r\n", "\r", " ")]
+    forms, shared = Forms(), 0
+    for xml in [without_declared_encoding(x) for x in (odd + texts) * 3]:
+        try:
+            want = list(rows("d", parse(xml)))
+        except XmlError as e:
+            with pytest.raises(XmlError) as got:
+                forms.parse(xml)
+            assert (str(got.value), got.value.line) == (str(e), e.line)
+            continue
+        doc = forms.parse(xml)
+        assert list(rows("d", doc)) == want
+        if doc.memo is not None:
+            out = Out()
+            out.add_tree("d", *_tree_rows(doc, None))
+            assert [tuple(r.values()) for r in out.batch().to_pylist()] == want
+            shared += 1
+    assert shared > 200 and len(forms.known) < 20
+
+
+def test_rules_on_shared_trees_are_those_of_documents_alone():
+    """What is kept with a tree follows from its form: findings are the same whatever document of the form came before."""
+    from billprism.api import builtin
+    from billprism.plans.schematron import Runner, evaluator
+
+    rules = [*builtin(), Ruleset.from_text(RULES, "own"), Ruleset.from_text(STRUCTURE, "s")]
+    texts = [ubl(lines=a, number=c, total=t, spec=s).replace("9.99", x) for a in (("1.00",), ("1.00", "2.00"), ("x", "1.001")) for c in ("A", " ") for t in ("3.00", "1.001") for s in ("urn:x", " ") for x in ("9.99", "9.999")]
+    evaluate = evaluator(rules)
+    for xml in texts * 3:
+        want = [(r.id, i, *f) for i, r in enumerate(rules) for f in Runner(r).run(parse(xml.replace(' encoding="UTF-8"', "")))]
+        assert evaluate(xml, None) == want
+
+
+def test_validation_joins_nothing(spark):
+    """A document stays one row from its text to its result: it is parsed twice, and no join or shuffle stands between."""
+    rows = spark.createDataFrame([("a", 0, ubl()), ("b", 1, "<b")], "doc_id string, input_idx long, content string").withColumn("name", F.col("doc_id"))
+    found = validate(documents.from_rows(rows), None, Options(keep_nodes=False))
+    for df in (found.findings, found.results):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") <= 3 and "Join" not in plan and "Exchange" not in plan
+
+
+def test_shredding_gives_the_rows_that_are_asked_for(spark):
+    """Rows of the names that shapes ask for are numbered as among all; findings are the same."""
+    from billprism.plans.structural import findings, names, split
+
+    shapes, _ = split(Ruleset.from_text(STRUCTURE, "s"))
+    docs = spark.createDataFrame([("1", ubl()), ("2", ubl(lines=("1.00",))), ("3", ubl()), ("4", ubl()), ("5", "<a")], "doc_id string, xml string").coalesce(1)
+    every, some = shred(docs), shred(docs, names(shapes))
+    assert some.count() < every.count() / 3 and set(some.collect()) <= set(every.collect())
+    assert sorted(findings(some, shapes).collect()) == sorted(findings(every, shapes).collect())
