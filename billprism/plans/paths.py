@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shred import Node, XmlError, location, parse, without_declared_encoding
+from ..sources.shred import Node, XmlError, bounded, location, parse, without_declared_encoding
 from .schematron import Ruleset
 from .xpath import Focus, XPathError, XPathSyntaxError, compile_xpath, text_of
 
@@ -59,7 +59,7 @@ def select_path(docs: DataFrame, expr: str, namespaces: dict[str, str] | None =
             if out:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
-    return docs.select(docs["doc_id"].cast("string").alias("doc_id"), "xml").mapInArrow(run, ITEMS)
+    return bounded(docs).select(docs["doc_id"].cast("string").alias("doc_id"), "xml").mapInArrow(run, ITEMS)
 
 
 VALUES = "doc_id string, key string, value string"
@@ -95,7 +95,7 @@ def evaluate(docs: DataFrame, expressions: dict[str, str], namespaces: dict[str,
             if out:
                 yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*out, strict=True)], schema=_VALUES_SCHEMA)
 
-    return docs.select(docs["doc_id"].cast("string").alias("doc_id"), "xml").mapInArrow(run, VALUES)
+    return bounded(docs).select(docs["doc_id"].cast("string").alias("doc_id"), "xml").mapInArrow(run, VALUES)
 
 
 def rule_catalog(spark: SparkSession, rulesets: list[Ruleset]) -> DataFrame:

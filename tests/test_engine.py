@@ -334,3 +334,27 @@ def test_shredding_gives_the_rows_that_are_asked_for(spark):
     every, some = shred(docs), shred(docs, names(shapes))
     assert some.count() < every.count() / 3 and set(some.collect()) <= set(every.collect())
     assert sorted(findings(some, shapes).collect()) == sorted(findings(every, shapes).collect())
+
+
+def test_batches_of_documents_are_bounded_by_bytes(spark):
+    from billprism.sources.shred import BATCH_BYTES, BATCH_SETTING, BATCH_UNSET, bounded
+
+    def count(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    docs = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("xml"))
+    before = spark.conf.get(BATCH_SETTING)
+    try:
+        spark.conf.set(BATCH_SETTING, BATCH_UNSET)
+        assert max(r["n"] for r in bounded(docs).mapInArrow(count, "n long").collect()) <= BATCH_BYTES // 10_000 + 1
+        spark.conf.set(BATCH_SETTING, "1048576")  # a session's own bound stays
+        bounded(docs)
+        assert spark.conf.get(BATCH_SETTING).rstrip("b") == "1048576"
+        spark.conf.set(BATCH_SETTING, BATCH_UNSET)
+        documents.from_rows(spark.createDataFrame([("a", ubl())], "name string, content string"))
+        assert spark.conf.get(BATCH_SETTING).rstrip("b") == str(BATCH_BYTES)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
