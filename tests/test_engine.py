@@ -358,3 +358,27 @@ def test_batches_of_documents_are_bounded_by_bytes(spark):
         assert spark.conf.get(BATCH_SETTING).rstrip("b") == str(BATCH_BYTES)
     finally:
         spark.conf.set(BATCH_SETTING, before)
+
+
+def test_what_was_read_tells_findings_again():
+    """On trees of a form an assertion is evaluated again only where a text that it read is another one; also by a task's copy of the function, batch by batch."""
+    from billprism.plans.schematron import Runner, evaluator
+
+    rules = Ruleset.from_text(RULES, "own")
+    asked, evaluate = [], evaluator([rules])
+    evaluate.runners[0].eval, inner = (lambda text, focus: asked.append(text) or inner(text, focus)), evaluate.runners[0].eval
+    texts = [ubl(lines=("10.00", x), number=n) for x in ("20.00", "x", "20.00") for n in ("A", "B", "C")]
+    for xml in texts:
+        asked.clear()
+        want = [("own", 0, *f) for f in Runner(rules).run(parse(xml.replace(' encoding="UTF-8"', "")))]
+        assert evaluate(xml, None) == want
+    assert not asked  # the number of an invoice is read by no rule
+
+
+def test_a_document_is_parsed_once_for_detection_and_rules(spark):
+    """Detection, summary and rules are one pass, so a task has two Python workers (three before), and texts do not come back from it unless they are asked for."""
+    rows = spark.createDataFrame([("a", 0, ubl()), ("b", 1, ubl(lines=("10.00", "x"))), ("c", 2, ubl())], "doc_id string, input_idx long, content string").withColumn("name", F.col("doc_id"))
+    found = validate(documents.from_rows(rows.coalesce(1)), [Ruleset.from_text(RULES, "en16931-ubl")], Options(keep_nodes=False))
+    plan = found.findings._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") <= 2
+    assert sorted((r["doc_id"], r["rule_id"]) for r in found.findings.collect()) == [("a", "T-FIRST"), ("b", "T-ERR"), ("b", "T-FIRST"), ("b", "T-LINE"), ("b", "T-SUM"), ("c", "T-FIRST")]
